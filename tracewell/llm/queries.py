@@ -6,10 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.chunking import split_documents
+from tracewell.llm.leakage import find_leaks
+from tracewell.llm.setjoin import components, expand, similar_sets
 from tracewell.llm.tokens import encode_corpus
 from tracewell.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs = similar_sets(table(spark, d, "files"))
+    return expand(members, pairs).select(F.col("x").alias("file_id_a"), F.col("y").alias("file_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with a large enough set: its class of equal sets, its group and the class's number of links."""
+    members, pairs = similar_sets(table(spark, d, "files"))
+    reps = members.where(F.col("id") == F.col("rep")).select("id")
+    groups = components(reps, pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return (
+        members.join(groups.withColumnRenamed("id", "rep"), "rep").join(links, "rep", "left")
+        .select(F.col("id").alias("file_id"), F.col("rep").alias("class_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -23,9 +42,30 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items that leaked, with the number of documents that give them away."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_counts": p7_counts, "p9_pieces": p9_pieces}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p7_counts": p7_counts,
+    "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
+}
+
+_P5 = """
+WITH f AS (SELECT file_id, any_value(hex(fp)) AS h FROM files WHERE fp IS NOT NULL AND octet_length(fp) >= 160 AND file_id IS NOT NULL GROUP BY file_id),
+s AS (SELECT DISTINCT file_id, substr(h, CAST(i * 16 + 1 AS BIGINT), 16) AS x FROM f, unnest(range(CAST(length(h) // 16 AS BIGINT))) t(i)),
+n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id HAVING count(*) >= 20),
+c AS (SELECT a.file_id AS file_id_a, b.file_id AS file_id_b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.file_id < b.file_id GROUP BY ALL)
+SELECT file_id_a, file_id_b FROM c JOIN n na ON na.file_id = file_id_a JOIN n nb ON nb.file_id = file_id_b
+WHERE 10 * i >= 7 * (na.n + nb.n - i)
+"""
+ORACLE: dict[str, str] = {"p5_found": _P5}
