@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
+from tracewell.llm.linkage import repeats, scored_links
 from tracewell.llm.setjoin import components, expand, similar_sets
 from tracewell.llm.tokens import encode_corpus
 from tracewell.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats(table(spark, d, "findings")).select("finding_id")
+
+
+def p4_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats per scan beside what the scan itself counted as known."""
+    found = repeats(table(spark, d, "findings")).groupBy("scan_id").agg(F.count(F.lit(1)).alias("repeats"))
+    scans = table(spark, d, "scans").select("scan_id", "baselined").groupBy("scan_id").agg(F.max("baselined").alias("baselined"))
+    return scans.join(found, "scan_id", "left").select("scan_id", F.coalesce("repeats", F.lit(0)).alias("repeats"), "baselined")
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Near links between issue texts with their learned score."""
+    return scored_links(table(spark, d, "findings"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, pairs = similar_sets(table(spark, d, "files"))
     return expand(members, pairs).select(F.col("x").alias("file_id_a"), F.col("y").alias("file_id_b"))
@@ -56,6 +73,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links,
     "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p7_counts": p7_counts,
     "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
 }
@@ -68,4 +86,29 @@ c AS (SELECT a.file_id AS file_id_a, b.file_id AS file_id_b, count(*) AS i FROM
 SELECT file_id_a, file_id_b FROM c JOIN n na ON na.file_id = file_id_a JOIN n nb ON nb.file_id = file_id_b
 WHERE 10 * i >= 7 * (na.n + nb.n - i)
 """
-ORACLE: dict[str, str] = {"p5_found": _P5}
+
+_P4 = """
+WITH f AS (
+  SELECT finding_id, any_value(scan_id) AS scan_id, any_value(target) AS target, any_value(rule_id) AS rule_id,
+         any_value(CASE WHEN excerpt IS NOT NULL THEN regexp_extract_all(excerpt, '[\\p{L}\\p{N}_]+') END) AS w,
+         any_value(regexp_replace(replace(path, chr(92), '/'), '^(\\./+)+', '')) AS path, any_value(message) AS message
+  FROM findings WHERE finding_id IS NOT NULL AND scan_id IS NOT NULL AND target IS NOT NULL AND rule_id IS NOT NULL GROUP BY finding_id),
+u AS (SELECT target, rule_id, w, min(scan_id) AS first FROM f WHERE w IS NOT NULL GROUP BY ALL),
+v AS (
+  SELECT a.target, a.rule_id, a.w, min(b.first) AS first FROM u a JOIN u b ON a.target = b.target AND a.rule_id = b.rule_id
+  AND 5 * abs(len(a.w) - len(b.w)) <= greatest(len(a.w), len(b.w))
+  AND 5 * levenshtein(
+    array_to_string(list_transform(a.w, lambda x: chr(CAST(255 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), ''),
+    array_to_string(list_transform(b.w, lambda x: chr(CAST(255 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), '')
+  ) <= greatest(len(a.w), len(b.w)) GROUP BY ALL),
+n AS (SELECT target, rule_id, path, message, min(scan_id) AS first FROM f WHERE w IS NULL GROUP BY ALL)
+SELECT f.finding_id FROM f JOIN v ON v.target = f.target AND v.rule_id = f.rule_id AND v.w = f.w WHERE v.first < f.scan_id
+UNION ALL
+SELECT f.finding_id FROM f JOIN n ON n.target = f.target AND n.rule_id = f.rule_id AND n.path IS NOT DISTINCT FROM f.path
+  AND n.message IS NOT DISTINCT FROM f.message WHERE f.w IS NULL AND n.first < f.scan_id
+"""
+_P4_SCANS = f"""
+SELECT s.scan_id, coalesce(r.repeats, 0) AS repeats, s.baselined FROM (SELECT scan_id, max(baselined) AS baselined FROM scans GROUP BY scan_id) s
+LEFT JOIN (SELECT scan_id, count(*) AS repeats FROM ({_P4}) JOIN (SELECT DISTINCT finding_id, scan_id FROM findings) USING (finding_id) GROUP BY scan_id) r USING (scan_id)
+"""
+ORACLE: dict[str, str] = {"p4_found": _P4, "p4_scans": _P4_SCANS, "p5_found": _P5}
