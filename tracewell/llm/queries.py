@@ -87,6 +87,7 @@ SELECT file_id_a, file_id_b FROM c JOIN n na ON na.file_id = file_id_a JOIN n nb
 WHERE 10 * i >= 7 * (na.n + nb.n - i)
 """
 
+# DuckDB counts edits in bytes: each distinct word of a pair is spelled as one ASCII character (short excerpts have fewer than 95).
 _P4 = """
 WITH f AS (
   SELECT finding_id, any_value(scan_id) AS scan_id, any_value(target) AS target, any_value(rule_id) AS rule_id,
@@ -98,8 +99,8 @@ v AS (
   SELECT a.target, a.rule_id, a.w, min(b.first) AS first FROM u a JOIN u b ON a.target = b.target AND a.rule_id = b.rule_id
   AND 5 * abs(len(a.w) - len(b.w)) <= greatest(len(a.w), len(b.w))
   AND 5 * levenshtein(
-    array_to_string(list_transform(a.w, lambda x: chr(CAST(255 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), ''),
-    array_to_string(list_transform(b.w, lambda x: chr(CAST(255 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), '')
+    array_to_string(list_transform(a.w, lambda x: chr(CAST(31 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), ''),
+    array_to_string(list_transform(b.w, lambda x: chr(CAST(31 + list_position(list_distinct(list_concat(a.w, b.w)), x) AS INTEGER))), '')
   ) <= greatest(len(a.w), len(b.w)) GROUP BY ALL),
 n AS (SELECT target, rule_id, path, message, min(scan_id) AS first FROM f WHERE w IS NULL GROUP BY ALL)
 SELECT f.finding_id FROM f JOIN v ON v.target = f.target AND v.rule_id = f.rule_id AND v.w = f.w WHERE v.first < f.scan_id
