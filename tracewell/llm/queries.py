@@ -8,11 +8,31 @@ from pyspark.sql import functions as F
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
 from tracewell.llm.linkage import repeats, scored_links
+from tracewell.llm.residue import find_residue
+from tracewell.llm.secrets import find_credentials
 from tracewell.llm.setjoin import components, expand, similar_sets
 from tracewell.llm.tokens import encode_corpus
 from tracewell.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_credentials(table(spark, d, "findings")).select("finding_id")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The excerpts that show a credential, with nothing but its value replaced."""
+    return find_credentials(table(spark, d, "findings")).select("finding_id", "redacted", "n_values")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "responses"), table(spark, d, "raw_bodies")).select("tab", "rec_id")
+
+
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Records to exclude by table and kind of evidence."""
+    return find_residue(table(spark, d, "responses"), table(spark, d, "raw_bodies")).groupBy("tab", "evidence").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats(table(spark, d, "findings")).select("finding_id")
 
@@ -73,6 +93,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_evidence": p3_evidence,
     "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links,
     "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p7_counts": p7_counts,
     "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
