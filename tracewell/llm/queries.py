@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.authored import find_not_authored, judged_files, named_files, shared_subtrees
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
 from tracewell.llm.linkage import repeats, scored_links
@@ -66,6 +67,20 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_not_authored(table(spark, d, "files"), table(spark, d, "findings")).select("tab", "rec_id")
+
+
+def p6_authored(spark: SparkSession, d: str) -> DataFrame:
+    """The files that remain as hand-written source."""
+    return judged_files(table(spark, d, "files")).where(F.col("evidence").isNull()).select("file_id", "root", "path")
+
+
+def p6_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    """Directories whose Merkle hash stands in roots of different owners, single files included."""
+    return shared_subtrees(named_files(table(spark, d, "files")), least_files=1, least_chars=1)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
