@@ -1,10 +1,10 @@
 """Incremental record linkage of findings: which rows of a new batch repeat earlier ones.
 
-State that is kept between batches, as three tables in a shared folder:
-- ``reps``: one row per distinct issue text (target, rule, words or path+message) with the first
-  scan that delivered it and its cluster's representative,
-- ``keys``: the blocking keys of the issue texts,
-- ``weights``: the learned field weights.
+State that is kept between batches, as tables in a shared folder:
+- ``reps``: one row per distinct issue text (target, rule, words or path+message) with the first scan
+  that delivered it and the first that delivered one like it,
+- ``keys`` and ``asked``: the blocking keys that the issue texts show and ask for,
+- ``clusters``: each issue text's cluster representative.
 A batch is reduced to its distinct issue texts, probes ``keys`` by an equi-join, verifies what it
 meets, merges the clusters touched and appends what is new. History is never compared with
 itself again.
@@ -33,6 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.setjoin import components
 from tracewell.session import cut
 
 #: Edits allowed: one word in so many of the longer text.
@@ -50,17 +51,17 @@ def plain_path(c: Column) -> Column:
 
 
 def issue_texts(findings: DataFrame) -> DataFrame:
-    """(finding_id, scan_id, blk, issue, words, n): the issue text of each finding, once per finding_id."""
+    """(finding_id, scan_id, blk, print, words, n): the issue text of each delivered finding and its fingerprint."""
     rows = findings.where(F.col("finding_id").isNotNull() & F.col("scan_id").isNotNull() & F.col("target").isNotNull() & F.col("rule_id").isNotNull())
-    rows = rows.select("finding_id", "scan_id", "target", "rule_id", "path", "message", "excerpt").dropDuplicates(["finding_id"])
     ws = words_of(F.col("excerpt"))
     no = F.concat(F.lit("N\x1f"), F.coalesce(plain_path(F.col("path")), F.lit("\x1e")), F.lit("\x1f"), F.coalesce("message", F.lit("\x1e")))
     return rows.select(
         "finding_id", "scan_id",
         F.xxhash64("target", "rule_id").alias("blk"),
+        F.unhex(F.md5(F.concat_ws("\x1d", "target", "rule_id", F.when(F.col("excerpt").isNull(), no).otherwise(F.concat(F.lit("E\x1f"), F.array_join(ws, " ")))))).alias("print"),
         ws.alias("words"),
-        F.sha2(F.concat_ws("\x1d", "target", "rule_id", F.when(F.col("excerpt").isNull(), no).otherwise(F.concat(F.lit("E\x1f"), F.array_join(ws, " ")))), 256).alias("issue"),
-    ).withColumn("n", F.when(F.col("words").isNotNull(), F.size("words")))
+        F.size(ws).alias("n"),
+    )
 
 
 def edits(n: Column) -> Column:
@@ -84,29 +85,29 @@ def shown_keys(texts: DataFrame) -> DataFrame:
 
 
 def asked_keys(texts: DataFrame) -> DataFrame:
-    """(key, issue, n, pn): substrings that may be a segment of a partner of pn words, pn >= n."""
+    """(key, issue, pn): substrings that may be a segment of a partner of pn words, pn >= n."""
     # A partner of pn words has at most pn // 5 more words: pn - pn // 5 <= n.
     reach = F.ceil(F.col("n") * PER_EDIT / (PER_EDIT - 1)).cast("int") + 1
     lens = texts.where((F.col("n") >= 1) & (reach >= PER_EDIT)).select("blk", "issue", "n", "words", F.explode(F.sequence(F.greatest("n", F.lit(PER_EDIT)), F.greatest(reach, F.lit(PER_EDIT)))).alias("pn"))
     lens = lens.where(F.col("pn") - edits(F.col("pn")) <= F.col("n"))
     segs = lens.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("pn")))).alias("seg"))
-    k1, pn, i = edits(F.col("pn")) + 1, F.col("pn"), F.col("seg")
-    at = cut_at(pn, k1, i)
-    size = cut_at(pn, k1, i + 1) - at
-    segs = segs.withColumns({"_at": at, "_size": size, "_most": edits(pn)})
-    # Of a segment i of k+1, at most i edits lie before it if every earlier segment was hit, and the rest after it.
-    lo = F.greatest(F.lit(0), F.col("_at") - F.col("_most"))
-    hi = F.least(F.col("n") - F.col("_size"), F.col("_at") + F.col("_most"))
-    places = segs.where((F.col("_size") <= F.col("n")) & (hi >= lo)).select("blk", "issue", "n", "words", "pn", "seg", "_size", F.explode(F.sequence(lo, hi)).alias("_s"))
-    return places.select(F.xxhash64("blk", "pn", "seg", F.array_join(F.slice("words", F.col("_s") + 1, F.col("_size")), " ")).alias("key"), "issue", "n", "pn").distinct()
-
-
-def word_distance(a: Column, b: Column, most: Column | None = None) -> Column:
+    k, pn, i = edits(F.col("pn")), F.col("pn"), F.col("seg")
+    at = cut_at(pn, k + 1, i)
+    segs = segs.withColumns({"_at": at, "_size": cut_at(pn, k + 1, i + 1) - at, "_back": at - (pn - F.col("n")), "_rest": k - i})
+    # If segment i is the first that is whole, at most i edits lie before it and at most k - i after it: its place
+    # in the shorter text is within i of its own place and within k - i of its place counted from the end.
+    lo = F.greatest(F.lit(0), F.col("_at") - i, F.col("_back") - F.col("_rest"))
+    hi = F.least(F.col("n") - F.col("_size"), F.col("_at") + i, F.col("_back") + F.col("_rest"))
+    places = segs.where((F.col("_size") <= F.col("n")) & (hi >= lo)).select("blk", "issue", "words", "pn", "seg", "_size", F.explode(F.sequence(lo, hi)).alias("_s"))
+    return places.select(F.xxhash64("blk", "pn", "seg", F.array_join(F.slice("words", F.col("_s") + 1, F.col("_size")), " ")).alias("key"), "issue", "pn")
+
+
+def word_distance(a: Column, b: Column) -> Column:
     """Edits of words between two word lists: both are spelled as strings with one character per distinct word."""
     known = F.array_distinct(F.concat(a, b))
     # Code points from U+0100 on, without surrogates; enough for 55,000 distinct words of a pair.
     spell = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(spell(a), spell(b)) if most is None else F.levenshtein(spell(a), spell(b))
+    return F.levenshtein(spell(a), spell(b))
 
 
 def met_pairs(asked: DataFrame, shown: DataFrame) -> DataFrame:
@@ -129,63 +130,62 @@ def near_links(asked_texts: DataFrame, texts: DataFrame, met: DataFrame) -> Data
 
 def empty_state(spark) -> dict[str, DataFrame]:
     return {
-        "reps": spark.createDataFrame([], "issue string, blk bigint, words array<string>, n int, first_scan bigint, cluster string"),
-        "keys": spark.createDataFrame([], "key bigint, issue string, n int"),
-        "asked": spark.createDataFrame([], "key bigint, issue string, n int, pn int"),
+        "reps": spark.createDataFrame([], "issue bigint, print binary, blk bigint, words array<string>, n int, first_scan bigint, near_first bigint"),
+        "keys": spark.createDataFrame([], "key bigint, issue bigint, n int"),
+        "asked": spark.createDataFrame([], "key bigint, issue bigint, pn int"),
+        "clusters": spark.createDataFrame([], "issue bigint, cluster bigint"),
     }
 
 
 def link_batch(state: dict[str, DataFrame], batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(rows of the batch with first_earlier_scan and cluster, state after it).
+    """(rows of the batch with first_earlier_scan, state after it without its clusters: see ``update_clusters``).
 
     The batch may hold several scans; repeats among them count in the order of scan_id, and batches may
-    come in any cut as long as later batches have greater scan_ids per target.
+    come in any cut as long as later batches have greater scan_ids per target. An issue text is known by the least
+    finding_id of the batch that brought it.
     """
-    rows = cut(issue_texts(batch), "issues")
-    new_first = rows.groupBy("issue").agg(F.min("scan_id").alias("_first"), F.first("blk").alias("blk"), F.first("words").alias("words"), F.first("n").alias("n"))
+    rows = issue_texts(batch)
+    delivered = rows.groupBy("print").agg(
+        F.min("scan_id").alias("scan"), F.min("finding_id").alias("own"), F.first("blk").alias("blk"), F.first("words").alias("words"), F.first("n").alias("n"),
+    )
     old = state["reps"]
-    known = old.select("issue", F.col("first_scan").alias("_old"), F.col("cluster").alias("_cluster"))
-    touched = cut(new_first.join(known, "issue", "left").withColumn("first_scan", F.least("_first", "_old")), "touched")
-    fresh = touched.where(F.col("_old").isNull())
+    known = old.select("print", F.col("issue").alias("old_issue"), F.col("first_scan").alias("old_first"), F.col("near_first").alias("old_near"))
+    touched = cut(
+        delivered.join(known, "print", "left").select(
+            F.coalesce("old_issue", "own").alias("issue"), "print", "blk", "words", "n", F.least("scan", "old_first").alias("first_scan"),
+            F.col("old_near").alias("near_first"), F.col("old_issue").isNull().alias("fresh"),
+        ), "touched",
+    )
+    fresh = touched.where("fresh")
+    others = old.join(touched.select("issue"), "issue", "left_anti")
 
     # Texts new to the history are the only ones that need probing: asked against shown, both ways.
-    fresh_keys, fresh_asked = cut(shown_keys(fresh), "shown"), cut(asked_keys(fresh), "asked")
+    fresh_keys, fresh_asked = shown_keys(fresh), asked_keys(fresh)
     met = met_pairs(fresh_asked, state["keys"].unionByName(fresh_keys))
-    back = met_pairs(state["asked"], fresh_keys).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    back = met_pairs(state["asked"], fresh_keys)
     ends = met.unionByName(back).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = old.select("issue", "words").unionByName(fresh.select("issue", "words"))
-    links = cut(near_links(texts, texts, ends), "links")
+    kept = ["issue", "print", "blk", "words", "n", "first_scan", "near_first"]
+    now = others.select(kept).unionByName(touched.select(kept))
+    links = cut(near_links(now, now, ends), "links")
 
     # The earliest scan of any text alike: an aggregate over the links, no group is collected.
-    first = old.select("issue", "first_scan").join(touched.select("issue"), "issue", "left_anti").unionByName(touched.select("issue", "first_scan"))
-    sym = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near_first = sym.join(first.withColumnRenamed("issue", "b"), "b").groupBy("a").agg(F.min("first_scan").alias("near_first")).withColumnRenamed("a", "issue")
-    old_near = state.get("near")
-    if old_near is not None:
-        near_first = near_first.unionByName(old_near).groupBy("issue").agg(F.min("near_first").alias("near_first"))
-    near_first = cut(near_first, "near")
-
-    clusters = merge_clusters(old, fresh, links)
-    reps = cut(
-        first.join(old.select("issue", "blk", "words", "n").unionByName(fresh.select("issue", "blk", "words", "n")), "issue")
-        .join(clusters, "issue").select("issue", "blk", "words", "n", "first_scan", "cluster"), "reps",
-    )
+    first = now.select(F.col("issue").alias("b"), "first_scan")
+    sym = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    near = sym.join(first, "b").groupBy("a").agg(F.min("first_scan").alias("new_near")).withColumnRenamed("a", "issue")
+    reps = cut(now.join(near, "issue", "left").withColumn("near_first", F.least("near_first", "new_near")).drop("new_near"), "reps")
     marked = (
-        rows.join(reps.select("issue", "first_scan", "cluster"), "issue").join(near_first, "issue", "left")
-        .select("finding_id", "scan_id", "issue", "cluster", F.least("first_scan", "near_first").alias("first_earlier_scan"))
+        rows.select("finding_id", "scan_id", "print").join(reps.select("print", "issue", F.least("first_scan", "near_first").alias("first_earlier_scan")), "print")
+        .select("finding_id", "scan_id", "issue", "first_earlier_scan")
     )
-    after = {"reps": reps, "keys": state["keys"].unionByName(fresh_keys), "asked": state["asked"].unionByName(fresh_asked), "near": near_first, "links": links}
+    after = {"reps": reps, "keys": state["keys"].unionByName(fresh_keys), "asked": state["asked"].unionByName(fresh_asked), "clusters": state["clusters"], "links": links}
     return marked, after
 
 
-def merge_clusters(old: DataFrame, fresh: DataFrame, links: DataFrame) -> DataFrame:
-    """(issue, cluster): union-find over representatives; only clusters with a new link change."""
-    base = old.select("issue", "cluster").unionByName(fresh.select("issue", F.col("issue").alias("cluster")))
+def update_clusters(state: dict[str, DataFrame]) -> DataFrame:
+    """(issue, cluster) after a batch: union-find over the clusters' representatives; only clusters that a new link joins change."""
+    base = state["reps"].select("issue").join(state["clusters"], "issue", "left").select("issue", F.coalesce("cluster", "issue").alias("cluster"))
     ca, cb = base.select(F.col("issue").alias("a"), F.col("cluster").alias("ca")), base.select(F.col("issue").alias("b"), F.col("cluster").alias("cb"))
-    edges = links.join(ca, "a").join(cb, "b").where(F.col("ca") != F.col("cb")).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    from tracewell.llm.setjoin import components
-
-    edges = cut(edges, "cluster-edges")
+    edges = cut(state["links"].join(ca, "a").join(cb, "b").where(F.col("ca") != F.col("cb")).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "cluster-edges")
     roots = components(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges)
     return base.join(roots.withColumnRenamed("id", "cluster"), "cluster", "left").select("issue", F.coalesce("group", "cluster").alias("cluster"))
 
@@ -193,17 +193,25 @@ def merge_clusters(old: DataFrame, fresh: DataFrame, links: DataFrame) -> DataFr
 def repeats(findings: DataFrame) -> DataFrame:
     """(finding_id, scan_id): findings that some smaller scan_id of the target already delivered, exactly or nearly."""
     marked, _ = link_batch(empty_state(findings.sparkSession), findings)
-    return marked.where(F.col("first_earlier_scan") < F.col("scan_id"))
+    return marked.where(F.col("first_earlier_scan") < F.col("scan_id")).select("finding_id", "scan_id").distinct()
+
+
+def clustered(findings: DataFrame) -> DataFrame:
+    """(finding_id, issue, cluster) of every finding; a cluster is known by its least issue."""
+    marked, state = link_batch(empty_state(findings.sparkSession), findings)
+    return marked.select("finding_id", "issue").distinct().join(update_clusters(state), "issue").select("finding_id", "issue", "cluster")
 
 
 def save_state(state: dict[str, DataFrame], folder: str) -> None:
-    """Persist the history; each table is written whole next to the last one and read by ``load_state``."""
-    for name, df in state.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    """Persist the history after a batch in a new folder; the one it was read from is not written to."""
+    clusters = update_clusters(state)
+    for name, df in {**state, "clusters": clusters}.items():
+        if name != "links":
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def load_state(spark, folder: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("reps", "keys", "asked", "near", "links")}
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("reps", "keys", "asked", "clusters")}
 
 
 FIELDS = ("same_path", "same_message", "same_severity", "near_line", "close")
@@ -235,7 +243,7 @@ def learn_weights(patterns: list[tuple[tuple[bool, ...], int]], rounds: int = 30
 def scored_links(findings: DataFrame) -> DataFrame:
     """(a, b, distance, longer, score): links between issue texts, scored by their earliest findings' fields."""
     _, state = link_batch(empty_state(findings.sparkSession), findings)
-    ids = issue_texts(findings).select("finding_id", "scan_id", "issue")
+    ids = issue_texts(findings).join(state["reps"].select("print", "issue"), "print").select("finding_id", "scan_id", "issue")
     fields = findings.select("finding_id", plain_path(F.col("path")).alias("path"), "message", F.lower("severity").alias("severity"), "line").dropDuplicates(["finding_id"])
     firsts = ids.join(fields, "finding_id").groupBy("issue").agg(F.min_by(F.struct("path", "message", "severity", "line"), F.struct("scan_id", "finding_id")).alias("f"))
     both = state["links"].join(firsts.select(F.col("issue").alias("a"), F.col("f").alias("fa")), "a").join(firsts.select(F.col("issue").alias("b"), F.col("f").alias("fb")), "b")

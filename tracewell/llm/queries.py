@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.authored import find_not_authored, judged_files, named_files, shared_subtrees
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
-from tracewell.llm.linkage import repeats, scored_links
+from tracewell.llm.linkage import clustered, repeats, scored_links
 from tracewell.llm.residue import find_residue
 from tracewell.llm.secrets import find_credentials
 from tracewell.llm.setjoin import components, expand, similar_sets
@@ -45,6 +45,11 @@ def p4_scans(spark: SparkSession, d: str) -> DataFrame:
     return scans.join(found, "scan_id", "left").select("scan_id", F.coalesce("repeats", F.lit(0)).alias("repeats"), "baselined")
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding with its issue text and the cluster of issue texts linked to it."""
+    return clustered(table(spark, d, "findings"))
+
+
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Near links between issue texts with their learned score."""
     return scored_links(table(spark, d, "findings"))
@@ -109,8 +114,10 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_evidence": p3_evidence,
-    "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links,
-    "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p7_counts": p7_counts,
+    "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links, "p4_clusters": p4_clusters,
+    "p5_found": p5_found, "p5_groups": p5_groups,
+    "p6_found": p6_found, "p6_authored": p6_authored, "p6_shared_subtrees": p6_shared_subtrees,
+    "p7_ids": p7_ids, "p7_counts": p7_counts,
     "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
 }
 
