@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import cut
+
 # Directories that hold third-party copies, generated code or build output.
 VENDOR_DIRS = (
     "node_modules bower_components vendor third_party third-party thirdparty external extern externals deps Pods Carthage "
@@ -116,28 +118,32 @@ def named_files(files: DataFrame) -> DataFrame:
 def shared_subtrees(files: DataFrame, least_files: int = 2, least_roots: int = 2, least_chars: int = 400) -> DataFrame:
     """(root, dir): directories whose Merkle hash also stands in unrelated roots.
 
-    Leaves hash the name and the text; files without a text make their directories unknown. Related roots (the same
-    owner before the first '/') count as one.
+    Leaves hash the name and the text; files without a text make their directories unlike any other. Related roots (the
+    same owner before the first '/') count as one. A directory's hash folds its children's with two exclusive ors, a sum
+    and a count, so a directory of any size is aggregated before the shuffle and never collected.
     """
     own = F.lower(F.element_at(F.split(F.coalesce("root", F.lit("")), "/"), 1))
-    leaves = files.where(F.col("path").isNotNull()).select(
-        "root", own.alias("owner"), F.split("path", "/").alias("seg"),
-        F.coalesce(F.sha2("text", 256), F.concat(F.lit("?"), F.col("file_id").cast("string"))).alias("hash"), F.length("text").alias("chars"), F.lit(1).alias("n"),
+    leaves = cut(
+        files.where(F.col("path").isNotNull()).select(
+            F.coalesce("root", F.lit("")).alias("root"), own.alias("owner"), F.split("path", "/").alias("seg"),
+            F.coalesce(F.md5("text"), F.concat(F.lit("?"), F.col("file_id").cast("string"))).alias("hash"), F.length("text").cast("bigint").alias("chars"),
+        ).groupBy("root", "owner", "seg").agg(F.min("hash").alias("hash"), F.max("chars").alias("chars")).select("*", F.lit(1).cast("bigint").alias("n")),
+        "leaves",
     )
-    # Each node goes to its parent once its level is reached: deepest first.
     depth = leaves.agg(F.max(F.size("seg"))).first()[0] or 1
-    nodes, dirs = leaves.withColumn("d", F.size("seg")), None
+    name, child = F.element_at("seg", -1), F.col("hash")
+    made, dirs = None, None
     for level in range(depth, 1, -1):
-        here = nodes.where(F.col("d") == level)
-        made = (
-            here.groupBy("root", "owner", F.slice("seg", 1, level - 1).alias("seg"))
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat(F.element_at("seg", -1), F.lit("\x1f"), F.col("hash")))), "\n"), 256).alias("hash"), F.sum("chars").alias("chars"), F.sum("n").alias("n"))
-            .withColumn("d", F.size("seg"))
+        here = leaves.where(F.size("seg") == level)
+        here = here if made is None else here.unionByName(made)
+        folded = here.groupBy("root", "owner", F.slice("seg", 1, level - 1).alias("seg")).agg(
+            F.bit_xor(F.xxhash64(name, child)).alias("x"), F.bit_xor(F.xxhash64(child, F.lit(1), name)).alias("y"),
+            F.sum(F.shiftright(F.xxhash64(child, F.lit(2), name), 20)).alias("z"), F.count(F.lit(1)).alias("k"), F.sum("chars").alias("chars"), F.sum("n").alias("n"),
         )
+        made = cut(folded.select("root", "owner", "seg", F.md5(F.concat_ws(",", "x", "y", "z", "k")).alias("hash"), "chars", "n"), "subtrees")
         dirs = made if dirs is None else dirs.unionByName(made)
-        nodes = nodes.where(F.col("d") < level).unionByName(made)
     if dirs is None:
-        return files.select("root", F.col("path").alias("dir")).limit(0)
+        return leaves.select("root", F.lit("").alias("dir")).limit(0)
     big = dirs.where((F.col("n") >= least_files) & (F.col("chars") >= least_chars))
     spread = big.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") >= least_roots)
     return big.join(spread, "hash").select("root", F.array_join("seg", "/").alias("dir")).distinct()
@@ -148,7 +154,7 @@ def judged_files(files: DataFrame) -> DataFrame:
     named = named_files(files)
     direct = named.withColumn("evidence", F.coalesce(path_evidence(F.col("path")), text_evidence(F.col("text"))))
     shared = shared_subtrees(named)
-    up = direct.where(F.col("evidence").isNull()).select("file_id", "root", F.split("path", "/").alias("seg"))
+    up = direct.where(F.col("evidence").isNull()).select("file_id", F.coalesce("root", F.lit("")).alias("root"), F.split("path", "/").alias("seg"))
     up = up.select("file_id", "root", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("seg") - 1, F.lit(1))), lambda i: F.array_join(F.slice("seg", F.lit(1), i), "/"))).alias("dir"))
     copied = up.join(shared, ["root", "dir"], "left_semi").select("file_id").distinct().withColumn("copied", F.lit("shared subtree"))
     return direct.drop("text").join(copied, "file_id", "left").select("file_id", "root", "path", F.coalesce("evidence", "copied").alias("evidence"))
