@@ -1,15 +1,16 @@
 """Splitting long texts at natural boundaries by agglomerative merging.
 
-A text is cut into atomic segments at its pre-tokenizer pieces. Every gap between two
-segments has a strength: section break, blank line, line end, sentence end, clause, word,
-inside a word. Segments start small and neighbours are merged weakest gap first (a heap,
-ties: the smaller joint size, then the earlier gap) while the joint size plus the overlap
-stays within the limit. What remains are the pieces; each after the first is led by up to
-``overlap`` tokens of the end of the one before, begun at a gap as well.
-
-Sizes are exact: segments start at pre-token boundaries, and each finished piece is encoded
-again and loses overlap if it is too long. A pre-token longer than the room is cut by tokens
-at character boundaries.
+A text is cut into atomic segments at line and sentence ends; a segment too large for an overlap
+is cut further at its pre-tokenizer pieces. Every gap between two segments has a strength:
+section break, blank line, line end, sentence end, clause, word, inside a word. Segments start
+small and neighbours are merged weakest gap first (a heap, ties: the smaller joint size, then the
+earlier gap) while the joint size plus the overlap stays within the limit. What remains are the
+pieces; each after the first is led by up to ``overlap`` tokens of the end of the one before, begun
+at a gap as well.
+
+Sizes are exact: each finished piece is encoded again, loses overlap if it is too long, and is
+halved at a gap in the rare case that its parts encode to fewer tokens than the whole. A pre-token
+longer than the room is cut by tokens at character boundaries.
 
 Defined results: null and empty texts and texts within the limit give no pieces; the pieces
 without their overlaps are the text; repeated rows count once per key.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +34,9 @@ LIMIT, OVERLAP = 512, 64
 SCHEMA = "doc_id bigint, piece_no int, start_char int, end_char int, overlap_tokens int, n_tokens int, piece string"
 
 _PIECE = regex.compile(PATTERN)
+#: Line ends with all blank lines after them; sentence ends before white space; ends of sentences without spaces.
+_GAP = regex.compile(r"\n(?:[ \t\r]*\n)*(?!$)|(?<=[.!?…][\"')\]]?)(?=\s[^\n\s])|[。！？；]+(?!$)")
+_SECTION = frozenset("#=-*")
 _SENTENCE_END = frozenset(".!?。！？…")
 _CLAUSE_END = frozenset(",;:，；：、)]}")
 
@@ -60,31 +65,46 @@ def piece_size(piece: str, path: str) -> int:
     return len(encoding(path).encode_ordinary(piece))
 
 
-def atoms(text: str, path: str, room: int) -> list[tuple[int, int, int]]:
-    """(start, tokens, strength of the gap before) of each atomic segment; none has more than ``room`` tokens."""
-    enc, table = encoding(path), id_bytes(path)
-    out, before = [], ""
-    for m in _PIECE.finditer(text):
+def fine_atoms(text: str, begin: int, end: int, strength: int, path: str, room: int) -> Iterator[tuple[int, int, int]]:
+    """The pre-tokens of a segment as atoms; none has more than ``room`` tokens."""
+    enc, table, before = encoding(path), id_bytes(path), ""
+    for m in _PIECE.finditer(text, begin, end):
         piece = m.group()
-        strength = gap_strength(before, piece) if before else 6
-        if (size := piece_size(piece, path)) <= room:
-            out.append((m.start(), size, strength))
-        else:
-            ids = enc.encode_ordinary(piece)
-            at, i = m.start(), 0
-            while i < len(ids):
-                # A character may span tokens: shorten until the bytes are whole characters.
-                k = min(room, len(ids) - i)
-                while True:
-                    raw = b"".join(table[x] for x in ids[i : i + k])
-                    try:
-                        part = raw.decode("utf-8")
-                        break
-                    except UnicodeDecodeError:
-                        k -= 1
-                out.append((at, k, strength if i == 0 else 0))
-                at, i = at + len(part), i + k
+        if before:
+            strength = gap_strength(before, piece)
         before = piece
+        if (size := piece_size(piece, path)) <= room:
+            yield m.start(), size, strength
+            continue
+        ids, at, i = enc.encode_ordinary(piece), m.start(), 0
+        while i < len(ids):
+            # A character may span tokens: shorten until the bytes are whole characters.
+            k = min(room, len(ids) - i)
+            while True:
+                try:
+                    part = b"".join(table[x] for x in ids[i : i + k]).decode("utf-8")
+                    break
+                except UnicodeDecodeError:
+                    k -= 1
+            yield at, k, strength if i == 0 else 0
+            at, i = at + len(part), i + k
+
+
+def atoms(text: str, path: str, room: int, fine_above: int) -> list[tuple[int, int, int]]:
+    """(start, tokens, strength of the gap before) of each atomic segment."""
+    enc, out, begin, strength = encoding(path), [], 0, 6
+    for m in itertools.chain(_GAP.finditer(text), (None,)):
+        end = m.end() if m else len(text)
+        if end > begin:
+            size = len(enc.encode_ordinary(text[begin:end])) if end - begin <= 8 * room else room + 1
+            if size <= fine_above:
+                out.append((begin, size, strength))
+            else:
+                out += fine_atoms(text, begin, end, strength, path, room)
+            begin = end
+        if m:
+            breaks = m.group().count("\n")
+            strength = 3 if not breaks else 4 if breaks == 1 else 6 if text[end : end + 1] in _SECTION else 5
     return out
 
 
@@ -119,12 +139,13 @@ def split(text: str | None, path: str, limit: int = LIMIT, overlap: int = OVERLA
     """(start, end, overlap tokens, tokens, piece) of each piece; empty for a text within the limit."""
     if not text or len(text.encode()) <= limit or len(encode(text, path)) <= limit:
         return []
-    parts = atoms(text, path, limit - overlap)
+    parts = atoms(text, path, limit - overlap, overlap)
     starts, sizes, strengths = map(list, zip(*parts, strict=True))
     heads = merge(sizes, strengths, limit - overlap)
-    out = []
-    for k, h in enumerate(heads):
-        begin, end = starts[h], starts[heads[k + 1]] if k + 1 < len(heads) else len(text)
+    out, k = [], 0
+    while k < len(heads):
+        h, stop = heads[k], heads[k + 1] if k + 1 < len(heads) else len(starts)
+        begin, end = starts[h], starts[stop] if stop < len(starts) else len(text)
         lead, led = h, 0
         if k:
             best = None
@@ -136,13 +157,17 @@ def split(text: str | None, path: str, limit: int = LIMIT, overlap: int = OVERLA
             if best and best[2] >= 2 and best[1] >= overlap // 2:
                 lead, led = best[:2]
         while True:
-            piece = text[starts[lead] : end] if lead < h else text[begin:end]
-            n = len(encode(piece, path))
-            if n <= limit or lead == h:
+            # The overlap is counted as it is encoded by itself, at the end of the piece before.
+            led = len(encode(text[starts[lead] : begin], path)) if lead < h else 0
+            n = len(encode(text[starts[lead] : end], path))
+            if (n <= limit and led <= overlap) or lead == h:
                 break
-            led -= sizes[lead]
             lead += 1
-        out.append((begin, end, led, n, piece))
+        if n > limit:
+            heads.insert(k + 1, max(range(h + 1, stop), key=lambda i: (strengths[i], -abs(2 * i - h - stop))))
+            continue
+        out.append((begin, end, led, n, text[starts[lead] : end]))
+        k += 1
     return out
 
 
