@@ -13,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda's variable is bound, a repeated column would be computed again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches with their 0-based start: array<struct<start int, hit string>>.
 
@@ -20,9 +25,8 @@ def matches(text: Column, pattern: str) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(hits, lambda x: F.length(x))
     total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    return F.transform(hits, lambda h, i: F.struct((total(gaps, i + 1) + total(sizes, i)).alias("start"), h.alias("hit")))
+    return let(gaps, lambda g: let(hits, lambda hs: let(F.transform(hs, lambda x: F.length(x)), lambda z: F.transform(hs, lambda h, i: F.struct((total(g, i + 1) + total(z, i)).alias("start"), h.alias("hit"))))))
 
 
 def line_of(text: Column, start: Column) -> Column:
