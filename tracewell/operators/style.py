@@ -31,13 +31,14 @@ def top_trigrams(rows: DataFrame, group: str, k: int = 200) -> DataFrame:
 
 
 def layout(text: Column) -> dict[str, Column]:
-    """Ratios of the text's form, each rounded to six places."""
-    n = F.length(text).cast("double")
+    """The text's form in whole numbers: shares in millionths, the mean line in thousandths of a character."""
+    n = F.length(text)
     lines = F.split(text, "\n")
-    share = lambda cls: F.round((n - F.length(F.regexp_replace(text, cls, ""))) / n, 6)
+    part = lambda c, of, unit: F.floor(c * F.lit(float(unit)) / of)
+    share = lambda cls: part(n - F.length(F.regexp_replace(text, cls, "")), n, 1_000_000)
     return {
-        "blank_lines": F.round(F.size(F.filter(lines, lambda x: F.trim(x) == "")) / F.size(lines), 6),
-        "mean_line": F.round(n / F.size(lines), 6),
+        "blank_lines": part(F.size(F.filter(lines, lambda x: F.regexp_replace(x, r"[ \t\r]", "") == "")), F.size(lines), 1_000_000),
+        "mean_line": part(n, F.size(lines), 1000),
         "digits": share("[0-9]"), "upper": share("[A-Z]"), "punctuation": share("[.,;:!?]"), "brackets": share(r"[(){}\[\]]"),
     }
 

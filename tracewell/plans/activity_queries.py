@@ -101,12 +101,12 @@ def q_actor_first_last(spark, d):
 
 
 def q_burst_24h(spark, d):
-    e = table(spark, d, "events").select("user_id", F.unix_seconds("ts").alias("s"))
+    e = table(spark, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     return E.burst(e, "user_id", "s")
 
 
 def q_gap_median(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds("ts").alias("s"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     return E.gap_medians(e, "user_id", "s")
 
 
@@ -182,9 +182,9 @@ ORACLE = {
         a AS (SELECT word, rate AS r FROM r WHERE kind = 'report')
         SELECT kind, round(coalesce(sum(rate * r), 0) / (sqrt(sum(rate * rate)) * (SELECT sqrt(sum(r * r)) FROM a)), 3) AS cosine FROM r LEFT JOIN a USING (word) GROUP BY kind""",
     "q_trigram_topk": """WITH t AS (SELECT kind, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents), g AS (SELECT kind, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, CAST(i AS BIGINT), 3))) AS trigram FROM t WHERE length(t) >= 3)
-        SELECT kind, trigram, count(*) AS n FROM g GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, trigram) <= 200""",
-    "q_layout": """SELECT doc_id, round(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) / CAST(len(string_split(text, chr(10))) AS DOUBLE), 6) AS blank_lines, round(length(text) / CAST(len(string_split(text, chr(10))) AS DOUBLE), 6) AS mean_line,
-        """ + ", ".join(f"round((length(text) - length(regexp_replace(text, '{rx}', '', 'g'))) / CAST(length(text) AS DOUBLE), 6) AS {k}" for k, rx in (("digits", "[0-9]"), ("upper", "[A-Z]"), ("punctuation", "[.,;:!?]"), ("brackets", r"[(){}\[\]]"))) + " FROM documents WHERE length(text) > 0",
+        SELECT kind, trigram, count(*) AS n FROM g GROUP BY kind, trigram QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, trigram) <= 200""",
+    "q_layout": """SELECT doc_id, CAST(floor(len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \\t\\r]', '', 'g') = '')) * 1000000.0::DOUBLE / len(string_split(text, chr(10)))) AS BIGINT) AS blank_lines, CAST(floor(length(text) * 1000.0::DOUBLE / len(string_split(text, chr(10)))) AS BIGINT) AS mean_line,
+        """ + ", ".join(f"CAST(floor((length(text) - length(regexp_replace(text, '{rx}', '', 'g'))) * 1000000.0::DOUBLE / length(text)) AS BIGINT) AS {k}" for k, rx in (("digits", "[0-9]"), ("upper", "[A-Z]"), ("punctuation", "[.,;:!?]"), ("brackets", r"[(){}\[\]]"))) + " FROM documents WHERE length(text) > 0",
     "q_embedding_cosine": """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL)
         SELECT vec_id, label, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 5) AS cosine FROM x JOIN m USING (label, i) GROUP BY vec_id, label""",
     "q_events_by_kind": "SELECT lower(event_type) || 'event' AS kind, count(*) AS n FROM events GROUP BY 1",
