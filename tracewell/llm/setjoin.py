@@ -4,11 +4,12 @@ Sets are Jaccard-similar at ``t`` only if their symmetric difference is at most
 H = (1-t)/(1+t) * (|x|+|y|). Sets are put into size bands; a pair is found in the band of its
 larger set, where every token is hashed to one of m segments. Each set shows there, per
 segment, the hash of its segment (for partners with equal segments) and the hashes of the
-segment less one token (for partners that differ there by one). A probing set chooses per
-segment to skip it, to ask for equality or to allow one difference: allowances 0, 1, 2 whose
-sum must exceed H, as then some segment differs by no more than allowed. The choice takes the
-cheapest first, by how many sets show each signature (counted over all rows), so hot and empty
-segments are skipped. What meets is verified exactly against both sets.
+segment less one token (for partners that differ there by one). The larger set asks, in its own
+band only, and chooses per segment to skip it, to ask for equality or to allow one difference:
+allowances 0, 1, 2 whose sum must exceed H, as then some segment differs by no more than allowed.
+The choice takes the cheapest first, by how many sets show each signature, so hot and empty
+segments are skipped. The counts are a sketch of 2**20 counters over all rows, a fixed size; they
+steer the choice and never lose a pair. What meets is verified exactly against both sets.
 
 Sets that are equal are one class beforehand; candidates join class representatives only, so a
 group of copies that holds a third of all rows costs one row per copy. Hot signatures, if any are
@@ -21,115 +22,168 @@ last whole token, ids that are null are dropped.
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracewell.session import cut
 
 JACCARD, LEAST = 0.7, 20
 #: Segments per unit of allowance; more than 1/2 leaves room to skip hot segments.
-SEGMENTS_PER_DIFFERENCE = 0.75
+SEGMENTS_PER_DIFFERENCE = 0.8
+#: Size bands grow by (1/t) ** (1/BANDS): a partner's band is at most BANDS below.
+BANDS = 2
+COUNTERS, SLICES = 1 << 20, 64
 SALT_ABOVE, SALTS = 64, 32
 
-
-def tokens_of(fp: Column) -> Column:
-    """Distinct 64-bit tokens of a binary list of little-endian words (as 8-byte groups reversed)."""
-    groups = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(fp) / 8).cast("int") - 1), lambda i: F.substring(fp, i * 8 + 1, F.lit(8)))
-    words = F.transform(groups, lambda g: F.xxhash64(g))
-    return F.when(F.octet_length(fp) >= 8, F.array_sort(F.array_distinct(words)))
+_U = np.uint64
 
 
-def band_of(size: Column, t: float) -> Column:
-    """Bands grow by 1/t**0.25, so a partner's band is at most four below."""
-    return F.floor(F.log(size.cast("double")) / F.log(F.lit((1 / t) ** 0.25)) + 1e-9).cast("int")
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, element by element, with wrap-around."""
+    x = x ^ (x >> _U(31))
+    x = x * _U(0x9E3779B97F4A7C15)
+    x = x ^ (x >> _U(29))
+    x = x * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
 
-def allowance(band: Column, t: float) -> Column:
-    """Greatest symmetric difference of a pair whose larger set lies in ``band``."""
-    top = F.ceil(F.pow(F.lit((1 / t) ** 0.25), band + 1))
-    return F.floor((1 - t) / (1 + t) * 2 * top).cast("int")
+def tokens_of(fp: Column) -> Column:
+    """Distinct 64-bit tokens of a binary list of eight-byte words, as sorted longs."""
+    words = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(fp) / 8).cast("int") - 1), lambda i: F.xxhash64(F.substring(fp, i * 8 + 1, F.lit(8))))
+    return F.when(F.octet_length(fp) >= 8, F.array_sort(F.array_distinct(words)))
 
 
 def classes(files: DataFrame, key: str, fp: str, least: int) -> DataFrame:
-    """(id, rep, tokens): sets of at least ``least`` tokens; equal sets share the least id as rep."""
+    """(id, rep, tokens): sets of at least ``least`` tokens; equal sets share the least id as rep, which alone holds the tokens."""
     sets = (
         files.where(F.col(key).isNotNull() & (F.octet_length(fp) >= 8 * least))
         .select(F.col(key).alias("id"), tokens_of(F.col(fp)).alias("tokens"))
         .where(F.size("tokens") >= least)
-        .dropDuplicates(["id"])
+        .withColumn("_print", F.unhex(F.md5(F.array_join(F.transform("tokens", lambda x: F.hex(x)), ","))))
     )
-    print_ = F.sha2(F.array_join(F.transform("tokens", lambda x: F.hex(x)), ","), 256)
-    named = sets.withColumn("_print", print_)
-    reps = named.groupBy("_print").agg(F.min("id").alias("rep"))
-    return named.join(reps, "_print").select("id", "rep", "tokens")
+    reps = sets.groupBy("_print").agg(F.min("id").alias("rep"))
+    named = sets.join(reps, "_print").select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
+    return named.dropDuplicates(["id"])
+
+
+def band_of(n: int, t: float) -> int:
+    return math.floor(math.log(n) / math.log((1 / t) ** (1 / BANDS)) + 1e-9)
+
+
+def needed(band: int, t: float) -> int:
+    """One more than the greatest symmetric difference of a pair whose larger set lies in ``band``."""
+    top = math.ceil((1 / t) ** ((band + 1) / BANDS))
+    return math.floor((1 - t) / (1 + t) * 2 * top + 1e-9) + 1
+
 
+def signatures(tokens: np.ndarray, band: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, less, segment of less): a signature per segment, and one per token for its segment without it."""
+    m = max(1, math.ceil(needed(band, t) * SEGMENTS_PER_DIFFERENCE))
+    h = mix(tokens)
+    seg = (mix(h + _U(0x5851F42D4C957F2D)) % _U(m)).astype(np.int64)
+    sums = np.zeros(m, dtype=_U)
+    np.add.at(sums, seg, h)
+    place = mix(np.arange(m, dtype=_U) + _U(band * 1_000_003 + 17))
+    return mix(sums + place), mix(sums[seg] - h + place[seg]) ^ _U(0x2545F4914F6CDD1D), seg
 
-def segments(reps: DataFrame, t: float) -> DataFrame:
-    """(id, n, band, need, seg, part): the segment of every set in its own band and those its larger partners may lie in."""
-    own = band_of(F.size("tokens"), t)
-    in_band = reps.select("id", F.size("tokens").alias("n"), "tokens", F.explode(F.sequence(own, own + 4)).alias("band"))
-    need = allowance(F.col("band"), t) + 1
-    m = F.greatest(F.ceil(need * SEGMENTS_PER_DIFFERENCE), F.lit(1)).cast("int")
-    tagged = in_band.withColumns({"need": need, "m": m})
-    seg_of = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda s: F.struct(s.alias("seg"), F.filter("tokens", lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.col("m")) == s).alias("part")))
-    return tagged.select("id", "n", "band", "need", F.explode(seg_of).alias("_s")).select("id", "n", "band", "need", F.col("_s.seg").alias("seg"), F.col("_s.part").alias("part"))
 
+def as_less(whole: np.ndarray) -> np.ndarray:
+    """The signature by which a whole segment meets partners that show it less one token."""
+    return whole ^ _U(0x2545F4914F6CDD1D)
 
-def join_text(xs: Column) -> Column:
-    return F.array_join(F.transform(xs, lambda x: x.cast("string")), ",")
+
+def shown(tokens: np.ndarray, t: float) -> np.ndarray:
+    own = band_of(len(tokens), t)
+    return np.concatenate([x for b in range(own, own + BANDS + 1) for x in signatures(tokens, b, t)[:2]])
+
+
+def asked(tokens: np.ndarray, t: float, counters: np.ndarray) -> np.ndarray:
+    """The signatures that the cheapest allowances ask for."""
+    own = band_of(len(tokens), t)
+    whole, less, seg = signatures(tokens, own, t)
+    bare = less ^ _U(0x2545F4914F6CDD1D)
+    cost = lambda s: counters[(s & _U(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
+    first = cost(whole)
+    second = cost(as_less(whole)) + np.bincount(seg, weights=cost(bare), minlength=len(whole)).astype(np.int64)
+    # The step to one difference never comes before the step to equality: it is priced at no less.
+    prices = np.concatenate([first, np.maximum(first, second)])
+    order = np.lexsort((np.concatenate([np.zeros(len(whole)), np.ones(len(whole))]), prices))[: needed(own, t)]
+    one, two = order[order < len(whole)], order[order >= len(whole)] - len(whole)
+    wide = np.zeros(len(whole), dtype=bool)
+    wide[two] = True
+    return np.concatenate([whole[one], as_less(whole[two]), bare[wide[seg]]])
+
+
+def sketch(reps: DataFrame, t: float) -> np.ndarray:
+    """How many signatures fall on each counter, over all sets: summed by slices, which reach the driver as bytes."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for x in b["tokens"]:
+                np.add.at(held, (shown(np.asarray(x, dtype=np.int64).view(_U), t) & _U(COUNTERS - 1)).astype(np.int64), 1)
+        for k in np.flatnonzero(held.reshape(SLICES, -1).any(axis=1)).tolist():
+            yield pd.DataFrame({"slice": [k], "packed": [zlib.compress(held.reshape(SLICES, -1)[k].tobytes(), 1)]})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in b["packed"])
+        return pd.DataFrame({"slice": b["slice"].iloc[:1], "packed": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+
+    schema = "slice int, packed binary"
+    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int32)
+    for k, packed in reps.select("tokens").mapInPandas(count, schema).groupBy("slice").applyInPandas(add, schema).collect():
+        out[k] = np.frombuffer(zlib.decompress(packed), dtype=np.int32)
+    return out.reshape(-1)
 
 
 def candidates(reps: DataFrame, t: float) -> DataFrame:
     """(a, b): pairs of set ids, a < b, that some segment brings together."""
-    own = lambda x: F.xxhash64("band", "seg", x)
-    segs = segments(reps, t)
-    less = F.transform("part", lambda x: F.xxhash64(F.col("band"), F.col("seg"), join_text(F.filter("part", lambda y: y != x))))
-    signed = cut(segs.select("id", "n", "band", "need", "seg", own(join_text(F.col("part"))).alias("whole"), less.alias("less")), "segments")
-
-    # What the sets show: their whole segment (kind 0) and the segment less one token (kind 1).
-    shown = signed.select("id", "n", "band", "seg", F.explode(F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.col("whole").alias("sig"))),
-        F.transform("less", lambda h: F.struct(F.lit(1).alias("kind"), h.alias("sig"))),
-    )).alias("_x")).select("id", "n", "band", "_x.kind", "_x.sig")
-    # Cost of a signature: the sets that show it.
-    cost = shown.groupBy("sig").agg(F.count_if(F.col("kind") == 0).alias("whole_n"), F.count(F.lit(1)).alias("all_n"))
-
-    # Allowing one difference: own whole segment against whole and shortened ones, own shortened ones against whole ones.
-    asked = signed.select("id", "n", "band", "need", "seg", F.explode(F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.col("whole").alias("sig"))),
-        F.transform("less", lambda h: F.struct(F.lit(1).alias("kind"), h.alias("sig"))),
-    )).alias("_x")).select("id", "n", "band", "need", "seg", "_x.kind", "_x.sig")
-    priced = asked.join(cost, "sig")
-    per_segment = priced.groupBy("id", "n", "band", "need", "seg").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("whole_n"))).alias("cost1"),
-        F.sum(F.when(F.col("kind") == 0, F.col("all_n")).otherwise(F.col("whole_n"))).alias("cost2"),
-        F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("whole"),
-        F.collect_list(F.when(F.col("kind") == 1, F.col("sig"))).alias("less"),
-    )
-    # Steps 'equality' and 'one difference' of every segment; the cheapest `need` steps are taken. A segment's
-    # second step never precedes its first: it is priced at no less.
-    steps = F.array(F.struct(F.col("cost1").alias("price"), F.lit(1).alias("step")), F.struct(F.greatest(F.col("cost1"), F.col("cost2") - F.col("cost1")).alias("price"), F.lit(2).alias("step")))
-    w = Window.partitionBy("id", "band").orderBy("price", "seg", "step")
-    taken = (
-        per_segment.select("id", "n", "band", "need", "seg", "whole", "less", F.explode(steps).alias("_p"))
-        .select("*", F.col("_p.price").alias("price"), F.col("_p.step").alias("step"))
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("need"))
-    )
-    # Step 1 asks whole against whole; step 2 adds whole against shortened and shortened against whole.
-    questions = taken.select("id", "n", "band", F.explode(F.when(
-        F.col("step") == 1, F.array(F.struct(F.col("whole").alias("sig"), F.lit(0).alias("kind")))
-    ).otherwise(F.concat(
-        F.array(F.struct(F.col("whole").alias("sig"), F.lit(1).alias("kind"))),
-        F.transform("less", lambda h: F.struct(h.alias("sig"), F.lit(0).alias("kind"))),
-    ))).alias("_q")).select("id", "n", "band", F.col("_q.sig").alias("sig"), F.col("_q.kind").alias("kind"))
-
-    # Hot signatures are spread: the shown side over salts, the asking side copied to each.
-    hot = cost.where(F.col("all_n") > SALT_ABOVE).select("sig", F.lit(SALTS).alias("_salts"))
-    show = shown.join(hot, "sig", "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.col("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("_salts")
-    ask = questions.join(hot, "sig", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    a, b = ask.alias("a"), show.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id")))
+    spark = reps.sparkSession
+    counters = spark.sparkContext.broadcast(sketch(reps, t))
+
+    def rows(make):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), 500):
+                    part = b.iloc[at : at + 500]
+                    made = [make(np.asarray(x, dtype=np.int64).view(_U)) for x in part["tokens"]]
+                    sizes = [len(x) for x in made]
+                    yield pd.DataFrame({
+                        "sig": np.concatenate(made).view(np.int64) if made else np.zeros(0, dtype=np.int64),
+                        "id": np.repeat(part["id"].to_numpy(dtype=np.int64), sizes), "n": np.repeat(np.array([len(x) for x in part["tokens"]], dtype=np.int32), sizes),
+                    })
+
+        return each
+
+    schema = "sig bigint, id bigint, n int"
+    ask = reps.mapInPandas(rows(lambda x: asked(x, t, counters.value)), schema)
+    show = reps.mapInPandas(rows(lambda x: shown(x, t)), schema)
+
+    # Signatures whose counter is hot are spread: the shown side over salts, the asking side copied to each.
+    def salted(copy: bool):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sig, ids, n = b["sig"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy()
+                hot = counters.value[(sig.view(_U) & _U(COUNTERS - 1)).astype(np.int64)] > SALT_ABOVE
+                if copy:
+                    times = np.where(hot, SALTS, 1)
+                    salt = np.concatenate([np.arange(k) for k in times]) if len(times) else np.zeros(0)
+                    sig, ids, n = np.repeat(sig, times), np.repeat(ids, times), np.repeat(n, times)
+                else:
+                    salt = np.where(hot, ids % SALTS, 0)
+                yield pd.DataFrame({"sig": sig, "salt": salt.astype(np.int32), "id": ids, "n": n})
+
+        return each
+
+    schema = "sig bigint, salt int, id bigint, n int"
+    a, b = ask.mapInPandas(salted(True), schema).alias("a"), show.mapInPandas(salted(False), schema).alias("b")
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") != F.col("b.id")))
     near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - 1e-9
     return met.where(near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
