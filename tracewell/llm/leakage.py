@@ -3,8 +3,9 @@
 Test items are put into a BM25 inverted index whose postings carry block maxima. Every
 passage of every text queries it: passages are windows of words that overlap by one word
 less than the shortest run that counts, so each run lies whole in some passage. Retrieval
-is WAND with block maxima over the terms the passage shares with the index, and returns
-every item whose score reaches that item's own threshold. The threshold is the least score
+bounds every block of items by its block maxima, skips the blocks that cannot reach a threshold
+and scores the rest, as block-max WAND does with its pivots, and returns every item whose
+score reaches that item's own threshold. The threshold is the least score
 that any of the item's runs can have (term weights without length normalisation, each term
 once), so retrieval loses nothing. What it returns is verified exactly: the passage must
 hold ``run`` consecutive words of the item, or all of them if it has fewer.
@@ -20,18 +21,19 @@ once; an item without words is never given away.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, PASSAGE, BLOCK = 12, 64, 64
+RUN, PASSAGE, BLOCK = 12, 64, 8
 MAX_ITEMS_BYTES = 64 << 20
 
 _WORD = re.compile(r"[^\W_]+")
@@ -52,7 +54,7 @@ def words(text: str | None) -> list[str]:
 class Bm25Index:
     """Postings with block maxima over a bounded set of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, k1: float = 1.2, block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, k1: float = 0.1, block: int = BLOCK):
         self.run = run
         self.ids, self.texts = [], []
         for item_id, text in sorted(items, key=lambda x: x[0]):
@@ -71,75 +73,42 @@ class Bm25Index:
             weight = {t: self.idf[t] * f * (k1 + 1) / (f + k1) for t, f in tf.items()}
             runs = [w[a : a + run] for a in range(max(1, len(w) - run + 1))]
             self.least.append(min(sum(weight[t] for t in set(r)) for r in runs) - 1e-9)
-        #: Per term: the end of each block of postings (item number) and the greatest weight in it.
-        self.blocks = {t: [(p[min(a + block, len(p)) - 1][0], max(x for _, x in p[a : a + block])) for a in range(0, len(p), block)] for t, p in self.postings.items()}
         self.top = {t: max(x for _, x in p) for t, p in self.postings.items()}
         self.floor = min(self.least, default=math.inf)
-        self.joined = [" " + " ".join(w) + " " for w in self.texts]
+        #: Blocks of consecutive items: per term the blocks it stands in and its greatest weight there; per block the least threshold.
+        self.blocks = {}
+        for t, p in self.postings.items():
+            most: dict[int, float] = {}
+            for i, x in p:
+                most[i // block] = max(most.get(i // block, 0.0), x)
+            self.blocks[t] = (np.fromiter(most, dtype=np.int64), np.fromiter(most.values(), dtype=np.float64))
+        self.block_floor = np.array([min(self.least[a : a + block]) for a in range(0, n, block)])
+        self.block = block
         #: Exact check: the item numbers of each run.
         self.runs: dict[tuple[str, ...], set[int]] = defaultdict(set)
         for i, w in enumerate(self.texts):
             for a in range(max(1, len(w) - run + 1)):
                 self.runs[tuple(w[a : a + run])].add(i)
 
-    def retrieve(self, terms: set[str]) -> list[int]:
-        """Items whose score for the passage's terms reaches their threshold (block-max WAND)."""
-        lists = [(self.postings[t], self.blocks[t], self.top[t]) for t in terms]
-        if sum(x[2] for x in lists) < self.floor:
-            return []
-        at = [0] * len(lists)
-        heap = [(p[0][0], k) for k, (p, _, _) in enumerate(lists)]
-        heapq.heapify(heap)
-        found, end = [], len(self.ids)
-
-        def advance(k: int, doc: int) -> None:
-            p, i = lists[k][0], at[k]
-            while i < len(p) and p[i][0] < doc:
-                i += 1
-            at[k] = i
-            if i < len(p):
-                heapq.heappush(heap, (p[i][0], k))
-
-        while heap:
-            # Pivot: the first item at which the upper bounds of the lists before it reach the floor.
-            bound, popped, pivot = 0.0, [], None
-            while heap:
-                doc, k = heapq.heappop(heap)
-                popped.append((doc, k))
-                bound += lists[k][2]
-                if bound >= self.floor:
-                    pivot = doc
-                    break
-            if pivot is None:
-                return found
-            while heap and heap[0][0] == pivot:
-                popped.append(heapq.heappop(heap))
-            # Block maxima around the pivot: skip the whole block if they cannot reach the floor.
-            sharp, limit = 0.0, end
-            for _, k in popped:
-                stop, most = next(((e, m) for e, m in lists[k][1] if e >= pivot), (end, 0.0))
-                sharp += most
-                limit = min(limit, stop + 1)
-            if heap:
-                limit = min(limit, heap[0][0])
-            if sharp < self.floor:
-                for _, k in popped:
-                    advance(k, max(limit, pivot + 1))
-                continue
-            score = 0.0
-            for doc, k in popped:
-                if doc < pivot:
-                    p, i = lists[k][0], at[k]
-                    while i < len(p) and p[i][0] < pivot:
-                        i += 1
-                    at[k] = i
-                if at[k] < len(lists[k][0]) and lists[k][0][at[k]][0] == pivot:
-                    score += lists[k][0][at[k]][1]
-            if score >= self.least[pivot]:
-                found.append(pivot)
-            for _, k in popped:
-                advance(k, pivot + 1)
-        return found
+    def retrieve(self, terms: list[str]) -> list[int]:
+        """Items whose score for the passage's terms reaches their threshold.
+
+        The upper bounds of all blocks come first; blocks whose bound stays below their least threshold are
+        skipped whole, and the terms' postings are opened only in the others.
+        """
+        where, most = zip(*(self.blocks[t] for t in terms), strict=True)
+        bound = np.bincount(np.concatenate(where), np.concatenate(most), minlength=len(self.block_floor))
+        found = []
+        for k in np.flatnonzero(bound >= self.block_floor).tolist():
+            low, high, scores = k * self.block, (k + 1) * self.block, defaultdict(float)
+            for t in terms:
+                p = self.postings[t]
+                for j in range(bisect_left(p, (low,)), len(p)):
+                    if p[j][0] >= high:
+                        break
+                    scores[p[j][0]] += p[j][1]
+            found += [i for i, x in scores.items() if x >= self.least[i]]
+        return sorted(found)
 
     def verify(self, passage: list[str], item: int) -> int:
         """Consecutive words of the item in the passage, if enough; else 0."""
@@ -150,14 +119,19 @@ class Bm25Index:
     def leaks(self, text: str | None, passage: int = PASSAGE) -> set[int]:
         """Item ids given away by a text."""
         w = words(text)
-        known = [t if t in self.idf else "" for t in w]
-        if sum(self.top[t] for t in set(known) if t) < self.floor:
+        top = self.top
+        known = [t if t in top else "" for t in w]
+        if sum(top[t] for t in set(known) if t) < self.floor:
             return set()
         found: set[int] = set()
         passage = max(passage, 2 * self.run)
         step = passage - self.run + 1
         for a in range(0, max(1, len(w) - self.run + 1), step):
-            for i in self.retrieve({t for t in known[a : a + passage] if t}):
+            terms = set(known[a : a + passage])
+            terms.discard("")
+            if sum(map(top.__getitem__, terms)) < self.floor:
+                continue
+            for i in self.retrieve(sorted(terms)):
                 if self.ids[i] not in found and self.verify(w[a : a + passage], i):
                     found.add(self.ids[i])
         return found
