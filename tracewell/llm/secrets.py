@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MASK = "[REDACTED]"
 SEGMENT = 400
@@ -123,6 +124,15 @@ _SEPARATORS = frozenset("-_./:@ ,")
 _CASED = re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)$")
 
 
+#: What every line that can show a credential holds, by itself or by its path; a superset of all contexts above, for Spark.
+LINE_GATE = (
+    r"(?i)" + "|".join(re.escape(n).replace("\\-", "-") for n in NAMES) + r"|(?<![a-z0-9])pw(?![a-z0-9])|(?<![a-z])pass(?![a-z])|bearer|basic|x-(?:api|auth)|@|[?&;](?:sig|signature|x-amz-signature|x-goog-signature|sas|auth|key)="
+    r"|://hooks?\.|key\s*=|sshpass|mysql|psql|mariadb|mongo|redis-cli|curl|(?:login|authenticate|sign_?in|auth)\w*\s*\(|machine|(?:login|credentials?)\s+for|otp"
+    r"|private key|gh[oprsu]_|github_pat_|glpat-|npm_|xox[abprs]-|[sr]k_(?:live|test)_|akia|whsec_|aiza|eyj"
+)
+PATH_GATE = _SECRET_PATH.pattern
+
+
 @functools.lru_cache(50_000)
 def residual(literal: str) -> int:
     """Characters of the literal that no word, pronounceable word or separator explains, in the cheapest segmentation."""
@@ -266,5 +276,6 @@ def find_credentials(findings: DataFrame, mask: str = MASK) -> DataFrame:
                     rows.append((i, e, redact(e, p, mask), len(s)))
             yield pd.DataFrame(rows, columns=["finding_id", "excerpt", "redacted", "n_values"])
 
-    rows = findings.select("finding_id", "excerpt", "path").where("finding_id IS NOT NULL AND excerpt IS NOT NULL AND excerpt <> ''").dropDuplicates(["finding_id"])
-    return rows.mapInPandas(scan, "finding_id bigint, excerpt string, redacted string, n_values int")
+    rows = findings.select("finding_id", "excerpt", "path").where("finding_id IS NOT NULL AND excerpt <> ''")
+    gated = rows.where(F.col("excerpt").rlike(LINE_GATE) | F.coalesce(F.translate("path", "\\", "/").rlike(PATH_GATE), F.lit(False)))
+    return gated.mapInPandas(scan, "finding_id bigint, excerpt string, redacted string, n_values int").dropDuplicates(["finding_id"])
