@@ -104,10 +104,10 @@ def asked_keys(texts: DataFrame) -> DataFrame:
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edits of words between two word lists: both are spelled as strings with one character per distinct word."""
-    known = F.array_distinct(F.concat(a, b))
-    # Code points from U+0100 on, without surrogates; enough for 55,000 distinct words of a pair.
-    spell = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(spell(a), spell(b))
+    # Code points from U+0100 on, without surrogates; enough for 55,000 distinct words of a pair. The words are bound
+    # to a lambda's variable, which is computed once.
+    spell = lambda known, ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0")), "")), "UTF-16BE")
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda known: F.levenshtein(spell(known, a), spell(known, b))), F.lit(0))
 
 
 def met_pairs(asked: DataFrame, shown: DataFrame) -> DataFrame:
