@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MASK = (1 << 64) - 1
 # Offset basis and prime of 64-bit FNV-1a; alphabet of z-base-32.
@@ -25,7 +26,7 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a_hex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit FNV-1a as 16 hexadecimal digits; null stays null."""
     for s in batches:
@@ -51,7 +52,7 @@ def osa(a: str, b: str, most: int) -> int:
 
 
 def osa_distance(a: Column, b: Column, most: int = 2) -> Column:
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else osa(p, q, most) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
@@ -75,20 +76,20 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def icon_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Murmur3 over MIME base64 (lines of 76 and a final line end) of the bytes."""
     for s in batches:
         yield s.map(lambda x: None if x is None else murmur3_32(base64.encodebytes(bytes(x)))).astype("Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else base64.b32encode(bytes(x)).decode())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def base32_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Null for text that is no base32."""
 
@@ -108,7 +109,7 @@ def zbase32(data: bytes) -> str:
 
 
 def hmac_sha256(key: bytes):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda x: None if x is None else hmac.new(key, x.encode(), hashlib.sha256).hexdigest())

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewell.functions.text import let
+
 # English function words.
 FUNCTION_WORDS = "a about after all also an and any as at be because been before but by can could do for from had has have he her his how i if in into is it its just may more most my no not of on one only or other our out over she so some such than that the their them then there these they this to under up was we were what when which who will with would you your".split()
 
@@ -24,7 +26,9 @@ def function_word_rates(rows: DataFrame) -> DataFrame:
 def top_trigrams(rows: DataFrame, group: str, k: int = 200) -> DataFrame:
     """(group, trigram, n): the k most frequent character trigrams of each group, ties in order of the trigram."""
     flat = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    grams = rows.select(group, flat.alias("t")).where(F.length("t") >= 3).select(group, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))).alias("trigram"))
+    # By characters in an array: a substring of a text with wide characters would be sought from its start each time.
+    made = let(F.split("t", ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    grams = rows.select(group, flat.alias("t")).where(F.length("t") >= 3).select(group, F.explode(made).alias("trigram"))
     counted = grams.groupBy(group, "trigram").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(group).orderBy(F.desc("n"), "trigram")
     return counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

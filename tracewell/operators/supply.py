@@ -80,12 +80,17 @@ def lookalikes(names: DataFrame, most: int = 400) -> DataFrame:
     n = names.select(F.lower("name").alias("name")).distinct().select("name", F.substring_index("name", ".", 1).alias("s"), F.expr("substring(name, length(substring_index(name, '.', 1)) + 1)").alias("rest"))
     i = F.sequence(F.lit(1), F.length("s"))
     cut = lambda a, b: F.substring(F.col("s"), a, b)
+
+    def swapped(old: str, new: str) -> Column:
+        at = F.filter(i, lambda k: cut(k, F.lit(1)) == old)
+        return F.transform(at, lambda k: F.concat(cut(F.lit(1), k - 1), F.lit(new), cut(k + 1, F.length("s"))))
+
     made = {
         "omission": F.transform(i, lambda k: F.concat(cut(F.lit(1), k - 1), cut(k + 1, F.length("s")))),
         "repetition": F.transform(i, lambda k: F.concat(cut(F.lit(1), k), cut(k, F.length("s")))),
         "transposition": F.when(F.length("s") > 1, F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda k: F.concat(cut(F.lit(1), k - 1), cut(k + 1, F.lit(1)), cut(k, F.lit(1)), cut(k + 2, F.length("s"))))),
         "hyphen": F.when(F.length("s") > 1, F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda k: F.concat(cut(F.lit(1), k), F.lit("-"), cut(k + 1, F.length("s"))))),
-        "confusable": F.flatten(F.array(*[F.transform(F.filter(i, lambda k, c=c: cut(k, F.lit(1)) == c), lambda k, r=r: F.concat(cut(F.lit(1), k - 1), F.lit(r), cut(k + 1, F.length("s")))) for c, rs in CONFUSABLE.items() for r in ([rs] if c in "mw" else rs)])),
+        "confusable": F.flatten(F.array(*[swapped(c, r) for c, rs in CONFUSABLE.items() for r in ([rs] if c in "mw" else rs)])),
     }
     rows = None
     for how, xs in made.items():
@@ -128,7 +133,8 @@ def copyleft(license: Column) -> Column:
 def sbom(deps: DataFrame) -> DataFrame:
     """Distinct packages per ecosystem and in all ('*')."""
     d = deps.select("ecosystem", "name", "version").distinct()
-    return d.groupBy(F.explode(F.array("ecosystem", F.lit("*"))).alias("ecosystem")).agg(F.count(F.lit(1)).alias("packages"), F.countDistinct("name").alias("names"))
+    both = d.select(F.explode(F.array("ecosystem", F.lit("*"))).alias("ecosystem"), "name", "version")
+    return both.groupBy("ecosystem").agg(F.count(F.lit(1)).alias("packages"), F.countDistinct("name").alias("names"))
 
 
 IMPORTS = {
