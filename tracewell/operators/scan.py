@@ -55,8 +55,8 @@ def near_keyword(text: Column, found: Column, keywords: Sequence[str]) -> Column
     """Hits that start within GATE bytes of the start of some keyword (any case)."""
     low = F.lower(text)
     byte_at = lambda s: F.octet_length(F.substring(text, F.lit(1), s))
-    spots = F.flatten(F.array(*[F.transform(literal_starts(low, k.lower()), lambda m: byte_at(m["start"])) for k in keywords]))
-    return F.filter(found, lambda h: F.exists(spots, lambda k: F.abs(k - byte_at(h["start"])) <= GATE))
+    spots = X.let(low, lambda t: F.flatten(F.array(*[F.transform(literal_starts(t, k.lower()), lambda m: byte_at(m["start"])) for k in keywords])))
+    return X.let(spots, lambda ks: F.filter(found, lambda h: X.let(byte_at(h["start"]), lambda at: F.exists(ks, lambda k: F.abs(k - at) <= GATE))))
 
 
 def any_contains(text: Column, literals: Sequence[str]) -> Column:

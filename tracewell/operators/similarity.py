@@ -87,7 +87,7 @@ def fast_minima(hashes: Column, perms: int = PERMS) -> Column:
 
 def band_keys(mins: Column, bands: int = BANDS, perms: int = PERMS) -> Column:
     rows = perms // bands
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(mins, b * rows + 1, rows)))
+    return let(mins, lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows))))
 
 
 def similar(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
