@@ -137,7 +137,8 @@ def parts(body: str, url: str | None = None, content_type: str | None = None) ->
     path = (url or "").split("?", 1)[0]
     source = not markup and bool(_SOURCE_PATH.search(path) or _SOURCE_TYPE.search(content_type or "") and not re.search(r"(?i)\.(?:html?|json|xml|txt|md)$", path) or len(_WORKFLOW.findall(text)) >= 3 or len(_CODELIKE.findall(text)) >= 3)
     text = _DROP.sub(" ", text)
-    text = _CODE.sub(" ", text) if markup else re.sub(r"(?s)```.*?```|`[^`\n]*`", " ", text)
+    # In an XML error the element <Code> holds the error's name.
+    text = text if re.search(r"<Error>\s*<Code>", text) else _CODE.sub(" ", text) if markup else re.sub(r"(?s)```.*?```|`[^`\n]*`", " ", text)
     if not markup:
         return [text], [], "" if source else html.unescape(text), source
     hidden = [html.unescape(_TAG.sub(" ", x)) for x in _NOSCRIPT.findall(text)]
