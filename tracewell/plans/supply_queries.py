@@ -210,7 +210,7 @@ ORACLE = {
     "q_waf_marks": f"SELECT mark, count(*) AS n FROM {_R1} CROSS JOIN (VALUES " + ", ".join("('{}', '{}')".format(k, rx.replace("'", "''")) for k, rx in A.WAF_MARKS.items()) + ") m(mark, rx) WHERE regexp_matches(body, rx) GROUP BY mark",
     "q_page_fields": f"""SELECT resp_id, nullif(trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(regexp_extract(body, '(?is)<meta\\s+name=["'']description["'']\\s+content=["'']([^"'']*)["'']', 1), '\\s+', ' ', 'g')), '') AS description,
         CAST(len(regexp_extract_all(body, '(?i)<script\\b')) AS INTEGER) AS scripts, CAST(len(regexp_extract_all(body, '(?i)<a\\s[^>]*href=')) AS INTEGER) AS links, CAST(len(regexp_extract_all(body, '(?i)<form\\b')) AS INTEGER) AS forms FROM {_R1} WHERE regexp_matches(body, '(?i)<html|<!doctype html')""",
-    "q_registry_bodies": f"""WITH b AS (SELECT body_id, text, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM {_B1} WHERE json_valid(text) AND regexp_matches(text, '^\\s*[{{\[]'))
+    "q_registry_bodies": f"""WITH b AS (SELECT body_id, text, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM {_B1} WHERE json_valid(text) AND regexp_matches(text, '^\\s*[{{\\[]'))
         SELECT body_id, CASE WHEN json_extract(j, '$.schemaVersion') IS NOT NULL THEN 'manifest' WHEN json_extract_string(j, '$.name') IS NOT NULL THEN 'package' WHEN json_extract(j, '$.errors') IS NOT NULL OR json_extract_string(j, '$.error') IS NOT NULL THEN 'error' ELSE 'other' END AS form,
         json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.version') AS version, CAST(len(list_distinct(regexp_extract_all(text, 'sha256:[0-9a-f]{{62,64}}'))) AS INTEGER) AS digests FROM b""",
     "q_feed_entries": f"""WITH e AS (SELECT body_id, unnest(regexp_extract_all(text, '(?s)<(?:entry|item)\\b[^>]*>(.*?)</(?:entry|item)>', 1)) AS e, unnest(range(len(regexp_extract_all(text, '(?s)<(?:entry|item)\\b[^>]*>(.*?)</(?:entry|item)>')))) AS pos FROM {_B1} WHERE regexp_matches(text, '<(?:feed|rss)\\b'))

@@ -26,7 +26,8 @@ def pruned(path: Column, git: bool = False) -> Column:
 def tree(spark: SparkSession, root: str, git: bool = False, size_cap: int = SIZE_CAP) -> DataFrame:
     """(key, target, path, size, mtime, content, text, is_binary) of all files under a root; contents only up to the cap.
 
-    Pruned directories are left out, except for files whose names look like secrets.
+    Pruned directories are left out, except for files whose names look like secrets. Spark's own listing leaves out
+    names that begin with '.' or '_'; deliver such files under another name or as rows.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     # A walk gives absolute addresses; what follows the root is the path.

@@ -4,7 +4,7 @@
     spark.read.format("sqlite").option("path", p).load()          # all text columns: (tab, col, rowid, value)
     spark.read.format("sqlite").option("path", p).option("table", "t").option("column", "c").load()
 
-Opened read-only. One partition per table. Identifiers come from the database's own catalogue or are refused.
+Pushdown needs ``spark.sql.python.filterPushdown.enabled``. Opened read-only. One partition per table. Identifiers come from the database's own catalogue or are refused.
 """
 
 from __future__ import annotations
