@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.operators import report as R
 from tracewell.operators.scan import entropy_findings, raw_hits, scan
-from tracewell.rules.model import load, select
+from tracewell.rules.model import Rule, load
 from tracewell.session import table
 
 
@@ -68,22 +68,17 @@ def q_entropy_tokens(spark, d):
     return entropy_findings(documents_as_files(spark, d)).select(F.col("key").alias("doc_id"), "line", "i", "token", "entropy")
 
 
-def q_files_taint(spark, d):
-    """Tainted variables that reach a sink, in the indexed files."""
-    from tracewell.rules.model import Rule
+def q_taint(spark, d):
+    """Outside data that reaches an execution, in the findings' excerpts."""
+    rule = Rule("TW-TAINT-001", "flow", "high", "taint", "Outside data reaches a call", path=".", source=r"\$_GET\b|\batob\(", sink=r"\b(?:eval|system)\s*\(", sanitizers=("escape(", "quote("))
+    return raw_hits(excerpts_as_files(spark, d), [rule]).select(F.col("key").alias("finding_id"), "line")
 
-    rule = Rule("TW-TAINT-001", "flow", "high", "taint", "Parameter reaches a call", source=r"\b(?:argv|stdin|request|input|params|environ|env)\b", sink=r"\b(?:exec|system|eval|popen|write|put|push)\s*\(", sanitizers=("escape(", "quote("))
-    files = table(spark, d, "files").select(F.col("file_id").alias("key"), F.col("root").alias("target"), X.plain_path(F.col("path")).alias("path"), "text")
-    return raw_hits(files, [rule]).select(F.col("key").alias("file_id"), "line", "excerpt")
-
-
-def q_files_python_ast(spark, d):
-    """Risky calls found in the syntax tree of Python files (those that parse)."""
-    from tracewell.rules.model import Rule
 
+def q_python_ast(spark, d):
+    """Risky calls in the syntax trees of excerpts that are Python."""
     rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.py$")
-    files = table(spark, d, "files").select(F.col("file_id").alias("key"), F.col("root").alias("target"), X.plain_path(F.col("path")).alias("path"), "text")
-    return raw_hits(files, [rule]).select(F.col("key").alias("file_id"), "line", "excerpt")
+    rows = excerpts_as_files(spark, d).withColumn("path", F.lit("excerpt.py"))
+    return raw_hits(rows, [rule]).select(F.col("key").alias("finding_id"), "line", F.col("excerpt").alias("call"))
 
 
 def q_hash_ioc(spark, d):
@@ -190,6 +185,7 @@ ORACLE = {
     "q_keyword_gate": f"""WITH {_ONCE}, h AS (SELECT finding_id, excerpt, unnest(regexp_extract_all(excerpt, 'verify *= *False')) AS token FROM f WHERE NOT contains(excerpt, chr(10)))
         SELECT finding_id, CAST(1 AS INTEGER) AS line, token FROM h WHERE regexp_matches(lower(excerpt), 'request|http')""",
     "q_dataflow": f"WITH {_ONCE} SELECT finding_id, CAST(1 AS INTEGER) AS line, regexp_extract(excerpt, '(exec|eval|system|curl)', 1) AS token FROM f WHERE regexp_matches(excerpt, '(?:process\\.env|os\\.environ|getenv|atob|\\$_GET)') AND regexp_matches(excerpt, '(exec|eval|system|curl)')",
+    "q_taint": f"WITH {_ONCE} SELECT finding_id, CAST(1 AS INTEGER) AS line FROM f WHERE regexp_matches(excerpt, '\\$_GET\\b|\\batob\\(') AND regexp_matches(excerpt, '\\b(?:eval|system)\\s*\\(') AND NOT contains(excerpt, chr(10))",
     "q_path_rules": f"""SELECT doc_id, rule_id FROM (SELECT DISTINCT doc_id, {_FP.format('path')} AS path FROM documents) CROSS JOIN (VALUES ('TW-PATH-001', '^commit/'), ('TW-PATH-002', '(?:^|/)log/|\\.log$')) r(rule_id, rx) WHERE regexp_matches(path, rx)""",
     "q_entropy_tokens": f"""WITH {_LINES}, t AS (SELECT doc_id, line, unnest(regexp_extract_all(txt, '[A-Za-z0-9+/=_.-]{{24,}}')) AS token, unnest(range(len(regexp_extract_all(txt, '[A-Za-z0-9+/=_.-]{{24,}}')))) AS i FROM l
           WHERE length(txt) >= 24 AND NOT regexp_matches(lower(txt), 'sha256|sha512|integrity|https?:|data:') AND NOT coalesce(regexp_matches(path, '(?i)(?:\\.lock|-lock\\.json|\\.sum|\\.min\\.js)$'), false)),

@@ -34,7 +34,8 @@ def q_extract_urls(spark, d):
 
 
 def q_extract_ipv4(spark, d):
-    return _each(_docs(spark, d), X.ipv4s(F.col("text")), "value")
+    rows = table(spark, d, "domain_snaps").select(F.col("snap_no").alias("key"), F.array_join("addrs", ", ").alias("text"))
+    return rows.select(F.col("key").alias("snap_no"), F.explode(X.ipv4s(F.col("text"))).alias("value")).distinct()
 
 
 def q_extract_hashes(spark, d):
@@ -186,7 +187,7 @@ _DEPS = """WITH f AS (SELECT file_id, any_value(replace(path, chr(92), '/')) AS
 ORACLE = {
     "q_extract_emails": _ex(X.EMAIL, "lower(x)"),
     "q_extract_urls": "SELECT DISTINCT doc_id, regexp_replace(x, '[.,;:!?]+$', '') AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s\"''<>)\\]}`]+')) AS x FROM documents)",
-    "q_extract_ipv4": _ex(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", where=_IPOK.format("x")),
+    "q_extract_ipv4": "SELECT DISTINCT snap_no, value FROM (SELECT snap_no, unnest(regexp_extract_all(array_to_string(addrs, ', '), '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b')) AS value FROM domain_snaps) WHERE " + _IPOK.format("value"),
     "q_extract_hashes": _ex(r"\b(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\b", "lower(x)"),
     "q_extract_wallets": _ex(X.WALLET),
     "q_public_addresses": f"SELECT ip, CASE WHEN {_IPOK.format('ip')} THEN {_IPN.format('ip')} END AS n, coalesce({_IPOK.format('ip')} AND NOT ({' OR '.join(f'{_IPN.format(chr(105) + chr(112))} BETWEEN {lo} AND {lo + (1 << (32 - b)) - 1}' for lo, b in _BLOCKS)}), false) AS public FROM (SELECT DISTINCT trim(unnest(addrs)) AS ip FROM domain_snaps)",
