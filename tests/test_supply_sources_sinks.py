@@ -182,6 +182,16 @@ def test_differs(spark):
 
 def test_every_query_has_a_unique_name_and_sql_only_for_queries():
     import __spark_entry__ as entry
+    from tracewell.plans import catalogue
 
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 80
+    assert set(o) <= set(q) and set(catalogue.QUERIES) <= set(q) and len(catalogue.QUERIES) == sum(len(p.QUERIES) for p in catalogue._PARTS)
+
+
+def test_the_core_does_not_import_the_text_package():
+    from pathlib import Path
+
+    import tracewell
+
+    root = Path(tracewell.__file__).parent
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "tracewell.llm" in p.read_text()]
