@@ -39,3 +39,16 @@ def test_findings_take_the_files_judgement(spark):
     got = sorted((r.tab, r.rec_id) for r in find_not_authored(files, f).collect())
     assert got == [("files", 1), ("findings", 1), ("findings", 3)]
     assert find_not_authored(files.limit(0), f.limit(0)).count() == 0
+
+
+def test_headers_behind_remarks_of_any_length(spark):
+    plain = "".join(f"// licence line {i}\n" for i in range(60))
+    block = "/*\n" + "".join(f"   licence line {i}\n" for i in range(15)) + "*/\n\n"
+    code = "func load() {\n\treturn open()\n}\n" * 12
+    mark = "// Code generated by client-gen. DO NOT EDIT.\n"
+    yes = [plain + "\n" + mark + code, block + mark + code, block.replace("*/", " * @generated by x\n */") + code, "#!/bin/sh\n" + "# licence\n" * 5000 + "# Code generated by x. DO NOT EDIT.\n" + code, code + "//# sourceMappingURL=a.js.map\n" + plain + block]
+    no = [plain + code + mark + code, block + "const t = `\n" + code + mark + "`;\n", block + 'x = "Code generated by y. DO NOT EDIT."\n' + code, plain + "// this is not generated, edit it\n" + code, code + "//# sourceMappingURL=a.js.map\n" + code, code + 'x = "sourceMappingURL="\n' + plain]
+    df = spark.createDataFrame([(i, f"r{i}", f"l/{i}.go", t, 0) for i, t in enumerate(yes + no)], FILES)
+    got = {r.file_id: r.evidence for r in judged_files(df).collect()}
+    assert [i for i in range(len(yes)) if got[i] is None] == []
+    assert [(i, got[i]) for i in range(len(yes), len(got)) if got[i] is not None] == []

@@ -70,8 +70,15 @@ HEADERS = [
     r"(?m)^/\*{3,}/ \(\(\) =>|__webpack_require__|webpackBootstrap|^/\*{3,}/ (?:function|export|return|const|if|for|await)|System\.register\(\[|parcelRequire",
     r"(?m)^[ \t]*(?://|/\*)[#@] sourceMappingURL=",
 ]
-#: Lines of the head that are looked at; a header stands there or it is no header.
+#: Any header rule: one pass tells the same as one after the other.
+ANY_HEADER = _C + "(?:" + "|".join(h[len(_C) :] for h in HEADERS[:-2]) + ")"
+#: A header stands in the first lines or, however long that is, among the remarks before any code.
 HEAD_LINES = 12
+#: Remarks, open ones too, and what may stand before or among them without being code.
+_REMARKS = (
+    r"(?sm)/\*.*?(?:\*/|\z)|<!--.*?(?:-->|\z)|\"\"\".*?(?:\"\"\"|\z)|'''.*?(?:'''|\z)|^[ \t]*(?://|#|--|;|%|(?i:rem\b))[^\n]*"
+    r"|<\?(?i:php\b|xml\b[^>]*>)|<!(?i:doctype\b)[^>]*>|^[ \t]*[\"']use strict[\"'];?|\uFEFF"
+)
 
 
 def plain_path(c: Column) -> Column:
@@ -91,10 +98,12 @@ def text_evidence(text: Column) -> Column:
     """Evidence of the text itself: header, bundle, minified layout or data; null for hand-written code."""
     head = F.substring_index(text, "\n", HEAD_LINES)
     tail = F.substring_index(text, "\n", -3)
-    header = F.lit(False)
-    for rx in HEADERS[:-2]:
-        header = header | head.rlike(rx)
-    bundle = text.rlike(HEADERS[-2]) | tail.rlike(HEADERS[-1])
+    only_remarks = lambda c: F.regexp_replace(F.regexp_replace(c, _REMARKS, ""), r"\s+", "") == ""
+    header = head.rlike(ANY_HEADER) | F.when(text.rlike(ANY_HEADER), only_remarks(F.element_at(F.split(text, ANY_HEADER, 2), 1))).otherwise(False)
+    # A source map is named in the last lines, or with nothing but remarks behind it.
+    after_map = F.split(text, HEADERS[-1] + r"[^\n]*")
+    mapped = tail.rlike(HEADERS[-1]) | F.when(text.contains("sourceMappingURL="), (F.size(after_map) > 1) & only_remarks(F.element_at(after_map, -1))).otherwise(False)
+    bundle = text.rlike(HEADERS[-2]) | mapped
     n = F.length(text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
