@@ -100,6 +100,30 @@ def test_similarity_against_brute_force(spark):
     assert abs(got[1, 3].jaccard - want) < 1e-9 and got[1, 3].kind == "copy" and not any(6 in k for k in got)
 
 
+def test_similar_pairs_are_complete(spark):
+    from collections import Counter
+    from random import Random
+
+    r = Random(5)
+    text = lambda n, words=4000: " ".join(f"w{r.randrange(words)}" for _ in range(n))
+    parts = [text(n) for n in (130, 150, 200, 260, 90, 70)]
+    texts = [*parts, *(text(k) + " " + p + " " + text(k) for p in parts for k in (0, 20, 150, 600, 2500)), "go go " * 200, "go go " * 400 + text(100), *(text(200, 3) for _ in range(4))]
+    fp = S.fingerprints(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), S.word_tokens(F.col("text")))
+    held = {x.key: (x.shingles, Counter(x.hashes)) for x in fp.collect()}
+    members, pairs = S.similar(fp)
+    want = {}
+    for a in (reps := sorted({x.rep for x in members.collect()})):
+        for b in reps[reps.index(a) + 1 :]:
+            (sa, ca), (sb, cb) = held[a], held[b]
+            na, nb, c = ca.total(), cb.total(), (ca & cb).total()
+            if c / (na + nb - c) >= 0.7 and min(sa, sb) >= 60:
+                want[a, b] = "copy"
+            elif c / min(na, nb) >= 0.8 and min(sa, sb) >= 120:
+                want[a, b] = "b embeds a" if c / na >= c / nb else "a embeds b"
+    assert sum("embeds" in k for k in want.values()) >= 12
+    assert {(x.a, x.b): x.kind for x in S.classify(pairs).collect()} == want
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "a/node_modules").mkdir(parents=True)
     (tmp_path / "a/x.py").write_text("hi")

@@ -1,8 +1,8 @@
 """Winnowed fingerprints, their multiset similarity, MinHash bands and classification of pairs.
 
-Fingerprints, minima and bands are built-in expressions on one row each; only band keys are shuffled. Equal
-fingerprints form a class beforehand and only class representatives meet in bands, so copies cost one row each. Bands with
-many members are salted. Pairs are verified exactly.
+Fingerprints, minima and bands are built-in expressions on one row each. Equal fingerprints form a class beforehand and
+only class representatives meet, so copies cost one row each. Pairs meet in an inverted index of their hashes that loses
+none, the rarest asked for; hot hashes are salted. Pairs are verified exactly.
 
 Defined results: null and blank texts and texts under one shingle have no fingerprint and no pairs; repeated rows of a key
 count once.
@@ -90,18 +90,38 @@ def band_keys(mins: Column, bands: int = BANDS, perms: int = PERMS) -> Column:
     return let(mins, lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows))))
 
 
+def least_common(n: Column) -> Column:
+    """How many of its n elements the smaller of a pair that classifies has in common: a Jaccard of j is a containment of 2j/(1+j) or more."""
+    return F.ceil(n * min(CONTAINED, 2 * JACCARD / (1 + JACCARD)) - 1e-9).cast("int")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs that classify, by an inverted index of the multisets' elements.
+
+    Of n elements the smaller multiset shares ``least_common(n)``, so of any n - least_common(n) + 1 it shares one: the
+    rarest are asked for, all elements of the larger one are shown. Nothing is lost or capped.
+    """
+    big = reps.where(F.col("shingles") >= min(JACCARD_LEAST, CONTAINED_LEAST))
+    each = big.select("key", F.size("hashes").alias("n"), F.explode(multiset_counts(F.col("hashes"))).alias("h", "c"))
+    each = each.select("key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.xxhash64("h", i))).alias("e"))
+    counted = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    shown = each.join(counted.where("df > 1"), "e", "left")
+    rare = shown.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
+    ask = rare.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.explode(F.slice("es", F.lit(1), F.col("n") - least_common(F.col("n")) + 1)).alias("x")).select("a", "n_a", "x.e", "x.df").where("df > 1")
+    salts = lambda df: F.when(df > HOT, SALTS).otherwise(1)
+    left = ask.select("a", "n_a", "e", F.explode(F.sequence(F.lit(0), salts(F.col("df")) - 1)).alias("salt"))
+    right = shown.where("df > 1").select(F.col("key").alias("b"), F.col("n").alias("n_b"), "e", F.pmod(F.xxhash64("key"), salts(F.col("df"))).cast("int").alias("salt"))
+    met = left.join(right, ["e", "salt"]).where("a <> b AND n_a <= n_b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (key, rep), pairs (a, b, jaccard, contain_a, contain_b, n_a, n_b) of representatives that share a band."""
+    """(members, pairs): members (key, rep), pairs (a, b, jaccard, contain_a, contain_b, n_a, n_b) of representatives, with all that classify."""
     named = cut(fps.withColumn("_p", F.md5(F.to_json(F.struct("hashes")))), "fingerprints")
     reps_of = named.groupBy("_p").agg(F.min("key").alias("rep"))
     members = named.join(reps_of, "_p").select("key", "rep")
     reps = named.join(reps_of.select(F.col("rep").alias("key")), "key", "left_semi").select("key", "shingles", "hashes")
-    bands = reps.select("key", F.explode(band_keys(fast_minima(F.col("hashes")))).alias("band"))
-    hot = bands.groupBy("band").count().where(F.col("count") > HOT).select("band", F.lit(SALTS).alias("_s"))
-    tagged = bands.join(hot, "band", "left")
-    left = tagged.select("band", F.col("key").alias("a"), F.when(F.col("_s").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
-    right = tagged.select("band", F.col("key").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1)).alias("salt"))
-    met = left.join(right, ["band", "salt"]).where("a < b").select("a", "b").distinct()
+    met = candidates(reps)
     side = lambda k: reps.select(F.col("key").alias(k), F.size("hashes").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"), multiset_counts(F.col("hashes")).alias(f"m_{k}"))
     both = met.join(side("a"), "a").join(side("b"), "b").withColumn("_c", common(F.col("m_a"), F.col("m_b")))
     return members, both.select("a", "b", "s_a", "s_b", "n_a", "n_b", (F.col("_c") / (F.col("n_a") + F.col("n_b") - F.col("_c"))).alias("jaccard"), (F.col("_c") / F.col("n_a")).alias("contain_a"), (F.col("_c") / F.col("n_b")).alias("contain_b"))

@@ -38,7 +38,7 @@ def q_repeated_lines(spark, d):
 
 
 def q_similar_files(spark, d):
-    """Classified pairs of files (representatives of equal fingerprints) that share a MinHash band."""
+    """Classified pairs of files (representatives of equal fingerprints): all copies and all that embed another."""
     _, pairs = S.similar(S.fingerprints(_files(spark, d), S.code_tokens(F.col("text"))))
     return S.classify(pairs).select("a", "b", "kind", F.round("jaccard", 6).alias("jaccard"))
 
