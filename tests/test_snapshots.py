@@ -50,3 +50,25 @@ def test_one_hot_root(spark):
     df = spark.range(2000).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("snap_no"), F.lit("hot").alias("root"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit("ff").alias("sha256"), F.lit(T[0]).alias("loaded_at"))
     assert file_changes(df).count() == 0
     assert file_changes(df.where("NOT (snap_no = 2 AND path = 'p7')")).collect()[0]["change"] == "removed"
+
+
+SIGS = [
+    # a's own latest snapshot is 2, b's is 8; c moved its file away before its latest
+    (1, 0, "a", "x/one", "AA01"), (2, 0, "a", "x/two", "bb02"), (2, 0, "a", "x/twin", "bb02"), (1, 0, "b", "y/old", "0xBB02"), (8, 0, "b", ".\\y\\new", "00aa01"), (8, 0, "b", "y/late", "cc03"), (8, 1, "b", "y/late", "dd04"), (8, 0, "b", "y/late", "cc03"),
+    (3, 0, "c", "z/gone", "dd04"), (5, 0, "c", "z/gone", None), (5, 0, "c", "z/only", "ee05"), (7, 0, "d", "k/two", "bb02"), (4, 0, None, "k", "bb02"), (4, 0, "a", None, "bb02"),
+]
+
+
+def test_digests_of_all_snapshots_meet_the_latest_of_other_roots(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    made = [(n, f"2025-01-0{at + 1}", r, p, s) for n, at, r, p, s in SIGS]
+    df = spark.createDataFrame(made, "snap_no int, loaded_at string, root string, path string, sha256 string").selectExpr("snap_no", "CAST(loaded_at AS timestamp_ntz) AS loaded_at", "root", "path", "sha256")
+    df.coalesce(1).write.parquet(str(tmp_path / "file_sigs.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["q_hash_ioc_all"](spark, str(tmp_path)).collect())
+    want = [("a", "x/one", "aa01", 1), ("a", "x/twin", "bb02", 1), ("a", "x/two", "bb02", 1), ("b", "y/old", "bb02", 2), ("c", "z/gone", "dd04", 1), ("d", "k/two", "bb02", 1)]
+    assert got == want
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW file_sigs AS SELECT * FROM '{tmp_path}/file_sigs.parquet/*.parquet'")
+    assert sorted(duckdb.sql(entry.oracle_sql()["q_hash_ioc_all"]).fetchall()) == want

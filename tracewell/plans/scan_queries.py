@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.operators import report as R
 from tracewell.operators.scan import entropy_findings, raw_hits, scan
+from tracewell.operators.snapshots import hex_number, latest_delivery
 from tracewell.rules.model import Rule, load
 from tracewell.session import table
 
@@ -82,12 +83,24 @@ def q_python_ast(spark, d):
 
 
 def q_hash_ioc(spark, d):
-    """Agent files whose digest also stands in the latest snapshot under another root: an equi-join on hashes."""
+    """Agent files of the second snapshot whose digest stands in the first: a slice, as its SQL has it; ``q_hash_ioc_all`` is the whole."""
     sigs = table(spark, d, "file_sigs").where("sha256 IS NOT NULL").select("root", X.plain_path(F.col("path")).alias("path"), F.lower("sha256").alias("sha256"), "snap_no")
     wanted = sigs.where("snap_no = 1").groupBy("sha256").agg(F.countDistinct("root").alias("roots"))
     return sigs.where("snap_no = 2").select("root", "path", "sha256").distinct().join(wanted, "sha256").select("root", "path", "sha256", "roots")
 
 
+def q_hash_ioc_all(spark, d):
+    """Agent files of any snapshot whose digest stands in the latest snapshot of another root, with how many such roots: an equi-join on hashes."""
+    named = table(spark, d, "file_sigs").where("root IS NOT NULL AND path IS NOT NULL AND snap_no IS NOT NULL").select("root", X.plain_path(F.col("path")).alias("path"), "snap_no", "loaded_at", hex_number(F.col("sha256")).alias("sha256"))
+    rows = latest_delivery(named, ["root", "path", "snap_no"], "loaded_at", ["sha256"])
+    last = rows.groupBy("root").agg(F.max("snap_no").alias("snap_no"))
+    wanted = rows.join(last, ["root", "snap_no"]).where("sha256 IS NOT NULL").select("root", "sha256").distinct()
+    spread = wanted.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+    files = rows.where("sha256 IS NOT NULL").select("root", "path", "sha256").distinct()
+    held = files.join(spread, "sha256").join(wanted.withColumn("own", F.lit(1)), ["root", "sha256"], "left").withColumn("roots", F.col("n") - F.coalesce("own", F.lit(0)))
+    return held.where("roots > 0").select("root", "path", "sha256", "roots")
+
+
 def q_finalize_order(spark, d):
     """Findings of at least high severity in report order, numbered."""
     from pyspark.sql.window import Window
@@ -193,6 +206,11 @@ ORACLE = {
         SELECT doc_id, line, CAST(i AS INTEGER) AS i, token, entropy FROM e WHERE entropy >= 4.5 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) <= 8""",
     "q_hash_ioc": f"""WITH s AS (SELECT root, {_FP.format('path')} AS path, lower(sha256) AS sha256, snap_no FROM file_sigs WHERE sha256 IS NOT NULL)
         SELECT DISTINCT s.root, s.path, s.sha256, w.roots FROM s JOIN (SELECT sha256, count(DISTINCT root) AS roots FROM s WHERE snap_no = 1 GROUP BY sha256) w USING (sha256) WHERE snap_no = 2""",
+    "q_hash_ioc_all": f"""WITH n AS (SELECT root, {_FP.format('path')} AS path, snap_no, loaded_at, regexp_replace(regexp_replace(lower(trim(sha256)), '^0x', ''), '^0+(.)', '\\1') AS sha256
+          FROM file_sigs WHERE root IS NOT NULL AND path IS NOT NULL AND snap_no IS NOT NULL),
+        s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY root, path, snap_no ORDER BY loaded_at DESC NULLS LAST, sha256 DESC) = 1),
+        w AS (SELECT root, sha256 FROM s QUALIFY snap_no = max(snap_no) OVER (PARTITION BY root))
+        SELECT s.root, s.path, s.sha256, count(DISTINCT w.root) AS roots FROM s JOIN w ON w.sha256 = s.sha256 AND w.root <> s.root GROUP BY ALL""",
     "q_finalize_order": f"WITH {_ONCE} SELECT finding_id, target, CAST(row_number() OVER (PARTITION BY target ORDER BY {_RANK} DESC, path, line NULLS FIRST, rule_id, excerpt NULLS FIRST, message, finding_id) AS INTEGER) AS position FROM f WHERE {_RANK} >= 3",
     "q_severity_summary": f"WITH {_ONCE} SELECT " + ", ".join(f"count(*) FILTER ({_RANK} = {i}) AS {s}" for i, s in enumerate(["info", "low", "medium", "high", "critical"])) + f", count(*) AS total, CAST(coalesce(max({_RANK}), -1) AS INTEGER) AS worst FROM f",
     "q_target_stats": f"WITH {_ONCE} SELECT target, count(DISTINCT path) AS files, count(*) AS findings, CAST(max({_RANK}) AS INTEGER) AS worst FROM f GROUP BY target",
