@@ -124,6 +124,18 @@ def test_similar_pairs_are_complete(spark):
     assert {(x.a, x.b): x.kind for x in S.classify(pairs).collect()} == want
 
 
+def test_minima_of_all_permutations(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = [(1, " ".join(f"word{i}" for i in range(90))), (2, "one two three four five"), (3, "tiny"), (4, None), (1, " ".join(f"word{i}" for i in range(90)))]
+    df = spark.createDataFrame(texts, "file_id bigint, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "files.parquet"))
+    held = {r.key: r.hashes for r in S.fingerprints(df.withColumnRenamed("file_id", "key"), S.word_tokens(F.col("text"))).collect()}
+    want = {k: [min((a * h + b) % S.PRIME for h in hs) for a, b in S.coefficients()] for k, hs in held.items()}
+    got = {r.file_id: r.minima for r in entry.queries()["q_minhash_64"](spark, str(tmp_path)).collect()}
+    assert got == want and {len(x) for x in got.values()} == {64} and set(got) == {1, 2}
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "a/node_modules").mkdir(parents=True)
     (tmp_path / "a/x.py").write_text("hi")

@@ -50,11 +50,17 @@ def q_file_classes(spark, d):
 
 
 def q_minhash(spark, d):
-    """Sixty-four exact minima of the files' fingerprints."""
+    """The first four exact minima of the files' fingerprints, as its SQL has them; ``q_minhash_64`` gives all."""
     fp = S.fingerprints(_files(spark, d), S.word_tokens(F.col("text")))
     return fp.select(F.col("key").alias("file_id"), S.minima(F.col("hashes"), 4).alias("minima"))
 
 
+def q_minhash_64(spark, d):
+    """Sixty-four exact minima of the files' fingerprints."""
+    fp = S.fingerprints(_files(spark, d), S.word_tokens(F.col("text")))
+    return fp.select(F.col("key").alias("file_id"), S.minima(F.col("hashes")).alias("minima"))
+
+
 def q_function_words(spark, d):
     return Y.function_word_rates(_docs(spark, d)).select(F.col("key").alias("doc_id"), "word", "rate")
 
@@ -175,6 +181,7 @@ ORACLE = {
     "q_exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL QUALIFY copies > 1",
     "q_repeated_lines": "SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) > 3",
     "q_minhash": _WIN.format(id="file_id", tab="files") + " SELECT id AS file_id, [" + ", ".join(f"CAST(list_min(list_transform(hashes, lambda x: (CAST(x AS HUGEINT) * {a}::HUGEINT + {b}::HUGEINT) % {S.PRIME}::HUGEINT)) AS BIGINT)" for a, b in _C) + "] AS minima FROM fp",
+    "q_minhash_64": _WIN.format(id="file_id", tab="files") + " SELECT id AS file_id, [" + ", ".join(f"CAST(list_min(list_transform(hashes, lambda x: (CAST(x AS HUGEINT) * {a}::HUGEINT + {b}::HUGEINT) % {S.PRIME}::HUGEINT)) AS BIGINT)" for a, b in S.coefficients()) + "] AS minima FROM fp",
     "q_function_words": f"""WITH w AS (SELECT doc_id, any_value(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents GROUP BY doc_id)
         SELECT doc_id, word, round(count(*) / CAST(n AS DOUBLE), 6) AS rate FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w) WHERE word IN ({_FW}) GROUP BY doc_id, word, n""",
     "q_kind_cosine": f"""WITH w AS (SELECT kind, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents), n AS (SELECT kind, count(*) AS n FROM w GROUP BY kind),
