@@ -62,3 +62,24 @@ def test_operator_with_nulls_repeats_and_clashing_names(spark):
 def test_the_gate_in_spark_lets_every_case_pass(spark):
     df = spark.createDataFrame([(i, s, "a") for i, s in enumerate(SHOWN)], "finding_id bigint, excerpt string, path string")
     assert find_credentials(df).count() == len(SHOWN)
+
+
+HEX = "".join(R.choices("0123456789abcdef", k=128))
+HASHES = [
+    f"token_sha256 = '{HEX[:64]}'", f"apikey_digest: {HEX[:40]}", f"passwordHash = '{HEX[:32]}'", f'"secret_checksum": "{HEX[:64]}",', f"private_key_fingerprint={':'.join([HEX[i : i + 2] for i in range(0, 32, 2)])}", f"hashedPassword = '{HEX}'", f"md5_of_token = {HEX[:32]}",
+    f'password = "sha256:{HEX[:64]}"', f"token = '{HEX[:64]}'  # sha256 of the token", f"x-api-key-sha256: {HEX[:64]}", f'token_sha_256 = "{HEX[:32]}" + "{HEX[32:64]}"', "password = '$2b$12$" + TOKEN + TOKEN[:17] + "'", f"api_key_hash_hex => '{HEX[:40]}'",
+]
+KEYS = [
+    f"token = '{HEX[:64]}'", f"apikey: {HEX[:40]}", f"hash_key_secret = '{HEX[:32]}'", f"hmac_secret = '{HEX[:64]}'", f"digest_token = {HEX[:40]}", f"password_hash = '{HEX[:32]}', secret = '{HEX[32:72]}'", f"secret = '{HEX[:64]}', checksum = '{HEX[64:]}'", f"token_sha256 = '{TOKEN}'",
+    f"token = '{HEX[:64]}'  # rotate monthly", f"x-api-key: {HEX[:64]}",
+]
+
+
+@pytest.mark.parametrize("line", HASHES)
+def test_hashes_of_credentials_are_none(line):
+    assert not spans(line) and redact(line) == line
+
+
+@pytest.mark.parametrize("line", KEYS)
+def test_hex_under_a_keys_own_name_is_one(line):
+    assert len(spans(line)) == 1

@@ -116,6 +116,20 @@ _REFERENCE = re.compile(
     r"(?i)^\s*(?:\$\{?\{?|\{\{|%\(|\$\(|@\{|#\{|<%|!ref\b|ref\+|arn:|vault:|secretsmanager|ssm:|kms:|op://|env[:.(\[]|os\.|process\.env|getenv|system\.getenv|"
     r"environ|getpass|vault[.:]|secrets?[.\[(]|config[.\[(]|settings[.\[]|keyring|file:|/run/|/etc/|/var/|https?://)|\}\}|%\(\s*\w+\s*\)s|\$\{[^}]*\}"
 )
+#: Forms of hashes. Those that name their method are hashes under any name, the others where the name or a remark says so.
+_HASH_NAMED = re.compile(
+    r"(?i)^(?:\$(?:2[abxy]?|1|5|6|7|y|gy|apr1|sha1|md5|argon2(?:id|i|d)|scrypt|s0|pbkdf2[\w\-]*)\$[\w./+=,$\-]{20,}|pbkdf2[\w\-]*\$\d+\$[\w./+=$\-]{20,}"
+    r"|\{(?:s?sha\d*|s?md5|crypt)\}[\w./+=$]{12,}|(?:sha-?\d+|sha|md5|blake[23]\w*)[:\-=](?:[0-9a-f]{32,128}|[a-z0-9+/_\-]{22,88}={0,2}))$"
+)
+_HASH_PLAIN = re.compile(
+    r"(?i)^(?:0x)?(?:[0-9a-f]{8}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|(?:[0-9a-f]{2}:){15,63}[0-9a-f]{2}"
+    r"|[a-z0-9+/_\-]{22}(?:==)?|[a-z0-9+/_\-]{27}=?|[a-z0-9+/_\-]{43}=?|[a-z0-9+/_\-]{64}|[a-z0-9+/_\-]{86}(?:==)?)$"
+)
+_HASH_WORD = r"(?:hash(?:es|ed)?|digests?|checksums?|fingerprints?|thumbprints?|sha\d*|md5(?:sum)?|crc\d*)"
+#: What may follow the word in a name without making it another thing.
+_HASH_TAIL = re.compile(r"(?i)hex|base64|b64|value|string|str|expected|actual|old|new|current|\d+")
+_HASH_REMARK = re.compile(rf"""(?i)^["'`]?[\s,;)\]}}]*(?:\#|//|--|/\*|<!--|\().*(?<![^\W_]){_HASH_WORD}(?![^\W_])""")
+_LAST_NAME = re.compile(r"""([\w.\-]+)["'`\s:=>,(\[]*$""")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _DICT = {w: 1.0 + 0.12 * len(w) for w in {*WORDS, *NAMES} if w.isalpha() and len(w) >= 2}
 _LONGEST = max(map(len, _DICT))
@@ -192,6 +206,25 @@ def about(key: str) -> bool:
     return bool(tail) and (tail[-1].lower() in ABOUT or any(t.lower() in ("min", "max", "rotation") for t in tail))
 
 
+def names_hash(key: str) -> bool:
+    """The name is that of a hash: token_sha256, hashedPassword, md5_of_key; not hash_key, which is a key's."""
+    parts = [x for x in re.split(r"[\W_]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key)) if x]
+    while len(parts) > 1 and _HASH_TAIL.fullmatch(parts[-1]):
+        parts.pop()
+    is_hash = [bool(re.fullmatch(_HASH_WORD, x, re.I)) for x in parts]
+    return bool(parts) and (is_hash[-1] or any(x.lower() == "hashed" for x in parts) or any(h and x.lower() == "of" for h, x in zip(is_hash, parts[1:], strict=False)))
+
+
+def a_hash(value: str, before: str, behind: str) -> bool:
+    """The value has a hash's form and the form itself, the name before it or a remark behind it says that it is one."""
+    if _HASH_NAMED.match(value):
+        return True
+    if not _HASH_PLAIN.match(value):
+        return False
+    m = _LAST_NAME.search(before)
+    return bool(m and names_hash(m.group(1))) or bool(_HASH_REMARK.match(behind))
+
+
 def spans(excerpt: str | None, path: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of each credential value that the excerpt shows."""
     if not excerpt:
@@ -226,7 +259,7 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
             add(*m.span("v"))
     for rx, least in _CONTEXTS:
         for m in rx.finditer(text):
-            if shows(m.group("v"), least):
+            if shows(m.group("v"), least) and not a_hash(m.group("v"), text[: m.start("v")], text[m.end("v") :]):
                 add(*m.span("v"))
     # Literals split into parts: joined they are one value; the credential's name may stand before or in a remark.
     for m in _PARTS.finditer(text):
@@ -234,7 +267,7 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
         joined = "".join(x.group(1) for x in parts)
         around = text[: m.start()] + " " + text[m.end() :]
         call = re.search(r"[.\w]+\s*\($", text[: m.start()]) and not re.search(r"(?i)join|concat|format", text[: m.start()])
-        if not call and _NAME_RE.search(around) and shows(joined, 3) and not any(c.isspace() for c in joined):
+        if not call and _NAME_RE.search(around) and shows(joined, 3) and not any(c.isspace() for c in joined) and not a_hash(joined, text[: m.start()], text[m.end() :]):
             for x in parts:
                 add(m.start() + x.start(1), m.start() + x.end(1))
     for rx in (_ELEMENT, _PAIRED, _SPACED, _ASSIGNED):
@@ -249,7 +282,7 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
                 b = a + len(value)
             if any(c.isspace() for c in value) or _UUID.match(value):
                 continue
-            if shows(value, 2):
+            if shows(value, 2) and not a_hash(value, m.group("key"), text[b:]):
                 add(a, b)
     if not found and (m := _TOKEN.match(text)) and _SECRET_PATH.search(path) and not _DIGEST_PATH.search(path.rpartition("/")[2]):
         if shows(m.group("v"), 8):
