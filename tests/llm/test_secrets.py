@@ -83,3 +83,24 @@ def test_hashes_of_credentials_are_none(line):
 @pytest.mark.parametrize("line", KEYS)
 def test_hex_under_a_keys_own_name_is_one(line):
     assert len(spans(line)) == 1
+
+
+BLANKS = [
+    "passphrase = 'kX9 harbor 73 Qz7 otter'", 'password: "Tr4v eller! 9xQ#"', "secret = 'kX9 harbor' + ' Qz7 otter'", '"passwort": "vB7k mM2x qP9z wT4r",', f"token = '{TOKEN[:18]} {TOKEN[18:]}'",
+    'password = "$ecr3t!Kx92vQ"', "DB_PASSWORD=$ecr3t!Kx92vQ", "token: '$kX9-vQ72-mmZ3'",
+]
+NO_BLANKS = [
+    'password = "Enter your password, at least 8 characters"', "token: 'Das Token ist abgelaufen, bitte 2 Minuten warten'", 'print("password:", cfg.k9xq7Z, "done")', "secret = 'a base64 encoded SHA256 of the key'", "passphrase = 'the quick brown fox'", '"password": "Le mot de passe doit être changé",',
+    "password = '$DB_PASSWORD'", "password=$db_pass", "$password = $this->k9xq7Z;", 'token = "${TOKEN:-x9Kq2 zz}"', 'secret = "$(vault read -field=k9X q7Z)"', "password=$PASS&user=$USER", "pwd = $env:DB_PW", 'token = "$PREFIX-$SUFFIX"', "apikey: $config['k']", "secret = 'see RFC 7617 for {name} and https://x.test/k9Xq7Z'",
+]
+
+
+@pytest.mark.parametrize("line", BLANKS)
+def test_values_with_blanks_and_dollars(line):
+    assert spans(line)
+    assert not any(x in redact(line) for x in ("Qz7", "9xQ", "vB7k", "Kx92", "vQ72", TOKEN[:18]))
+
+
+@pytest.mark.parametrize("line", NO_BLANKS)
+def test_running_text_and_references_are_none(line):
+    assert not spans(line), spans(line)

@@ -113,7 +113,7 @@ _DIGEST_PATH = re.compile(r"(?i)(?:^|[/._\-])(?:sha\d*(?:sums?)?|md5(?:sums?)?|c
 
 _MASKED = re.compile(r"(?i)\*{3,}|\.{3,}|…|•{3,}|\[(?:redacted|masked|hidden|filtered|removed|secret)[^\]]*\]|<[^<>]*>|^x{4,}$|^(.)\1{5,}$|#{4,}|_{5,}")
 _REFERENCE = re.compile(
-    r"(?i)^\s*(?:\$\{?\{?|\{\{|%\(|\$\(|@\{|#\{|<%|!ref\b|ref\+|arn:|vault:|secretsmanager|ssm:|kms:|op://|env[:.(\[]|os\.|process\.env|getenv|system\.getenv|"
+    r"(?i)^\s*(?:\$\{[^}]*(?:\}|$)|\{\{|%\(|\$\(|@\{|#\{|<%|!ref\b|ref\+|arn:|vault:|secretsmanager|ssm:|kms:|op://|env[:.(\[]|os\.|process\.env|getenv|system\.getenv|"
     r"environ|getpass|vault[.:]|secrets?[.\[(]|config[.\[(]|settings[.\[]|keyring|file:|/run/|/etc/|/var/|https?://)|\}\}|%\(\s*\w+\s*\)s|\$\{[^}]*\}"
 )
 #: Forms of hashes. Those that name their method are hashes under any name, the others where the name or a remark says so.
@@ -130,6 +130,13 @@ _HASH_WORD = r"(?:hash(?:es|ed)?|digests?|checksums?|fingerprints?|thumbprints?|
 _HASH_TAIL = re.compile(r"(?i)hex|base64|b64|value|string|str|expected|actual|old|new|current|\d+")
 _HASH_REMARK = re.compile(rf"""(?i)^["'`]?[\s,;)\]}}]*(?:\#|//|--|/\*|<!--|\().*(?<![^\W_]){_HASH_WORD}(?![^\W_])""")
 _LAST_NAME = re.compile(r"""([\w.\-]+)["'`\s:=>,(\[]*$""")
+#: A variable, with the fields it is asked for.
+_VARIABLE = re.compile(r"\$(?:env:)?(?P<name>[A-Za-z_]\w*)(?:(?:->|::)\w*)*")
+#: Words of running text: letters in one case with a vowel, short or upper-case ones without, numbers, names of standards, figures with a unit.
+_PLAIN_WORD = re.compile(
+    r"(?:(?=\w*?(?:[aeiouyAEIOUY]|[^\x00-\x7f]))(?:[^\W\d_A-Z]+|[^\W\d_a-z][^\W\d_A-Z]*|[^\W\d_a-z]+)|[a-z]{1,3}|[A-Z]{1,5}|\d{1,4}"
+    r"|(?i:sha\d*|md5|base\d+|utf\d*|oauth\d|ipv[46]|x509|v\d+|rfc\d*|iso\d*|aes\d*|rsa\d*|[hre]s\d{3}|pkcs\d*|p12|s3|ec2|k8s|http\d?|tls\d*|\d+(?:st|nd|rd|th|[hdms]|[km]b|bits?|chars?)))"
+)
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _DICT = {w: 1.0 + 0.12 * len(w) for w in {*WORDS, *NAMES} if w.isalpha() and len(w) >= 2}
 _LONGEST = max(map(len, _DICT))
@@ -178,12 +185,34 @@ def residual(literal: str) -> int:
     return left
 
 
+def spaced_residual(value: str) -> int:
+    """Residual of a literal with blanks: of its words, those of running text, templates and addresses are explained as well."""
+    left = 0
+    for word in re.sub(r"\{\w*\}|%[sdr]\b|\$\w+|\w+://\S*", " ", value).split():
+        bare = word.strip("""()[]{}<>.,;:!?"'`…""")
+        pieces = [x for x in re.split(r"[-_./:@'’=,()\[\]]+|(?<=[a-z])(?=[A-Z][a-z])", bare) if x]
+        if not all(_PLAIN_WORD.fullmatch(x) for x in pieces):
+            left += residual(bare)
+    return left
+
+
+def dollar_reference(v: str) -> bool:
+    """A value that begins with a variable: it alone, or with so little else that no credential is left beside it."""
+    if re.fullmatch(r"\$\d|\$[A-Za-z_]\w*", v):
+        return True
+    # A name like a credential's own characters is no variable's, unless a field is asked for.
+    rest = _VARIABLE.sub(lambda m: "" if m.group("name").isupper() or not m.group().endswith(m.group("name")) or residual(m.group("name")) < 3 else m.group(), v)
+    return rest != v and residual(rest) < 3
+
+
 def filler(value: str) -> bool:
     """Masked values, placeholders and references."""
     v = value.strip().strip("\"'`")
     low = v.lower()
     if not v or low in FILLERS or _MASKED.search(v) or _REFERENCE.search(v):
         return True
+    if v[0] == "$" and not any(c.isspace() for c in v) and dollar_reference(v):
+        return True
     if re.fullmatch(r"(?i)(?:your|my|some|the|insert|replace|enter|put|add|change)[-_ ].*", v) and not residual(v):
         return True
     return len(set(low)) <= 2 or bool(re.fullmatch(r"(?i)(?:true|false|yes|no|on|off|\d{1,6})", v))
@@ -193,6 +222,8 @@ def shows(value: str, least: int) -> bool:
     """Whether a literal in a credential's place gives access."""
     if filler(value):
         return False
+    if any(c.isspace() for c in value.strip()):
+        return spaced_residual(value) >= max(least, 3)
     left = residual(value)
     if left >= max(least, 3):
         return True
@@ -267,7 +298,7 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
         joined = "".join(x.group(1) for x in parts)
         around = text[: m.start()] + " " + text[m.end() :]
         call = re.search(r"[.\w]+\s*\($", text[: m.start()]) and not re.search(r"(?i)join|concat|format", text[: m.start()])
-        if not call and _NAME_RE.search(around) and shows(joined, 3) and not any(c.isspace() for c in joined) and not a_hash(joined, text[: m.start()], text[m.end() :]):
+        if not call and _NAME_RE.search(around) and shows(joined, 3) and not a_hash(joined, text[: m.start()], text[m.end() :]):
             for x in parts:
                 add(m.start() + x.start(1), m.start() + x.end(1))
     for rx in (_ELEMENT, _PAIRED, _SPACED, _ASSIGNED):
@@ -280,7 +311,10 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
             if which == "bare":
                 value = value.rstrip(".")
                 b = a + len(value)
-            if any(c.isspace() for c in value) or _UUID.match(value):
+            if _UUID.match(value):
+                continue
+            # A quote that closes a literal opens none: what follows it is code.
+            if which == "quoted" and text[: a - 1].count(m.group("q")) % 2 and re.match(r"\s*(?:[,+;:)\]}.%&|?=]|$)", value):
                 continue
             if shows(value, 2) and not a_hash(value, m.group("key"), text[b:]):
                 add(a, b)
