@@ -159,3 +159,15 @@ def test_baseline_vex_ignore(spark):
     vex = spark.createDataFrame([(1, "V-8", "fixed"), (2, "V-9", "affected")], "idx int, vuln string, status string")
     assert {r.finding_id: r.vex_status for r in R.apply_vex(f, vex).collect()}[4] == "fixed"
     assert [r.finding_id for r in R.apply_ignore(f, R.ignore_patterns(spark, ["r-1 a", "# c", "v-9"])).collect()] == [2]
+
+
+def test_flows_and_calls_over_whole_files(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    flow = "a = request.args\nb = a + 1\nc = quote(b)\nsystem(c)\nsystem(b)\ndef f():\n  system(b)\nd = stdin.read()\nd += 'x'\nexec(d)"
+    code = "import os\n\ndef f(x):\n    os.system(\n        x)\n    return eval(x)\n"
+    made = [(1, "r", "src\\a.php", flow), (2, "r", "./b.py", code), (3, "r", "c.txt", code), (4, "r", "d.py", "def broken("), (5, "r", "e.py", None), (1, "r", "src\\a.php", flow)]
+    spark.createDataFrame(made, "file_id bigint, root string, path string, text string").coalesce(1).write.parquet(str(tmp_path / "files.parquet"))
+    run_query = lambda q: sorted(tuple(r) for r in entry.queries()[q](spark, str(tmp_path)).collect())
+    assert run_query("q_files_taint") == [(1, 5, "system(b)"), (1, 10, "exec(d)")]
+    assert run_query("q_files_python_ast") == [(2, 4, "os.system"), (2, 6, "eval")]

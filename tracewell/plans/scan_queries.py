@@ -82,6 +82,23 @@ def q_python_ast(spark, d):
     return raw_hits(rows, [rule]).select(F.col("key").alias("finding_id"), "line", F.col("excerpt").alias("call"))
 
 
+def files_as_files(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").where("file_id IS NOT NULL").dropDuplicates(["file_id"])
+    return f.select(F.col("file_id").alias("key"), F.col("root").alias("target"), X.plain_path(F.col("path")).alias("path"), "text")
+
+
+def q_files_taint(spark, d):
+    """Outside data that reaches an execution over the lines of whole files; no SQL, as the flow is a fold over lines."""
+    rule = Rule("TW-TAINT-001", "flow", "high", "taint", "Outside data reaches a call", path=".", source=r"\b(?:argv|stdin|request|input|params|environ|env)\b|\$_GET\b|\batob\(", sink=r"\b(?:exec|system|eval|popen|write|put|push)\s*\(", sanitizers=("escape(", "quote("))
+    return raw_hits(files_as_files(spark, d), [rule]).select(F.col("key").alias("file_id"), "line", "excerpt")
+
+
+def q_files_python_ast(spark, d):
+    """Risky calls in the syntax trees of the Python files that parse; no SQL."""
+    rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.pyi?$")
+    return raw_hits(files_as_files(spark, d), [rule]).select(F.col("key").alias("file_id"), "line", F.col("excerpt").alias("call"))
+
+
 def q_hash_ioc(spark, d):
     """Agent files of the second snapshot whose digest stands in the first: a slice, as its SQL has it; ``q_hash_ioc_all`` is the whole."""
     sigs = table(spark, d, "file_sigs").where("sha256 IS NOT NULL").select("root", X.plain_path(F.col("path")).alias("path"), F.lower("sha256").alias("sha256"), "snap_no")
