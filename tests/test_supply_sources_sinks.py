@@ -53,6 +53,20 @@ def test_dep_delta_keeps_scoped_names(spark):
     assert rows(got, "name", "change") == [("@a/x", "changed"), ("@a/y", "removed"), ("@b/y", "added")]
 
 
+def test_dep_delta_by_root_and_delivery(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    lock = lambda **v: '{"packages": {' + ", ".join(f'"node_modules/{k}": {{"version": "{x}"}}' for k, x in v.items()) + "}}"
+    made = [
+        (2, "a", "package-lock.json", lock(x="1.0.0", gone="2.0.0", same="3.0.0"), "2025-01-01"), (2, "a", ".\\package-lock.json", lock(x="1.1.0", new="1.0.0", same="3.0.0"), "2025-01-03"), (4, "a", "sub/requirements.txt", "x==9.0\n", "2025-01-02"),
+        (3, "b", "package-lock.json", lock(x="7.0.0"), "2025-02-01"), (5, "b", "src/a.py", "pass", "2025-02-05"), (7, "c", "package-lock.json", lock(x="5.0.0"), "2025-03-01"),
+    ]
+    df = spark.createDataFrame(made, "file_id bigint, root string, path string, text string, indexed_at string").withColumn("indexed_at", F.col("indexed_at").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(str(tmp_path / "files.parquet"))
+    got = rows(entry.queries()["q_dep_delta_roots"](spark, str(tmp_path)), "root", "name", "old", "new", "change")
+    assert sorted(got) == [("a", "gone", "2.0.0", None, "removed"), ("a", "new", None, "1.0.0", "added"), ("a", "x", "1.0.0", "1.1.0", "changed"), ("c", "x", None, "5.0.0", "added")]
+
+
 def test_license_ladder(spark):
     df = spark.createDataFrame([("MIT ... GNU Affero General Public License",), ("SPDX-License-Identifier: MIT",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(P.license_of(F.col("t"))).collect()] == ["AGPL-3.0", "MIT", None, None]

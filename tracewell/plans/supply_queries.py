@@ -70,12 +70,29 @@ def q_version_ranges(spark, d):
 
 
 def q_dep_delta(spark, d):
-    """Dependencies of a root's newest index run against the ones before, by name."""
+    """Dependencies of the files with even ids against those with odd ones, by name, as its SQL has it; ``q_dep_delta_roots`` tells what changed."""
     deps = extract(table(spark, d, "files").select(F.col("file_id").alias("key"), "path", "text"))
     even = F.col("key") % 2 == 0
     return P.dep_delta(deps.where(even).select("name", "version"), deps.where(~even).select("name", "version"), ["name"])
 
 
+def q_dep_delta_roots(spark, d):
+    """Dependencies of each root's index after its newest delivery against the index before, by root, ecosystem and name.
+
+    The index is delivered file by file: a path's last row counts on either side, and a root's first delivery is all new.
+    """
+    at = F.coalesce("indexed_at", F.lit("0001-01-01").cast("timestamp_ntz"))
+    f = table(spark, d, "files").where("path IS NOT NULL").select(F.coalesce("root", F.lit("")).alias("root"), X.plain_path(F.col("path")).alias("path"), at.cast("timestamp_ntz").alias("at"), "file_id", "text")
+    f = f.join(f.groupBy("root").agg(F.max("at").alias("newest")), "root")
+
+    def side(rows):
+        last = rows.groupBy("root", "path").agg(F.max_by("text", F.struct("at", "file_id")).alias("text"))
+        deps = extract(last.select(F.concat_ws("\n", "root", "path").alias("key"), "path", "text"))
+        return deps.select(F.substring_index("key", "\n", 1).alias("root"), "ecosystem", "name", "version")
+
+    return P.dep_delta(side(f.where(F.col("at") < F.col("newest"))), side(f), ["root", "ecosystem", "name"])
+
+
 def q_dependencies(spark, d):
     """Dependencies in lock files and manifests of the indexed files."""
     return extract(table(spark, d, "files").select(F.col("file_id").alias("key"), "path", "text")).select(F.col("key").alias("file_id"), "ecosystem", "name", "version")
