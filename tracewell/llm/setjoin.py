@@ -8,12 +8,13 @@ segment less one token (for partners that differ there by one). The larger set a
 band only, and chooses per segment to skip it, to ask for equality or to allow one difference:
 allowances 0, 1, 2 whose sum must exceed H, as then some segment differs by no more than allowed.
 The choice takes the cheapest first, by how many sets show each signature, so hot and empty
-segments are skipped. The counts are a sketch of 2**20 counters over all rows, a fixed size; they
-steer the choice and never lose a pair. What meets is verified exactly against both sets.
+segments are skipped. The counts are a sketch over all rows whose width follows the number of
+signatures; they steer the choice and never lose a pair. A bit map of the asked signatures keeps
+shown ones that nobody asks for out of the shuffle. What meets is verified exactly against both sets.
 
 Sets that are equal are one class beforehand; candidates join class representatives only, so a
-group of copies that holds a third of all rows costs one row per copy. Hot signatures, if any are
-left, are split over salts. Nothing is capped.
+group of copies that holds a third of all rows costs one row per copy. Signatures whose counter stands far
+out of the mean are split over salts, and so are large classes where pairs of ids are asked for. Nothing is capped.
 
 Defined results: null, empty and short sets (under ``least`` tokens) match nothing, repeats of a
 token and of a row count once, a list whose length is no multiple of eight bytes is read up to the
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,17 @@ JACCARD, LEAST = 0.7, 20
 SEGMENTS_PER_DIFFERENCE = 0.8
 #: Size bands grow by (1/t) ** (1/BANDS): a partner's band is at most BANDS below.
 BANDS = 2
-COUNTERS, SLICES = 1 << 20, 64
+#: Signatures a set shows per token, about; parts of the sketches that travel apart; bounds of the sketches.
+SHOWN_PER_TOKEN, SLICES, MOST_COUNTERS, MOST_BITS = 4, 64, 1 << 24, 1 << 27
+#: A signature is hot that so many sets show, or so many times the mean of the counters if that is more.
 SALT_ABOVE, SALTS = 64, 32
+#: Rows of a class of equal sets in one bucket; tokens that are worked on at once.
+CLASS_ROWS, PART_TOKENS = 256, 400_000
 
 _U = np.uint64
+LESS = _U(0x2545F4914F6CDD1D)
+#: Values of the byte-wide counters.
+DECODED = np.array([*range(129), *(math.floor(128 * 2 ** (i / 8)) for i in range(1, 128))], dtype=np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,107 +91,156 @@ def needed(band: int, t: float) -> int:
     return math.floor((1 - t) / (1 + t) * 2 * top + 1e-9) + 1
 
 
-def signatures(tokens: np.ndarray, band: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whole, less, segment of less): a signature per segment, and one per token for its segment without it."""
-    m = max(1, math.ceil(needed(band, t) * SEGMENTS_PER_DIFFERENCE))
-    h = mix(tokens)
-    seg = (mix(h + _U(0x5851F42D4C957F2D)) % _U(m)).astype(np.int64)
-    sums = np.zeros(m, dtype=_U)
-    np.add.at(sums, seg, h)
-    place = mix(np.arange(m, dtype=_U) + _U(band * 1_000_003 + 17))
-    return mix(sums + place), mix(sums[seg] - h + place[seg]) ^ _U(0x2545F4914F6CDD1D), seg
-
-
-def as_less(whole: np.ndarray) -> np.ndarray:
-    """The signature by which a whole segment meets partners that show it less one token."""
-    return whole ^ _U(0x2545F4914F6CDD1D)
-
-
-def shown(tokens: np.ndarray, t: float) -> np.ndarray:
-    own = band_of(len(tokens), t)
-    return np.concatenate([x for b in range(own, own + BANDS + 1) for x in signatures(tokens, b, t)[:2]])
-
-
-def asked(tokens: np.ndarray, t: float, counters: np.ndarray) -> np.ndarray:
-    """The signatures that the cheapest allowances ask for."""
-    own = band_of(len(tokens), t)
-    whole, less, seg = signatures(tokens, own, t)
-    bare = less ^ _U(0x2545F4914F6CDD1D)
-    cost = lambda s: counters[(s & _U(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
-    first = cost(whole)
-    second = cost(as_less(whole)) + np.bincount(seg, weights=cost(bare), minlength=len(whole)).astype(np.int64)
-    # The step to one difference never comes before the step to equality: it is priced at no less.
-    prices = np.concatenate([first, np.maximum(first, second)])
-    order = np.lexsort((np.concatenate([np.zeros(len(whole)), np.ones(len(whole))]), prices))[: needed(own, t)]
-    one, two = order[order < len(whole)], order[order >= len(whole)] - len(whole)
-    wide = np.zeros(len(whole), dtype=bool)
-    wide[two] = True
-    return np.concatenate([whole[one], as_less(whole[two]), bare[wide[seg]]])
-
-
-def sketch(reps: DataFrame, t: float) -> np.ndarray:
-    """How many signatures fall on each counter, over all sets: summed by slices, which reach the driver as bytes."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(COUNTERS, dtype=np.int64)
-        for b in batches:
-            for x in b["tokens"]:
-                np.add.at(held, (shown(np.asarray(x, dtype=np.int64).view(_U), t) & _U(COUNTERS - 1)).astype(np.int64), 1)
-        for k in np.flatnonzero(held.reshape(SLICES, -1).any(axis=1)).tolist():
-            yield pd.DataFrame({"slice": [k], "packed": [zlib.compress(held.reshape(SLICES, -1)[k].tobytes(), 1)]})
+class Flat:
+    """The sets of an Arrow batch as one array of tokens, with what each set needs: its band, segments and allowance."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, t: float):
+        self.t, self.tokens, self.sizes = t, tokens, sizes
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        found, place = np.unique(sizes, return_inverse=True)
+        self.band = np.array([band_of(int(n), t) for n in found], dtype=np.int64)[place]
+        self.h = mix(tokens)
+
+    def of(self, band: np.ndarray, values) -> np.ndarray:
+        found, place = np.unique(band, return_inverse=True)
+        return np.array([values(int(b)) for b in found], dtype=np.int64)[place]
+
+    def signatures(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whole, its set, less, segment of less): a signature per segment, and one per token for its segment without it."""
+        m = self.of(band, lambda b: max(1, math.ceil(needed(b, self.t) * SEGMENTS_PER_DIFFERENCE)))
+        first = np.cumsum(m) - m
+        seg = first[self.row] + (mix(self.h + _U(0x5851F42D4C957F2D)) % m.astype(_U)[self.row]).astype(np.int64)
+        sums = np.zeros(int(m.sum()), dtype=_U)
+        np.add.at(sums, seg, self.h)
+        owner = np.repeat(np.arange(len(m)), m)
+        place = mix((np.arange(len(owner)) - first[owner] + band[owner] * 1_000_003 + 17).astype(_U))
+        return mix(sums + place), owner, mix(sums[seg] - self.h + place[seg]) ^ LESS, seg
+
+    def shown(self) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, their sets) by which partners find the sets: in their own band and those a larger partner may lie in."""
+        sigs, rows = [], []
+        for up in range(BANDS + 1):
+            whole, owner, less, _ = self.signatures(self.band + up)
+            sigs += [whole, less]
+            rows += [owner, self.row]
+        return np.concatenate(sigs), np.concatenate(rows)
+
+    def asked(self, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, their sets) that the cheapest allowances ask for; those that no other set shows are left out."""
+        whole, owner, less, seg = self.signatures(self.band)
+        bare, as_less = less ^ LESS, whole ^ LESS
+        cost = lambda s: DECODED[counters[(s & _U(len(counters) - 1)).astype(np.int64)]]
+        n_whole, n_as_less, n_bare = cost(whole), cost(as_less), cost(bare)
+        second = n_as_less + np.bincount(seg, weights=n_bare, minlength=len(whole)).astype(np.int64)
+        # The step to one difference never comes before the step to equality: it is priced at no less.
+        prices, steps, sets = np.concatenate([n_whole, np.maximum(n_whole, second)]), np.repeat([0, 1], len(whole)), np.concatenate([owner, owner])
+        order = np.lexsort((steps, prices, sets))
+        counts = np.bincount(sets, minlength=len(self.sizes))
+        rank = np.arange(len(order)) - (np.cumsum(counts) - counts)[sets[order]]
+        kept = order[rank < self.of(self.band, lambda b: needed(b, self.t))[sets[order]]]
+        one, two = kept[kept < len(whole)], kept[kept >= len(whole)] - len(whole)
+        wide = np.zeros(len(whole), dtype=bool)
+        wide[two] = True
+        # A set shows its whole segments itself: a counter of one is its own. The others it does not show.
+        one, two, by_token = one[n_whole[one] > 1], two[n_as_less[two] > 0], np.flatnonzero(wide[seg] & (n_bare > 0))
+        return np.concatenate([whole[one], as_less[two], bare[by_token]]), np.concatenate([owner[one], owner[two], self.row[by_token]])
+
+
+def flats(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tuple[Flat, np.ndarray]]:
+    """The sets and ids of Arrow batches, in parts of about ``PART_TOKENS`` tokens."""
+    for b in batches:
+        lists, ids = b.column("tokens"), b.column("id").to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
+        ends = np.cumsum(sizes)
+        part = (ends - 1) // PART_TOKENS
+        for at in np.flatnonzero(np.diff(part, prepend=-1)) if len(ids) else []:
+            last = int(np.searchsorted(part, part[at], side="right"))
+            yield Flat(values[ends[at] - sizes[at] : ends[last - 1]], sizes[at:last], t), ids[at:last]
+
+
+def power_of_two(n: float, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(0, math.ceil(n) - 1).bit_length()))
+
+
+def gathered(reps: DataFrame, t: float, size: int, kind: type, fill, fold) -> np.ndarray:
+    """An array filled by every task and folded over the tasks by slices, which travel packed; the slices hold only what is not zero."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, dtype=kind)
+        for flat, _ in flats(batches, t):
+            fill(held, flat)
+        slices = held.reshape(SLICES, -1)
+        for k in np.flatnonzero(slices.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "packed": pa.array([zlib.compress(slices[k].tobytes(), 1)], pa.binary())})
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in b["packed"])
-        return pd.DataFrame({"slice": b["slice"].iloc[:1], "packed": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+        total = None
+        for x in b["packed"]:
+            one = np.frombuffer(zlib.decompress(x), dtype=kind)
+            total = one if total is None else fold(total, one)
+        return pd.DataFrame({"slice": b["slice"].iloc[:1], "packed": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, packed binary"
-    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int32)
-    for k, packed in reps.select("tokens").mapInPandas(count, schema).groupBy("slice").applyInPandas(add, schema).collect():
-        out[k] = np.frombuffer(zlib.decompress(packed), dtype=np.int32)
+    out = np.zeros((SLICES, size // SLICES), dtype=kind)
+    for k, packed in reps.select("id", "tokens").mapInArrow(each, schema).groupBy("slice").applyInPandas(add, schema).collect():
+        out[k] = np.frombuffer(zlib.decompress(packed), dtype=kind)
     return out.reshape(-1)
 
 
+def encode_counts(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: exact up to 128, then within a tenth."""
+    return np.searchsorted(DECODED, n, side="right").astype(np.int64).clip(1, 256).__sub__(1).astype(np.uint8)
+
+
 def candidates(reps: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs of set ids, a < b, that some segment brings together."""
-    spark = reps.sparkSession
-    counters = spark.sparkContext.broadcast(sketch(reps, t))
-
-    def rows(make):
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    part = b.iloc[at : at + 500]
-                    made = [make(np.asarray(x, dtype=np.int64).view(_U)) for x in part["tokens"]]
-                    sizes = [len(x) for x in made]
-                    yield pd.DataFrame({
-                        "sig": np.concatenate(made).view(np.int64) if made else np.zeros(0, dtype=np.int64),
-                        "id": np.repeat(part["id"].to_numpy(dtype=np.int64), sizes), "n": np.repeat(np.array([len(x) for x in part["tokens"]], dtype=np.int32), sizes),
-                    })
-
-        return each
-
-    schema = "sig bigint, id bigint, n int"
-    ask = reps.mapInPandas(rows(lambda x: asked(x, t, counters.value)), schema)
-    show = reps.mapInPandas(rows(lambda x: shown(x, t)), schema)
-
-    # Signatures whose counter is hot are spread: the shown side over salts, the asking side copied to each.
-    def salted(copy: bool):
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sig, ids, n = b["sig"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy()
-                hot = counters.value[(sig.view(_U) & _U(COUNTERS - 1)).astype(np.int64)] > SALT_ABOVE
-                if copy:
-                    times = np.where(hot, SALTS, 1)
-                    salt = np.concatenate([np.arange(k) for k in times]) if len(times) else np.zeros(0)
-                    sig, ids, n = np.repeat(sig, times), np.repeat(ids, times), np.repeat(n, times)
-                else:
-                    salt = np.where(hot, ids % SALTS, 0)
-                yield pd.DataFrame({"sig": sig, "salt": salt.astype(np.int32), "id": ids, "n": n})
-
-        return each
+    """(a, b): pairs of set ids, a < b, that some segment brings together.
+
+    A sketch counts all shown signatures, a bit map holds the asked ones. Both are sized by the number of signatures; at
+    their bounds (16 MB each) they tell less and cost more rows, and lose nothing.
+    """
+    context = reps.sparkSession.sparkContext
+    tokens = reps.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    width = power_of_two(2 * SHOWN_PER_TOKEN * tokens, SLICES << 4, MOST_COUNTERS)
+    bits = power_of_two(8 * tokens, SLICES << 7, MOST_BITS)
+
+    def count(held: np.ndarray, flat: Flat) -> None:
+        np.add.at(held, (flat.shown()[0] & _U(width - 1)).astype(np.int64), 1)
+
+    total = gathered(reps, t, width, np.uint32, count, np.add)
+    # Hot is what stands out of the counters' own load, whatever the number of sets.
+    hot_above = max(SALT_ABOVE, SALT_ABOVE * float(total.mean()))
+    counters = context.broadcast(encode_counts(total))
+    del total
+
+    def mark(held: np.ndarray, flat: Flat) -> None:
+        s = bit(flat.asked(counters.value)[0])
+        np.bitwise_or.at(held, s >> 3, (1 << (s & 7)).astype(np.uint8))
+
+    def bit(s: np.ndarray) -> np.ndarray:
+        return (s >> _U(20) & _U(bits - 1)).astype(np.int64)
+
+    wanted = context.broadcast(gathered(reps, t, bits >> 3, np.uint8, mark, np.bitwise_or))
+
+    def hot(s: np.ndarray) -> np.ndarray:
+        return DECODED[counters.value[(s & _U(width - 1)).astype(np.int64)]] > hot_above
+
+    def rows(batches: Iterator[pa.RecordBatch], asks: bool) -> Iterator[pa.RecordBatch]:
+        for flat, ids in flats(batches, t):
+            sigs, of = flat.asked(counters.value) if asks else flat.shown()
+            if asks:
+                times = np.where(hot(sigs), SALTS, 1)
+                salt = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                sigs, of = np.repeat(sigs, times), np.repeat(of, times)
+            else:
+                at = bit(sigs)
+                met = wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                sigs, of = sigs[met], of[met]
+                salt = np.where(hot(sigs), ids[of] % SALTS, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[of]), pa.array(flat.sizes[of].astype(np.int32))], ["sig", "salt", "id", "n"])
 
     schema = "sig bigint, salt int, id bigint, n int"
-    a, b = ask.mapInPandas(salted(True), schema).alias("a"), show.mapInPandas(salted(False), schema).alias("b")
+    source = reps.select("id", "tokens")
+    a, b = source.mapInArrow(lambda x: rows(x, True), schema).alias("a"), source.mapInArrow(lambda x: rows(x, False), schema).alias("b")
     met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") != F.col("b.id")))
     near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - 1e-9
     return met.where(near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
@@ -200,17 +258,25 @@ def similar_sets(files: DataFrame, key: str = "file_id", fp: str = "fp", t: floa
     return held.select("id", "rep"), cut(exact, "similar")
 
 
+def spread(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join of two frames on ``on``; ``right`` has in ``copies`` how many rows share its key: a large class is cut into buckets
+    that the left rows are copied to, so no task gets a whole class and its partners."""
+    buckets = F.ceil(F.col("copies") / CLASS_ROWS).cast("int")
+    sizes = right.groupBy(on).agg(F.max(buckets).alias("_k")).where("_k > 1")
+    l = left.join(sizes, on, "left").withColumn("_b", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+    r = right.withColumn("_b", F.when(buckets > 1, F.pmod(F.xxhash64("id"), buckets)).otherwise(0).cast("int"))
+    return l.join(r, [on, "_b"]).drop("_b", "copies")
+
+
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of ids, from the pairs of representatives and from within the classes."""
-    m = members
-    across = (
-        pairs.select("a", "b").join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    )
-    several = m.groupBy("rep").count().where(F.col("count") > 1).select("rep")
-    copies = m.join(several, "rep")
-    within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where(F.col("x") < F.col("y")).select("x", "y")
+    """All pairs of ids, from the pairs of representatives and from within the classes; large classes are split on both ways."""
+    counted = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    sized = members.join(counted, "rep")
+    side = lambda rep: sized.select(F.col("rep").alias(rep), "id", "copies")
+    first = spread(pairs.select("a", "b"), side("a"), "a").select("b", F.col("id").alias("x"))
+    across = spread(first, side("b"), "b").select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y"))
+    copies = sized.where("copies > 1")
+    within = spread(copies.select("rep", F.col("id").alias("x")), copies, "rep").where("x < id").select("x", F.col("id").alias("y"))
     return across.unionByName(within)
 
 
