@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, removed as the tables of ``cut`` are."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it read back.
 
@@ -56,9 +63,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     the process those left are removed.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
