@@ -1,6 +1,6 @@
 import random
 
-from tracewell.llm.linkage import clustered, empty_state, link_batch, load_state, repeats, save_state, scored_links
+from tracewell.llm.linkage import History, clustered, deliver, latest_clusters, least_score, learn_weights, link_batch, repeats, score_of, scored_links, update_clusters
 
 SCHEMA = "finding_id bigint, scan_id bigint, target string, rule_id string, severity string, path string, line int, excerpt string, message string, words int"
 
@@ -64,22 +64,41 @@ def test_against_brute_force_and_in_any_batches(spark, tmp_path):
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.finding_id for r in repeats(df.union(df)).collect()} == want
-    state, got = empty_state(spark), set()
+    got = set()
     for i, (lo, hi) in enumerate([(1, 3), (4, 4), (5, 9)]):
-        marked, state = link_batch(state, df.where(f"scan_id BETWEEN {lo} AND {hi}"))
+        history = History(spark, f"file://{tmp_path}/h", i)  # each batch by a process of its own
+        marked = link_batch(history, df.where(f"scan_id BETWEEN {lo} AND {hi}"))
         got |= {r.finding_id for r in marked.where("first_earlier_scan < scan_id").collect()}
-        save_state(state, f"file://{tmp_path}/s{i}")
-        state = load_state(spark, f"file://{tmp_path}/s{i}")
+        update_clusters(history)
     assert got == want
     # clusters do not depend on the batches
-    whole = {}
-    for r in clustered(df).collect():
+    whole, kept = {}, {}
+    for r in clustered(df, 1).collect():
         whole.setdefault(r.cluster, set()).add(r.issue)
-    once = sorted(map(len, whole.values()))
-    kept = {}
-    for r in state["clusters"].collect():
-        kept.setdefault(r.cluster, set()).add(r.issue)
-    assert sorted(map(len, kept.values())) == once
+    reps = {r.issue for r in history.read("reps").collect()}
+    moved = {r.issue: r.cluster for r in latest_clusters(history).collect()}
+    for i in reps:
+        kept.setdefault(moved.get(i, i), set()).add(i)
+    assert sorted(map(len, kept.values())) == sorted(map(len, whole.values()))
+
+
+def test_a_batch_writes_only_its_own_directory_and_a_failed_one_can_be_repeated(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame(sample(), SCHEMA)
+    history = History(spark, f"file://{tmp_path}/h")
+    link_batch(history, df.where("scan_id <= 4")).count()
+    seen = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs if "batch=0" in d}
+    before = seen()
+    link_batch(history, df.where("scan_id > 4")).count()
+    again = link_batch(History(spark, f"file://{tmp_path}/h", 1), df.where("scan_id > 4"))
+    assert seen() == before
+    assert {r.finding_id for r in again.where("first_earlier_scan < scan_id").collect()} == {i for i in brute(sample()) if [r for r in sample() if r[0] == i][0][1] > 4}
+
+
+def test_the_score_prunes_no_link():
+    weights = learn_weights([((True, True, True, False, False), 30), ((False, True, False, False, False), 50), ((True, False, False, True, True), 7)])
+    assert min(score_of(b | 1, weights) for b in range(0, 32, 2)) >= least_score(weights) - 1e-9
 
 
 def test_long_texts_ties_and_empty(spark):
@@ -89,6 +108,9 @@ def test_long_texts_ties_and_empty(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.finding_id for r in repeats(df).collect()} == {2, 4}
     assert repeats(df.limit(0)).count() == 0
+    # keys per text grow with its fifth part, not with its power
+    history = deliver(df, 1)[1]
+    assert history.read("keys").groupBy("issue").count().agg({"count": "max"}).first()[0] == 241
 
 
 def test_scores_are_finite(spark):

@@ -163,8 +163,8 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, math.ceil(n) - 1).bit_length()))
 
 
-def gathered(reps: DataFrame, t: float, size: int, kind: type, fill, fold) -> np.ndarray:
-    """An array filled by every task and folded over the tasks by slices, which travel packed; the slices hold only what is not zero."""
+def gathered(reps: DataFrame, t: float, size: int, kind: type, fill, fold, finish=lambda x: x) -> np.ndarray:
+    """An array of bytes: filled by every task, folded over the tasks and finished by slices, which travel packed; slices of zeros stay."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, dtype=kind)
         for flat, _ in flats(batches, t):
@@ -178,12 +178,12 @@ def gathered(reps: DataFrame, t: float, size: int, kind: type, fill, fold) -> np
         for x in b["packed"]:
             one = np.frombuffer(zlib.decompress(x), dtype=kind)
             total = one if total is None else fold(total, one)
-        return pd.DataFrame({"slice": b["slice"].iloc[:1], "packed": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"slice": b["slice"].iloc[:1], "packed": [zlib.compress(finish(total).tobytes(), 1)]})
 
     schema = "slice int, packed binary"
-    out = np.zeros((SLICES, size // SLICES), dtype=kind)
+    out = np.zeros((SLICES, size // SLICES), dtype=np.uint8)
     for k, packed in reps.select("id", "tokens").mapInArrow(each, schema).groupBy("slice").applyInPandas(add, schema).collect():
-        out[k] = np.frombuffer(zlib.decompress(packed), dtype=kind)
+        out[k] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -206,11 +206,10 @@ def candidates(reps: DataFrame, t: float) -> DataFrame:
     def count(held: np.ndarray, flat: Flat) -> None:
         np.add.at(held, (flat.shown()[0] & _U(width - 1)).astype(np.int64), 1)
 
-    total = gathered(reps, t, width, np.uint32, count, np.add)
+    counted = gathered(reps, t, width, np.uint32, count, np.add, encode_counts)
     # Hot is what stands out of the counters' own load, whatever the number of sets.
-    hot_above = max(SALT_ABOVE, SALT_ABOVE * float(total.mean()))
-    counters = context.broadcast(encode_counts(total))
-    del total
+    hot_above = SALT_ABOVE * max(1.0, float(np.bincount(counted, minlength=256) @ DECODED) / width)
+    counters = context.broadcast(counted)
 
     def mark(held: np.ndarray, flat: Flat) -> None:
         s = bit(flat.asked(counters.value)[0])
