@@ -72,3 +72,19 @@ def test_digests_of_all_snapshots_meet_the_latest_of_other_roots(spark, tmp_path
     assert got == want
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW file_sigs AS SELECT * FROM '{tmp_path}/file_sigs.parquet/*.parquet'")
     assert sorted(duckdb.sql(entry.oracle_sql()["q_hash_ioc_all"]).fetchall()) == want
+
+
+def test_kept_ranges_merge_to_the_same_changes(spark, tmp_path):
+    from tracewell.operators.snapshots import keep_ranged, merge_ranged
+
+    made = [(1, f"r{i % 3}", f"p{i}", f"{i % 5}", T[0], None) for i in range(60)] + [(2, f"r{i % 3}", f"p{i}", None if i == 7 else f"{(i + (i % 11 == 0)) % 5}", T[0], None) for i in range(3, 66)]
+    df = spark.createDataFrame(made, "snap_no int, owner string, rec string, sha string, loaded_at timestamp, extra string").drop("extra")
+    a, b = df.where("snap_no = 1"), df.where("snap_no = 2")
+    bounds = keep_ranged(a, ["sha"], str(tmp_path / "a"), partitions=4)
+    assert len(bounds) == 3 and keep_ranged(b, ["sha"], str(tmp_path / "b"), bounds) == bounds
+    got = sorted((r.owner, r.rec, r.change) for r in merge_ranged(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["sha"]).collect())
+    old, new = {(r[1], r[2]): r[3] for r in made if r[0] == 1}, {(r[1], r[2]): r[3] for r in made if r[0] == 2}
+    want = [(*k, "removed") for k in old.keys() - new.keys()] + [(*k, "added") for k in new.keys() - old.keys()] + [(*k, "changed") for k in old.keys() & new.keys() if old[k] is not None and new[k] is not None and old[k] != new[k]]
+    assert got == sorted(want)
+    empty = spark.createDataFrame([], df.schema)
+    assert keep_ranged(empty, ["sha"], str(tmp_path / "c")) == []
