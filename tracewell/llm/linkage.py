@@ -235,16 +235,21 @@ def link_batch(history: History, batch: DataFrame) -> DataFrame:
     hopeful = pairs.where(F.col("bits").isin([b for b, x in scores.items() if x >= least]))
     close = hopeful.withColumn("distance", word_distance(F.col("wa"), F.col("wb"))).where(F.col("distance") * PER_EDIT <= F.col("longer"))
     score = F.element_at(F.array(*[F.lit(round(scores[b], 6)) for b in range(1 << len(FIELDS))]), F.col("bits") + 1)
-    links = history.append("links", close.select("part", "a", "b", "distance", "longer", score.alias("score")))
-
-    # Only new texts can have their first repeat by a near one: a text of the history repeats itself. Each link of two new
-    # texts stands there both ways.
-    near = links.join(texts.select(F.col("issue").alias("b"), "first_scan"), "b").groupBy("a").agg(F.min("first_scan").alias("near_first"))
-    firsts = fresh.join(near.withColumnRenamed("a", "issue"), "issue", "left").select("p1", "p2", "issue", F.least("first_scan", "near_first").alias("first_earlier_scan"))
-    firsts = firsts.unionByName(known.select("p1", "p2", F.col("old_issue").alias("issue"), F.col("old_first").alias("first_earlier_scan")))
-    marked = rows.select("finding_id", "scan_id", "p1", "p2").join(firsts, ["p1", "p2"]).select("finding_id", "scan_id", "issue", "first_earlier_scan")
+    history.append("links", close.select("part", "a", "b", "distance", "longer", score.alias("score")))
     history.batches += 1
-    return marked
+    return marks(batch, history, parts if history.batches > 1 else None)
+
+
+def marks(findings: DataFrame, history: History, parts: list[int] | None = None) -> DataFrame:
+    """(finding_id, scan_id, issue, first_earlier_scan) of delivered findings, from the history that has them.
+
+    Only the links of a text's own first batch, where it asked, can hold its first repeat by a near one: later on a text
+    repeats itself. Links of two texts new in one batch stand there both ways.
+    """
+    texts = history.read("reps", parts)
+    near = history.read("links", parts).join(texts.select(F.col("issue").alias("b"), "first_scan"), "b").groupBy("a").agg(F.min("first_scan").alias("near_first"))
+    firsts = texts.join(near, texts["issue"] == near["a"], "left").select("p1", "p2", "issue", F.least("first_scan", "near_first").alias("first_earlier_scan"))
+    return issue_texts(findings).select("finding_id", "scan_id", "p1", "p2").join(firsts, ["p1", "p2"]).select("finding_id", "scan_id", "issue", "first_earlier_scan")
 
 
 def latest_clusters(history: History) -> DataFrame:
@@ -275,32 +280,30 @@ def cuts(findings: DataFrame, batches: int) -> list[Column]:
     return [inside(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def deliver(findings: DataFrame, batches: int = BATCHES, clusters: bool = False, folder: str | None = None) -> tuple[DataFrame, History]:
-    """All scans delivered in batches through a persisted history: (the marked rows of all batches, the history)."""
-    spark = findings.sparkSession
-    history, marked = History(spark, folder or new_folder(spark, "history")), None
+def deliver(findings: DataFrame, batches: int = BATCHES, clusters: bool = False, folder: str | None = None) -> History:
+    """All scans delivered in batches through a persisted history."""
+    history = History(findings.sparkSession, folder or new_folder(findings.sparkSession, "history"))
     for inside in cuts(findings, batches):
-        part = link_batch(history, findings.where(inside))
-        marked = part if marked is None else marked.unionByName(part)
+        link_batch(history, findings.where(inside))
         if clusters:
             update_clusters(history)
-    return marked, history
+    return history
 
 
 def repeats(findings: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(finding_id, scan_id): findings that some smaller scan_id of the target already delivered, exactly or nearly."""
-    marked, _ = deliver(findings, batches)
+    marked = marks(findings, deliver(findings, batches))
     return marked.where(F.col("first_earlier_scan") < F.col("scan_id")).select("finding_id", "scan_id").distinct()
 
 
 def clustered(findings: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(finding_id, issue, cluster) of every finding; a cluster is known by its least issue."""
-    marked, history = deliver(findings, batches, clusters=True)
-    return marked.select("finding_id", "issue").distinct().join(latest_clusters(history), "issue", "left").select("finding_id", "issue", F.coalesce("cluster", "issue").alias("cluster"))
+    history = deliver(findings, batches, clusters=True)
+    return marks(findings, history).select("finding_id", "issue").distinct().join(latest_clusters(history), "issue", "left").select("finding_id", "issue", F.coalesce("cluster", "issue").alias("cluster"))
 
 
 def scored_links(findings: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(a, b, distance, longer, score): links between issue texts, a < b, with the score they had when they were found."""
-    _, history = deliver(findings, batches)
+    history = deliver(findings, batches)
     ends = history.read("links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "longer", "score")
     return ends.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.min("longer").alias("longer"), F.max("score").alias("score"))
