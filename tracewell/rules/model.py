@@ -1,8 +1,9 @@
 """Rules as data: loading, checking, overriding by id, and the literals a pattern cannot match without.
 
-A pack is a TOML file with ``[[rule]]`` tables. Kinds: content, secret, path, hash, action_ref (also
-``action``), package, source_url, typosquat, taint, dataflow, ast. A later rule with the same id
-replaces an earlier one in its place.
+A pack is a TOML file with ``[[rule]]`` tables, and a ``[ruleset]`` table with its name where the rules do not say theirs.
+Kinds (``kind`` or ``type``): content, secret, path, hash, action_ref (also ``action``), package, source_url, typosquat, taint,
+dataflow, ast, yara. A later rule with the same id replaces an earlier one in its place. Lists of popular names that typosquat rules
+name by ``list`` are given to ``load``. Of the queries of syntax rules the names of calls are taken (``#eq?`` and ``#match?``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-KINDS = ("content", "secret", "path", "hash", "action_ref", "package", "source_url", "typosquat", "taint", "dataflow", "ast")
+KINDS = ("content", "secret", "path", "hash", "action_ref", "package", "source_url", "typosquat", "taint", "dataflow", "ast", "yara")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 PACKS = Path(__file__).parent / "packs"
 
@@ -46,6 +47,13 @@ class Rule:
     remediation: str | None = None
     reference: str | None = None
     window: tuple[str, str] | None = None
+    repo: str | None = None
+    unsafe_refs: str = "tags"
+    malicious_shas: tuple[str, ...] = ()
+    lang: str | None = None
+    calls: str | None = None
+    shell: bool = False
+    condition: str = "any"
     literals: tuple[str, ...] = field(default=(), compare=False)
 
     @property
@@ -125,8 +133,34 @@ def required_literal(pattern: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-def rule_of(raw: dict) -> Rule:
+EXTENSIONS = {"python": "pyi?", "javascript": "[cm]?jsx?", "typescript": "tsx?", "go": "go", "rust": "rs", "java": "java", "ruby": "rb", "php": "php"}
+
+
+def calls_of(query: str) -> str | None:
+    """The names of calls that a syntax query asks for."""
+    found = [f"^(?:{re.escape(v)})$" if how == "eq" else v for how, v in re.findall(r'#(eq|match)\? @\w+ "([^"]+)"', query)]
+    return "|".join(f"(?:{x})" for x in found) or None
+
+
+def rule_of(raw: dict, ruleset: str | None = None, lists: dict[str, list[str]] | None = None) -> Rule:
     """A checked rule; unknown keys, kinds, severities and patterns that do not compile are errors."""
+    raw = dict(raw)
+    if "type" in raw:
+        raw["kind"] = raw.pop("type")
+    if ruleset:
+        raw.setdefault("ruleset", ruleset)
+    if query := raw.pop("query", None):
+        raw.setdefault("calls", calls_of(query))
+        raw.setdefault("shell", "shell" in query)
+    raw.pop("capture", None)
+    if raw.get("lang") and not raw.get("path") and raw["kind"] in ("ast", "action_ref", "taint"):
+        raw["path"] = rf"\.(?:{EXTENSIONS.get(raw['lang'], re.escape(raw['lang']))})$"
+    if isinstance(raw.get("window"), list):
+        raw["window"] = tuple(raw["window"])
+    if isinstance(raw.get("names"), str):
+        raw["names"] = [raw["names"]]
+    if raw.get("list") and lists:
+        raw["names"] = [n.lower() for n in lists.get(raw["list"], [])]
     known = {f.name for f in fields(Rule)}
     if unknown := set(raw) - known - {"list"}:
         raise ValueError(f"rule {raw.get('id')}: unknown keys {sorted(unknown)}")
@@ -134,11 +168,11 @@ def rule_of(raw: dict) -> Rule:
     raw["kind"] = {"action": "action_ref"}.get(raw.get("kind", ""), raw.get("kind"))
     if raw["kind"] not in KINDS or raw.get("severity") not in SEVERITIES:
         raise ValueError(f"rule {raw.get('id')}: kind {raw['kind']!r}, severity {raw.get('severity')!r}")
-    for k in ("path", "regex", "unless", "exclude", "source", "sink"):
+    for k in ("path", "regex", "unless", "exclude", "source", "sink", "calls"):
         if raw.get(k):
             raw[k] = dialect(raw[k])
     r = Rule(**{k: v for k, v in raw.items() if k != "list"})
-    need = {"content": r.regex or r.contains, "secret": r.regex, "path": r.path or r.regex, "hash": r.sha256, "package": r.names, "taint": r.source and r.sink, "dataflow": r.source and r.sink}.get(r.kind, True)
+    need = {"content": r.regex or r.contains, "secret": r.regex, "path": r.path or r.regex, "hash": r.sha256, "package": r.names, "taint": r.source and r.sink, "dataflow": r.source and r.sink, "ast": r.calls or r.shell, "yara": r.contains}.get(r.kind, True)
     if not need:
         raise ValueError(f"rule {r.id}: a {r.kind} rule lacks its pattern")
     return replace(r, literals=required_literal(r.regex) if r.regex else ())
@@ -152,9 +186,21 @@ def merge(rules: Iterable[Rule]) -> list[Rule]:
     return list(out.values())
 
 
-def load(*paths: str | Path, builtin: bool = True) -> list[Rule]:
+def load(*paths: str | Path, builtin: bool = True, lists: dict[str, list[str]] | None = None) -> list[Rule]:
+    """The rules of the built-in packs and of more files or folders of packs, later ones over earlier ones; '.yar' files are read as string rules."""
+    from tracewell.operators.flows import parse_yara
+
     found = sorted(PACKS.glob("*.toml")) if builtin else []
-    return merge(rule_of(raw) for p in [*found, *map(Path, paths)] for raw in tomllib.loads(p.read_text()).get("rule", []))
+    for p in map(Path, paths):
+        found += sorted([*p.glob("*.toml"), *p.glob("*.yar")]) if p.is_dir() else [p]
+    out = []
+    for p in found:
+        if p.suffix == ".yar":
+            out += [rule_of(raw) for raw in parse_yara(p.read_text())]
+            continue
+        pack = tomllib.loads(p.read_text())
+        out += [rule_of(raw, (pack.get("ruleset") or {}).get("name"), lists) for raw in pack.get("rule", [])]
+    return merge(out)
 
 
 def select(rules: Iterable[Rule], rulesets: Iterable[str] | None = None, disabled: Iterable[str] = ()) -> list[Rule]:
