@@ -28,7 +28,11 @@ def test_shared_subtrees_of_unrelated_owners_are_copies(spark):
     rows = [(10 * k + i, root, f"{base}/{p}", t, 0) for k, (root, base) in enumerate([("a/x", "src"), ("b/y", "other/place"), ("b/z", "src")]) for i, (p, t) in enumerate(lib)]
     rows += [(90, "a/x", "src/lib/own.py", HAND + "# own\n", 0), (91, "c/q", "k/lib/thing/one.py", HAND + "# 1\n", 0)]
     got = {r.file_id: r.evidence for r in judged_files(spark.createDataFrame(rows, FILES)).collect()}
-    assert {i for i, e in got.items() if e == "shared subtree"} == {0, 1, 10, 11, 20, 21}
+    # 91 is one file of the library with its name; 90 is the owner's own
+    assert {i for i, e in got.items() if e == "shared subtree"} == {0, 1, 10, 11, 20, 21, 91}
+    crlf = [(200, "d/w", "z/lib/thing/sub/two.py", lib[1][1].replace("\n", "  \r\n") + "\n", 0), (201, "d/w", "z/other.py", lib[1][1], 0), (202, "d/w", "z/one.py", "# marker\n", 0), (203, "e/w", "q/one.py", "# marker\n", 0)]
+    got = {r.file_id: r.evidence for r in judged_files(spark.createDataFrame(rows + crlf, FILES)).collect()}
+    assert got[200] == "shared subtree" and got[201] is None and got[202] is None
     only = spark.createDataFrame([r for r in rows if r[1].startswith("b/")], FILES)
     assert all(r.evidence is None for r in judged_files(only).collect())
 

@@ -3,8 +3,9 @@
 Three kinds of evidence, each over all rows:
 - the path: directories and names that build tools, package managers and generators use,
 - the text: headers that say so, and the layout (line lengths, share of literals),
-- Merkle hashes, bottom-up over each root's directory tree: a directory is hashed from the sorted names and
-  hashes of what it holds. A subtree of several files that unrelated roots share is a third-party copy.
+- Merkle hashes, bottom-up over each root's directory tree: a directory is hashed from the names and
+  hashes of what it holds, a file from its name and text (line ends and trailing blanks mean nothing). A subtree that
+  unrelated roots share is a third-party copy, whatever its directories are called; this evidence comes first.
 
 A finding is judged by the file with its target and path, or, when there is none, by its path alone.
 
@@ -72,6 +73,8 @@ HEADERS = [
 ]
 #: Any header rule: one pass tells the same as one after the other.
 ANY_HEADER = _C + "(?:" + "|".join(h[len(_C) :] for h in HEADERS[:-2]) + ")"
+#: Text that a shared subtree must have at least: less is a marker or a stub that many write alike.
+LEAST_CHARS = 200
 #: A header stands in the first lines or, however long that is, among the remarks before any code.
 HEAD_LINES = 12
 #: Remarks, open ones too, and what may stand before or among them without being code.
@@ -119,29 +122,36 @@ def text_evidence(text: Column) -> Column:
     return F.when(header, F.lit("header")).when(bundle, F.lit("bundle")).when(minified, F.lit("minified")).when(data, F.lit("data"))
 
 
-def named_files(files: DataFrame) -> DataFrame:
-    """(file_id, root, path, text), each file once; the path in one spelling."""
-    return files.where(F.col("file_id").isNotNull()).select("file_id", "root", plain_path(F.col("path")).alias("path"), "text").dropDuplicates(["file_id"])
+def judged_rows(files: DataFrame) -> DataFrame:
+    """(file_id, root, path, own, hash, chars) of each file, the row indexed last: what its own path and text tell, and its text's hash.
+
+    Every delivered text is read where it lies; only these few columns are shuffled to settle what was delivered twice.
+    """
+    path = plain_path(F.col("path"))
+    plain = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), r"[ \t]+(?=\n)|\s+\z", "")
+    own = F.coalesce(path_evidence(path), text_evidence(F.col("text")))
+    at = F.col("indexed_at") if "indexed_at" in files.columns else F.lit(0)
+    rows = files.where(F.col("file_id").isNotNull()).select("file_id", at.alias("at"), F.struct("root", path.alias("path"), own.alias("own"), F.md5(plain).alias("hash"), F.length("text").cast("bigint").alias("chars")).alias("v"))
+    return rows.groupBy("file_id").agg(F.max_by("v", F.struct("at", "v")).alias("v")).select("file_id", "v.*")
 
 
-def shared_subtrees(files: DataFrame, least_files: int = 2, least_roots: int = 2, least_chars: int = 400) -> DataFrame:
-    """(root, dir): directories whose Merkle hash also stands in unrelated roots.
+def subtree_hashes(rows: DataFrame) -> DataFrame:
+    """(root, owner, path, hash, chars, n): the Merkle hash of every file and directory of each root, from the bottom up.
 
-    Leaves hash the name and the text; files without a text make their directories unlike any other. Related roots (the
-    same owner before the first '/') count as one. A directory's hash folds its children's with two exclusive ors, a sum
-    and a count, so a directory of any size is aggregated before the shuffle and never collected.
+    A file hashes its text, a directory the names and hashes of what it holds. A file without a text makes its directories unlike any
+    other. A directory's hash folds its children's with two exclusive ors, a sum and a count, so a directory of any size is
+    aggregated before the shuffle and never collected.
     """
-    own = F.lower(F.element_at(F.split(F.coalesce("root", F.lit("")), "/"), 1))
+    owner = F.lower(F.element_at(F.split(F.coalesce("root", F.lit("")), "/"), 1))
     leaves = cut(
-        files.where(F.col("path").isNotNull()).select(
-            F.coalesce("root", F.lit("")).alias("root"), own.alias("owner"), F.split("path", "/").alias("seg"),
-            F.coalesce(F.md5("text"), F.concat(F.lit("?"), F.col("file_id").cast("string"))).alias("hash"), F.length("text").cast("bigint").alias("chars"),
-        ).groupBy("root", "owner", "seg").agg(F.min("hash").alias("hash"), F.max("chars").alias("chars")).select("*", F.lit(1).cast("bigint").alias("n")),
+        rows.where(F.col("path").isNotNull()).groupBy(F.coalesce("root", F.lit("")).alias("root"), owner.alias("owner"), F.split("path", "/").alias("seg"))
+        .agg(F.min(F.coalesce("hash", F.concat(F.lit("?"), F.col("file_id").cast("string")))).alias("hash"), F.max("chars").alias("chars")).select("*", F.lit(1).cast("bigint").alias("n")),
         "leaves",
     )
     depth = leaves.agg(F.max(F.size("seg"))).first()[0] or 1
     name, child = F.element_at("seg", -1), F.col("hash")
-    made, dirs = None, None
+    named = lambda df: df.select("root", "owner", F.array_join("seg", "/").alias("path"), F.md5(F.concat_ws("/", name, child)).alias("hash"), "chars", "n")  # noqa: E731  a file's node has its name
+    made, nodes = None, named(leaves)
     for level in range(depth, 1, -1):
         here = leaves.where(F.size("seg") == level)
         here = here if made is None else here.unionByName(made)
@@ -150,28 +160,37 @@ def shared_subtrees(files: DataFrame, least_files: int = 2, least_roots: int = 2
             F.sum(F.shiftright(F.xxhash64(child, F.lit(2), name), 20)).alias("z"), F.count(F.lit(1)).alias("k"), F.sum("chars").alias("chars"), F.sum("n").alias("n"),
         )
         made = cut(folded.select("root", "owner", "seg", F.md5(F.concat_ws(",", "x", "y", "z", "k")).alias("hash"), "chars", "n"), "subtrees")
-        dirs = made if dirs is None else dirs.unionByName(made)
-    if dirs is None:
-        return leaves.select("root", F.lit("").alias("dir")).limit(0)
-    big = dirs.where((F.col("n") >= least_files) & (F.col("chars") >= least_chars))
+        nodes = nodes.unionByName(made.select("root", "owner", F.array_join("seg", "/").alias("path"), "hash", "chars", "n"))
+    return nodes
+
+
+def shared_subtrees(rows: DataFrame, least_files: int = 1, least_roots: int = 2, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(root, path, files, owners): files and directories whose Merkle hash also stands in unrelated roots.
+
+    A subtree of one file has its name as well as its text in common with the other. Related roots (the same owner before the
+    first '/') count as one. Subtrees of less text than ``least_chars`` (markers, empty files) say nothing.
+    """
+    big = subtree_hashes(rows).where((F.col("n") >= least_files) & (F.col("chars") >= least_chars))
     spread = big.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") >= least_roots)
-    return big.join(spread, "hash").select("root", F.array_join("seg", "/").alias("dir")).distinct()
+    return big.join(spread, "hash").groupBy("root", "path").agg(F.max("n").alias("files"), F.max("owners").alias("owners"))
 
 
 def judged_files(files: DataFrame) -> DataFrame:
-    """(file_id, root, path, evidence) of every file; evidence is null for hand-written ones."""
-    named = named_files(files)
-    direct = named.withColumn("evidence", F.coalesce(path_evidence(F.col("path")), text_evidence(F.col("text"))))
-    shared = shared_subtrees(named)
-    up = direct.where(F.col("evidence").isNull()).select("file_id", F.coalesce("root", F.lit("")).alias("root"), F.split("path", "/").alias("seg"))
-    up = up.select("file_id", "root", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("seg") - 1, F.lit(1))), lambda i: F.array_join(F.slice("seg", F.lit(1), i), "/"))).alias("dir"))
-    copied = up.join(shared, ["root", "dir"], "left_semi").select("file_id").distinct().withColumn("copied", F.lit("shared subtree"))
-    return direct.drop("text").join(copied, "file_id", "left").select("file_id", "root", "path", F.coalesce("evidence", "copied").alias("evidence"))
+    """(file_id, root, path, evidence, own) of every file; evidence is null for hand-written ones.
+
+    Evidence is a subtree shared by unrelated roots first, else what the file's own path and text tell, which ``own`` keeps.
+    """
+    rows = cut(judged_rows(files), "judged")
+    shared = shared_subtrees(rows).select("root", F.col("path").alias("up"))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size("seg"), F.lit(1))), lambda i: F.array_join(F.slice("seg", F.lit(1), i), "/"))
+    up = rows.where("path IS NOT NULL").select("file_id", F.coalesce("root", F.lit("")).alias("root"), F.split("path", "/").alias("seg")).select("file_id", "root", F.explode(above).alias("up"))
+    copied = up.join(shared, ["root", "up"], "left_semi").select("file_id").distinct().withColumn("copied", F.lit("shared subtree"))
+    return rows.join(copied, "file_id", "left").select("file_id", "root", "path", F.coalesce("copied", "own").alias("evidence"), "own")
 
 
 def find_not_authored(files: DataFrame, findings: DataFrame) -> DataFrame:
     """(tab, rec_id, evidence) of the files and findings that are not hand-written source."""
-    judged = judged_files(files)
+    judged = cut(judged_files(files).drop("own"), "evidence")
     f = judged.where(F.col("evidence").isNotNull()).select(F.lit("files").alias("tab"), F.col("file_id").alias("rec_id"), "evidence")
     # Several files may name one (root, path): one that counts decides.
     by_name = judged.where(F.col("root").isNotNull() & F.col("path").isNotNull()).groupBy("root", "path").agg(F.max("evidence").alias("by_file"), F.lit(1).alias("known"))

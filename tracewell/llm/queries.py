@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.authored import find_not_authored, judged_files, named_files, shared_subtrees
+from tracewell.llm.authored import find_not_authored, judged_files, judged_rows, shared_subtrees
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
 from tracewell.llm.linkage import clustered, repeats, scored_links
 from tracewell.llm.residue import find_residue
 from tracewell.llm.secrets import find_credentials
 from tracewell.llm.setjoin import components, expand, similar_sets
-from tracewell.llm.tokens import encode_corpus
+from tracewell.llm.tokens import encode_column, encode_corpus
 from tracewell.session import table
 
 
@@ -82,8 +82,13 @@ def p6_authored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
-    """Directories whose Merkle hash stands in roots of different owners, single files included."""
-    return shared_subtrees(named_files(table(spark, d, "files")), least_files=1, least_chars=1)
+    """Files and directories whose Merkle hash stands in roots of different owners."""
+    return shared_subtrees(judged_rows(table(spark, d, "files")))
+
+
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Files by their evidence and by what they would be judged by without the Merkle hashes."""
+    return judged_files(table(spark, d, "files")).groupBy("evidence", "own").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -92,11 +97,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and characters by kind of document."""
-    docs = table(spark, d, "documents")
-    return (
-        encode_corpus(docs).join(docs.select("doc_id", "kind"), "doc_id")
-        .groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"))
-    )
+    docs = table(spark, d, "documents").select("kind", F.size(encode_column(F.col("text"))).alias("n"))
+    return docs.groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +118,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_evidence": p3_evidence,
     "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links, "p4_clusters": p4_clusters,
     "p5_found": p5_found, "p5_groups": p5_groups,
-    "p6_found": p6_found, "p6_authored": p6_authored, "p6_shared_subtrees": p6_shared_subtrees,
+    "p6_found": p6_found, "p6_authored": p6_authored, "p6_shared_subtrees": p6_shared_subtrees, "p6_evidence": p6_evidence,
     "p7_ids": p7_ids, "p7_counts": p7_counts,
     "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
 }
