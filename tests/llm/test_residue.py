@@ -1,6 +1,6 @@
 import pytest
 
-from tracewell.llm.residue import EXEMPLARS, Index, find_residue, mend
+from tracewell.llm.residue import Index, exemplars, find_residue, mend
 
 IX = Index({"the": 900, "to": 500, "this": 400, "error": 50}, 1000)
 TEXT = "The policy engine caches the signed manifest whenever two scans overlap, and the lockfile reader reports what it skips. "
@@ -27,9 +27,27 @@ def test_content(body):
 
 
 def test_every_exemplar_is_residue_by_itself():
-    for kind, texts in EXEMPLARS.items():
-        for t in texts:
-            assert IX.share([t]) >= 0.35, (kind, t)
+    for kind, t in exemplars():
+        assert IX.marked(t.replace("~", "price")) if kind == "mark" else IX.share([t]) >= 0.35, (kind, t)
+
+
+def test_marks_are_wholes_of_any_length_and_depth():
+    import json
+
+    deep = "value {{ a name of very many words that a designer left in the page and nobody ever filled }} end"
+    for _ in range(300):
+        deep = [deep, "x"]
+    assert IX.residue(json.dumps(deep))[0] == "mark"
+    for text in ("Your here", "to be\nwritten down", "a {name} b", "def __init__(self)", "__lower__ x", "TBD is short for it", "${HOME/x", "a [[1, 2]] b", "x %(a b)s", "the [Insert key] on it"):
+        assert not IX.marked(text), text
+    for text in ("price: TBD", "see *|FIRST NAME|*.", "[YOUR COMPANY NAME HERE]", "dear %(name)s,", "{12} files", "{{user.name|upper}}", "still to be written.", "Your very own price here"):
+        assert IX.marked(text), text
+
+
+def test_another_table_of_exemplars(spark):
+    b = spark.createDataFrame([(1, "u", None, None, "alpha beta gamma"), (2, "u", None, None, TEXT)], "body_id bigint, url string, content_type string, challenge string, text string")
+    r = spark.createDataFrame([], "resp_id bigint, url string, headers map<string,string>, body string")
+    assert [x.rec_id for x in find_residue(r, b, [("mine", "alpha beta gamma delta")]).collect()] == [1]
 
 
 def test_very_long_and_odd_bodies():

@@ -1,18 +1,19 @@
 """Records that hold template residue, filler, error pages or notices instead of content.
 
-Labelled residue exemplars are held in an inverted index. Every passage of a record's visible
-text (sentence windows of its blocks; scripts, styles, code and comments left out) retrieves the exemplars
-it shares words with and is compared by TF-IDF containment, both of the exemplar in the window and of the
-window in the exemplar; the inverse document frequencies of the exemplars' words are counted over all rows of both
-tables. A record whose visible words are mostly covered by such passages is residue. A notice inside a
-no-script element counts only if nothing else is visible. An open template mark in running text or in a data
-field is residue by itself; marks in code, in scripts and in fetched source files are not.
-
-The counts leave the executors for the exemplars' words only, a vocabulary bounded by the exemplars. Rows are
-read whole, once for the counts and once for the decision.
-
-Defined results: null and blank bodies are no residue; the status is not looked at; rows delivered twice count once;
-wrongly decoded text is mended where it can be; a challenge header beside content decides nothing.
+Labelled residue exemplars are a table (kind, text) that the operator reads and puts into an inverted index. Every passage of a
+record's visible text (windows of its blocks and of their sentences; scripts, styles, code and comments left out) retrieves the
+exemplars it shares words with and is compared by TF-IDF containment, both of the exemplar in the window and of the window in the
+exemplar; the document frequencies of the exemplars' words are counted over all bodies of both tables. A record whose
+visible words are mostly covered by such passages is residue. A notice inside a no-script element counts only if nothing else
+is visible. Open template marks are exemplars as well: text and exemplars are spelled in shapes (the signs around a
+name, without the name), the first shape retrieves the mark and the whole mark must be contained at one place in running text
+or in a data field; one is enough. Marks in code, in scripts and in fetched source files are not looked at.
+
+The counts leave the executors for the exemplars' words only, a vocabulary bounded by the exemplars. Bodies are read whole
+and never shuffled.
+
+Defined results: null and blank bodies are no residue; the status is not looked at; rows delivered twice count once, as
+loaded last; wrongly decoded text is mended where it can be; a challenge header beside content decides nothing.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import json
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,49 +34,53 @@ from pyspark.sql import functions as F
 
 CONTAINED, COVERED = 0.75, 0.35
 
-# Labelled exemplars of residue, by kind.
-EXEMPLARS: dict[str, list[str]] = {
-    "filler": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco",
-        "This is placeholder copy for the design draft.", "Sample text. Click to edit and add your own content.", "Content will be added shortly. Coming soon.",
-        "Hello world! This is your first post. Just another new site.", "Heading goes here. Body copy goes here.", "Test test test page please ignore",
-        "asdf asdf asdf qwer qwer", "xyzxyzxyz", "abcabcabc", "Ceci est un faux texte, à remplacer.", "Das ist Blindtext. Ersetzen Sie ihn durch Ihren Inhalt.",
-        "Texto de ejemplo. Sustitúyalo por su contenido.", "Your text here", "Page under construction", "Dies ist ein Beispieltext", "Texte de remplissage", "Texto de relleno",
-        "Nothing to see here yet", "This domain is parked and may be for sale.", "default web page of this server it works",
-    ],
-    "error": [
-        "404 Not Found", "Page not found", "The page you requested could not be found.", "Access denied. You don't have permission to view this resource.", "403 Forbidden",
-        "Internal Server Error", "500 Internal Server Error", "Bad gateway: upstream closed the connection", "502 Bad Gateway", "504 Gateway Timeout", "upstream timed out after s",
-        "Service temporarily unavailable", "We are down for scheduled maintenance.", "Something went wrong on our side. Try again later.", "An error occurred while processing your request",
-        "Error establishing a database connection", "Too many requests, slow down.", "Rate limit exceeded", "Request blocked by the security policy of this site.", "The account has been suspended.",
-        "No such repository or it has been removed.", "requires authentication", "denied requires authentication", "unauthorized requires authentication",
-        "toomanyrequests requires authentication", "name unknown requires authentication", "manifest unknown requires authentication",
-        "Seite nicht gefunden", "Zugriff verweigert", "Interner Serverfehler", "Wartungsarbeiten: bitte später erneut versuchen.", "Dienst vorübergehend nicht verfügbar", "Zu viele Anfragen",
-        "Page introuvable", "Accès refusé", "Erreur interne du serveur", "Service momentanément indisponible", "Site en maintenance, merci de revenir plus tard.", "Trop de requêtes",
-        "Página no encontrada", "Acceso denegado", "Error interno del servidor", "Servicio no disponible temporalmente", "Sitio en mantenimiento, vuelva más tarde.", "Demasiadas solicitudes",
-        "Traceback (most recent call last): File line in KeyError", "panic: runtime error: index out of range goroutine running", "java lang NullPointerException at java",
-        "Warning: Undefined index in var www php on line", "Fatal error: Uncaught exception in php on line", "NoSuchKey", "AccessDenied", "SlowDown", "NoSuchBucket", "InternalError",
-        "MANIFEST_UNKNOWN", "NAME_UNKNOWN", "UNAUTHORIZED", "DENIED", "TOOMANYREQUESTS", "toomanyrequests", "SignatureDoesNotMatch",
-    ],
-    "notice": [
-        "Please enable JavaScript to continue.", "You need to turn on scripts to run this app.", "Your browser is not supported. JavaScript must be on.", "This site requires cookies. Allow them and reload.",
-        "Checking your browser before you proceed", "Verify that you are human", "Please wait while we make sure you're not a robot", "One more step: complete the security check", "Just a moment",
-        "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Bestätigen Sie, dass Sie ein Mensch sind", "Wir prüfen Ihren Browser", "Bitte erlauben Sie Cookies",
-        "Veuillez activer JavaScript pour continuer.", "Confirmez que vous êtes humain", "Vérification de votre navigateur en cours", "Veuillez accepter les cookies",
-        "Active JavaScript para continuar.", "Confirme que es una persona", "Estamos comprobando su navegador", "Este sitio requiere cookies", "Habilite JavaScript",
-        "Enable cookies and reload the page", "Complete the captcha to continue", "DDoS protection", "Sign in to continue",
-    ],
-}
+#: The labelled exemplars that come with the package: a table (kind, text); another may be given to the operator.
+TABLE = Path(__file__).parent / "data" / "residue_exemplars.tsv"
+#: Words that a page may show beside a notice in its no-script element and still be an empty shell.
+SHELL_WORDS = 3
+
+
+def exemplars(path: str | Path = TABLE) -> list[tuple[str, str]]:
+    rows = [line.split("\t", 1) for line in Path(path).read_text(encoding="utf-8").splitlines()[1:]]
+    return [(r[0], r[1]) for r in rows if len(r) == 2 and r[1].strip()]
+
+
 #: Words of the frame around a message; they count neither for nor against it.
 CHROME = frozenset("error home reference id ray back menu ok warning detail".split())
 
-# Forms of open template marks. A name in a mark is short and holds no markup.
-_N = r"[A-Za-z][\w .\-]{0,40}?"
-MARK = re.compile(
-    rf"\{{\{{-?\s*[#/>&]?{_N}(?:\|[^{{}}<>]{{0,40}})?\s*-?\}}\}}|\$\{{\s*{_N}\s*\}}|%%{_N}%%|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*?__(?![A-Za-z0-9_])|\[\[\s*{_N}\s*\]\]|@@{_N}@@"
-    rf"|#\{{\s*{_N}\s*\}}|\{{%-?\s*{_N}\s*-?%\}}|<%[=\-]?\s*{_N}\s*%>|\[(?:INSERT|ENTER|ADD|YOUR)\b[^\]\[]{{0,50}}\]|\*\|{_N}\|\*|<\s*{_N} goes here\s*>|\{{\d{{1,2}}\}}"
-    rf"|(?<![\w\"'])%\([A-Za-z_]\w*\)[sd]|\bTODO:? (?:write|add|fill|insert|describe)\b|\b(?:TBD|FIXME)\b(?=\s*[:.]?\s*(?:$|<))|(?<!\w)Your {_N} here(?!\w)|\b(?:to be written|text to follow|noch zu schreiben|à rédiger|por escribir)\b"
-)
+_CLOSES = {"{{": "}}", "${": "}", "#{": "}", "{%": "%}", "<%": "%>", "[[": "]]", "%%": "%%", "@@": "@@", "*|": "|*", "__": "__"}
+_NAMED = "|".join(
+    rf"(?:{re.escape(o)}[-#/>&=]?\s*[A-Za-z][\w .\-]*?\s*(?:\|[^{{}}<>|\n]*?)?\s*-?{re.escape(c)})" for o, c in _CLOSES.items() if o != "__"
+) + r"|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*?__(?![A-Za-z0-9])"
+#: A name between brackets or repeated signs, whatever it is; else words, of which those at the end of a line are told.
+_SHAPED = re.compile(rf"(?P<o>{_NAMED})" r"|\{(?P<d>\d{1,2})\}|(?<![\w\"'])%\((?P<p>[A-Za-z_]\w*)\)[sd]|\[(?P<b>[A-Z]{2,})\b[^\]\[\n]*\]|<\s*[A-Za-z][\w .\-]*? (?P<g>\w+ \w+)\s*>|(?P<w>[^\W_]+)(?P<e>[ \t]*[:.]?[ \t]*(?=$|\n|<))?")
+SLOT = "~"
+
+
+def shapes(text: str) -> Iterator[str]:
+    """The text as words and shapes: a mark's signs without its name (``{{}}``), the first word in square brackets, the last two in angles.
+
+    Words keep their case; one at the end of a line or before markup has a '$' behind it as well.
+    """
+    for m in _SHAPED.finditer(text):
+        kind = m.lastgroup
+        if kind == "w":
+            yield m.group("w")
+        elif kind == "e":
+            yield m.group("w")
+            yield "$"
+        elif kind == "o":
+            found = m.group()
+            yield found[:2] + _CLOSES[found[:2]]
+        elif kind == "d":
+            yield "{9}"
+        elif kind == "p":
+            yield "%()"
+        else:
+            yield f"[{m.group('b')}]" if kind == "b" else f"<{m.group('g')}>"
+            yield from re.findall(r"[^\W_]+", m.group())
+
+
 _TOKEN = re.compile(r"[^\W_]+|\.{4,}|…+")
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+|(?<=[.!?])(?=[A-ZÀ-Ý])|[\n\r]+|[\"“”«»()]")
 _DROP = re.compile(r"(?is)<(script|style|template|svg|textarea)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
@@ -105,20 +112,27 @@ def mend(text: str) -> str:
     return _MOJIBAKE.sub(fix, text) if "Ã" in text or "Â" in text or "â" in text else text
 
 
+_MARKS_OF_ACCENT = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u302a-\u302f\u3099\u309a\ufe20-\ufe2f]+")
+
+
 def tokens(text: str) -> list[str]:
-    low = unicodedata.normalize("NFKD", text.casefold().replace("_", " "))
-    return _TOKEN.findall("".join(c for c in low if not unicodedata.combining(c)).replace("’", "").replace("'", ""))
+    low = text.casefold().replace("_", " ")
+    if not low.isascii():
+        low = _MARKS_OF_ACCENT.sub("", unicodedata.normalize("NFKD", low))
+    return _TOKEN.findall(low.replace("’", "").replace("'", ""))
 
 
-def json_strings(value, depth: int = 0) -> Iterator[str]:
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, dict) and depth < 40:
-        for v in value.values():
-            yield from json_strings(v, depth + 1)
-    elif isinstance(value, list) and depth < 40:
-        for v in value:
-            yield from json_strings(v, depth + 1)
+def json_strings(value) -> Iterator[str]:
+    """The strings of a parsed value in their order, however deep."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            yield v
+        elif isinstance(v, dict):
+            stack += reversed(v.values())
+        elif isinstance(v, list):
+            stack += reversed(v)
 
 
 def parts(body: str, url: str | None = None, content_type: str | None = None) -> tuple[list[str], list[str], str, bool]:
@@ -159,73 +173,138 @@ def _words(text: str) -> list[str]:
 class Index:
     """Inverted index over the exemplars with the corpus's document frequencies."""
 
-    def __init__(self, df: dict[str, int] | None = None, n: int = 0):
-        self.texts = [(kind, tokens(x)) for kind, xs in EXEMPLARS.items() for x in xs]
+    def __init__(self, df: dict[str, int] | None = None, n: int = 0, table: list[tuple[str, str]] | None = None):
+        rows = exemplars() if table is None else table
+        self.texts = [(kind, tokens(x)) for kind, x in rows if kind != "mark"]
         df = df or {}
         self.idf = {t: math.log((n + 2) / (df.get(t, 0) + 1)) + 0.3 for _, ts in self.texts for t in ts}
         self.unseen = math.log(n + 2) + 0.3
         self.postings: dict[str, set[int]] = defaultdict(set)
         self.sets = [set(ts) for _, ts in self.texts]
         self.mass = [sum(self.idf[t] for t in s) for s in self.sets]
+        # How many words of an exemplar it takes at least to contain it.
+        self.least = []
         for i, s in enumerate(self.sets):
-            for t in s:
-                self.postings[t].add(i)
-
-    def covered(self, sentence: list[str], most: float = CONTAINED) -> set[int]:
+            held, k = 0.0, 0
+            for x in sorted((self.idf[t] for t in s), reverse=True):
+                held, k = held + x, k + 1
+                if held >= CONTAINED * self.mass[i] - 1e-9:
+                    break
+            self.least.append(k)
+            # An exemplar is retrieved by its words that stand in no more than half of all bodies, and at least by its rarest ones, a
+            # quarter of its mass and more, without which no passage contains it.
+            held = 0.0
+            for t in sorted(s, key=lambda t: (-self.idf[t], t)):
+                if held <= (1 - CONTAINED) * self.mass[i] or df.get(t, 0) <= (n + 1) / 2:
+                    self.postings[t].add(i)
+                held += self.idf[t]
+        self.words = frozenset(self.idf)
+        # Marks are looked up by their first shape; one of a word alone counts at the end of a line only.
+        self.marks: dict[str, list[list[str]]] = defaultdict(list)
+        for kind, x in rows:
+            if kind == "mark":
+                seq = [SLOT if y == SLOT else y for part in x.split(SLOT) for y in (*(s for s in shapes(part) if s != "$"), SLOT)][:-1]
+                seq = seq if len(seq) > 1 or not seq[0].isalpha() else [*seq, "$"]
+                if not seq[0][0].isalnum():
+                    seq = seq[:1]
+                if seq not in self.marks[seq[0]]:
+                    self.marks[seq[0]].append(seq)
+        # What a text must hold somewhere to have a shape: the signs before its name, or its longest word.
+        longest = lambda seq: max((w for w in seq if w not in (SLOT, "$")), key=len)
+        lead = lambda x: "{" if x == "{9}" else "%(" if x == "%()" else x[:-1] if x[0] == "[" and x[1].isalnum() else x[1:-1] if x[0] == "<" and x[1].isalnum() else x[:2] if not x[0].isalnum() else x
+        self.leads = sorted({lead(longest(seq)) for seqs in self.marks.values() for seq in seqs})
+
+    def marked(self, running: str) -> bool:
+        """Whether a mark exemplar is wholly contained in the running text, at one place; a slot stands for one to six words."""
+        if not running or not any(x in running for x in self.leads):
+            return False
+        seen = list(shapes(running))
+        for i, x in enumerate(seen):
+            if x in self.marks and any(self._stands(seq, seen, i) for seq in self.marks[x]):
+                return True
+        return False
+
+    @staticmethod
+    def _stands(seq: list[str], seen: list[str], at: int) -> bool:
+        for k, want in enumerate(seq):
+            while want != "$" and at < len(seen) and seen[at] == "$" and k:
+                return False
+            if at >= len(seen):
+                return False
+            if want == SLOT:
+                return any(Index._stands(seq[k + 1 :], seen, at + n) for n in range(1, 7) if "$" not in seen[at : at + n])
+            if seen[at] != want:
+                return False
+            at += 1
+        return True
+
+    def covered(self, sentence: tuple[str, ...]) -> frozenset[int]:
         """Positions of the sentence's words that lie in a window contained in, or containing, an exemplar."""
-        near = defaultdict(int)
-        for t in set(sentence):
-            for i in self.postings.get(t, ()):
-                near[i] += 1
         best: set[int] = set()
-        for i, shared in near.items():
+        n = len(sentence)
+        for i in {i for t in set(sentence) if t in self.postings for i in self.postings[t]}:
             own = self.sets[i]
-            if shared < min(2, len(own)):
+            hits = [k for k, t in enumerate(sentence) if t in own]
+            need = min(2, len(own))
+            if len(hits) < need:
                 continue
             width = len(self.texts[i][1]) + 2
-            for a in range(0, max(1, len(sentence) - width + 1)):
-                window = sentence[a : a + width]
-                hit = own.intersection(window)
-                if len(hit) < min(2, len(own)):
+            shared = sum(self.idf[t] for t in {sentence[k] for k in hits})
+            whole = shared >= CONTAINED * self.mass[i]
+            # So many words of the exemplar must lie in one window: those that make up its mass, or half of the window.
+            least = -(-min(width, n) // 2)
+            least = max(need, min(least, self.least[i]) if whole else least)
+            if not any(y - x < width for x, y in zip(hits, hits[least - 1 :], strict=False)):
+                continue
+            last, end = -1, 0
+            # A window begins with a word of the exemplar (or as late as one can); it holds the exemplar, or is mostly made of its words.
+            for j, k in enumerate(hits):
+                a = min(k, max(0, n - width))
+                if a == last:
+                    continue
+                last = a
+                while end < len(hits) and hits[end] < a + width:
+                    end += 1
+                first = j if hits[j] == a else bisect_left(hits, a)
+                inside = hits[first:end]
+                size = min(width, n - a)
+                if len(inside) < least:
+                    continue
+                found = {sentence[x] for x in inside}
+                if len(found) < need:
                     continue
-                mass = sum(self.idf[t] for t in hit)
-                around = sum(self.idf.get(t, self.unseen) for t in set(window))
-                if mass >= most * self.mass[i] or (mass >= most * around and len(window) >= 3):
-                    best.update(a + k for k, t in enumerate(window) if t in own)
-        return best
+                mass = sum(self.idf[t] for t in found)
+                if (whole and mass >= CONTAINED * self.mass[i]) or (size >= 3 and mass >= CONTAINED * sum(self.idf.get(t, self.unseen) for t in set(sentence[a : a + size]))):
+                    best.update(inside)
+        return frozenset(best)
 
     def share(self, blocks: list[str]) -> float:
-        """Share of the words of the blocks that residue passages cover."""
-        words = hit = 0
-        for block in blocks:
-            whole = tokens(block)
-            marked = [False] * len(whole)
+        """Share of the words of the blocks that residue passages cover; 0 if it cannot reach ``COVERED``."""
+        spelled = [(block, tokens(block)) for block in blocks]
+        counted = [[not _ID.match(t) and t not in CHROME for t in whole] for _, whole in spelled]
+        words = sum(map(sum, counted))
+        # Covered are words of exemplars only: where too few of them stand, no window need be looked at.
+        most = sum(1 for (_, whole), c in zip(spelled, counted, strict=True) for t, k in zip(whole, c, strict=True) if k and (t in self.words or not t[0].isalnum()))
+        if not words or most < COVERED * words:
+            return 0.0
+        hit = 0
+        for (block, whole), c in zip(spelled, counted, strict=True):
+            # A passage may run over the ends of sentences: the block's windows count as well as the sentences'.
+            marked = set(self.covered(tuple(whole)))
             at = 0
-            pieces = [tokens(s) for s in _SENTENCE.split(block)]
-            for s in [whole] if len(whole) <= 24 else pieces:
-                for k in self.covered(s):
-                    marked[at + k] = True
+            for s in [tokens(x) for x in _SENTENCE.split(block)]:
+                if whole[at : at + len(s)] == s:
+                    marked.update(at + k for k in self.covered(tuple(s)))
                 at += len(s)
-            if len(whole) <= 24:
-                at = 0
-                for s in pieces:
-                    if whole[at : at + len(s)] == s:
-                        for k in self.covered(s):
-                            marked[at + k] = True
-                    at += len(s)
-            for t, m in zip(whole, marked, strict=True):
-                if _ID.match(t) or t in CHROME:
-                    continue
-                words += 1
-                hit += m or not t[0].isalnum()
-        return hit / words if words else 0.0
+            hit += sum(1 for k, t in enumerate(whole) if c[k] and (k in marked or not t[0].isalnum()))
+        return hit / words
 
     def residue(self, body: str | None, url: str | None = None, content_type: str | None = None) -> tuple[str, float] | None:
         """(kind of evidence, share) if the record is residue."""
         if not body or not body.strip():
             return None
         blocks, hidden, running, source = parts(body, url, content_type)
-        if running and MARK.search(running):
+        if self.marked(running):
             return "mark", 1.0
         if source:
             return None
@@ -233,49 +312,49 @@ class Index:
         share = self.share(visible)
         if share >= COVERED:
             return "passage", share
-        if hidden and sum(len(_words(b)) for b in visible) <= 3 and (share := self.share(hidden)) >= COVERED:
+        if hidden and sum(len(_words(b)) for b in visible) <= SHELL_WORDS and (share := self.share(hidden)) >= COVERED:
             return "notice", share
         return None
 
 
 def records(responses: DataFrame, raw_bodies: DataFrame) -> DataFrame:
-    """Both tables as (tab, rec_id, url, content_type, body), each record once, blank bodies left out."""
-    a = responses.select(F.lit("responses").alias("tab"), F.col("resp_id").alias("rec_id"), "url", F.element_at("headers", "content-type").alias("content_type"), F.col("body"))
-    b = raw_bodies.select(F.lit("raw_bodies").alias("tab"), F.col("body_id").alias("rec_id"), "url", "content_type", F.col("text").alias("body"))
-    return a.unionByName(b).where(F.col("rec_id").isNotNull() & F.col("body").rlike(r"\S")).dropDuplicates(["tab", "rec_id"])
+    """Both tables as (tab, rec_id, at, url, content_type, body), as delivered; rows without an id are left out."""
+    a = responses.select(F.lit("responses").alias("tab"), F.col("resp_id").alias("rec_id"), *at_of(responses, "loaded_at"), "url", F.element_at("headers", "content-type").alias("content_type"), F.col("body"))
+    b = raw_bodies.select(F.lit("raw_bodies").alias("tab"), F.col("body_id").alias("rec_id"), *at_of(raw_bodies, "fetched_at"), "url", "content_type", F.col("text").alias("body"))
+    return a.unionByName(b).where(F.col("rec_id").isNotNull())
 
 
-def document_frequencies(rows: DataFrame) -> tuple[dict[str, int], int]:
-    """In how many records each word of the exemplars occurs, and the number of records."""
-    known = {t for xs in EXEMPLARS.values() for x in xs for t in tokens(x)}
+def at_of(df: DataFrame, column: str) -> list:
+    return [(F.col(column).cast("timestamp") if column in df.columns else F.lit(None).cast("timestamp")).alias("at")]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df: dict[str, int] = defaultdict(int)
-        for b in batches:
-            for body in b["body"]:
-                df[""] += 1
-                for t in known.intersection(tokens(mend(body))):
-                    df[t] += 1
-        yield pd.DataFrame({"t": list(df), "n": list(df.values())})
 
-    got = {r["t"]: r["n"] for r in rows.select("body").mapInPandas(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+def document_frequencies(rows: DataFrame, table: list[tuple[str, str]]) -> tuple[dict[str, int], int]:
+    """In how many bodies each word of the exemplars occurs, and the number of bodies that are not blank; built-in expressions only."""
+    known = sorted({t for kind, x in table if kind != "mark" for t in tokens(x)})
+    plain = F.translate(F.lower("body"), "àâáäçéèêëíìîïñóòôöúùûüÿæœ'’", "aaaaceeeeiiiinoooouuuuyao")
+    words = F.array_intersect(F.split(plain, r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, known)))
+    bodies = rows.where(F.col("body").rlike(r"\S"))
+    got = {r["t"]: r["n"] for r in bodies.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the exemplars have words
     return got, got.pop("", 0)
 
 
-def find_residue(responses: DataFrame, raw_bodies: DataFrame) -> DataFrame:
-    """(tab, rec_id, evidence, share) of the records to exclude."""
+def find_residue(responses: DataFrame, raw_bodies: DataFrame, table: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(tab, rec_id, evidence, share) of the records to exclude; of what was delivered twice the row loaded last counts.
+
+    Bodies are judged where they lie: only ids and evidence are shuffled.
+    """
+    table = exemplars() if table is None else table
     rows = records(responses, raw_bodies)
-    df, n = document_frequencies(rows)
+    df, n = document_frequencies(rows, table)
     built: list[Index] = []
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not built:
-            built.append(Index(df, n))
+            built.append(Index(df, n, table))
         for b in batches:
-            out = []
-            for tab, i, u, c, body in zip(b["tab"], b["rec_id"], b["url"], b["content_type"], b["body"], strict=True):
-                if got := built[0].residue(body, u, c):
-                    out.append((tab, i, *got))
-            yield pd.DataFrame(out, columns=["tab", "rec_id", "evidence", "share"])
+            out = [built[0].residue(body, u, c) or (None, None) for u, c, body in zip(b["url"], b["content_type"], b["body"], strict=True)]
+            yield pd.DataFrame({"tab": b["tab"], "rec_id": b["rec_id"], "at": b["at"], "evidence": [x[0] for x in out], "share": pd.Series([x[1] for x in out], dtype="float64")})
 
-    return rows.mapInPandas(judge, "tab string, rec_id bigint, evidence string, share double")
+    judged = rows.mapInPandas(judge, "tab string, rec_id bigint, at timestamp, evidence string, share double")
+    last = judged.groupBy("tab", "rec_id").agg(F.max_by(F.struct("evidence", "share"), F.struct("at", "evidence")).alias("v"))
+    return last.where("v.evidence IS NOT NULL").select("tab", "rec_id", "v.evidence", "v.share")
