@@ -162,7 +162,8 @@ def parts(body: str, url: str | None = None, content_type: str | None = None) ->
     held = " ".join(a or b for a, b in re.findall(r"""(?i)\b(?:content|alt|title)=(?:"([^"]*)"|'([^']*)')""", text))
     running = html.unescape(re.sub(r"(?s)<(?=[A-Za-z/!?])(?![^<>]{0,40} goes here)(?:[^<>]|\"[^\"]*\"|'[^']*')*>", "\n", text)) + "\n" + html.unescape(held)
     heads = {" ".join(tokens(html.unescape(_TAG.sub(" ", x)))) for _, x in _TITLE.findall(text)}
-    body_blocks = [x for x in shown if " ".join(tokens(x)) not in heads]
+    longest = 4 * max(map(len, heads), default=0) + 20
+    body_blocks = [x for x in shown if len(x) > longest or " ".join(tokens(x)) not in heads]
     return (body_blocks if any(_words(x) for x in body_blocks) else shown), hidden, running, source
 
 
@@ -238,7 +239,7 @@ class Index:
             at += 1
         return True
 
-    def covered(self, sentence: tuple[str, ...]) -> frozenset[int]:
+    def covered(self, sentence: list[str]) -> frozenset[int]:
         """Positions of the sentence's words that lie in a window contained in, or containing, an exemplar."""
         best: set[int] = set()
         n = len(sentence)
@@ -280,21 +281,22 @@ class Index:
 
     def share(self, blocks: list[str]) -> float:
         """Share of the words of the blocks that residue passages cover; 0 if it cannot reach ``COVERED``."""
-        spelled = [(block, tokens(block)) for block in blocks]
-        counted = [[not _ID.match(t) and t not in CHROME for t in whole] for _, whole in spelled]
+        spelled = [[tokens(x) for x in _SENTENCE.split(block)] for block in blocks]
+        wholes = [[t for s in sentences for t in s] for sentences in spelled]
+        counted = [[t not in CHROME and (t.isalpha() or not _ID.match(t)) for t in whole] for whole in wholes]
         words = sum(map(sum, counted))
         # Covered are words of exemplars only: where too few of them stand, no window need be looked at.
-        most = sum(1 for (_, whole), c in zip(spelled, counted, strict=True) for t, k in zip(whole, c, strict=True) if k and (t in self.words or not t[0].isalnum()))
+        most = sum(1 for whole, c in zip(wholes, counted, strict=True) for t, k in zip(whole, c, strict=True) if k and (t in self.words or not t[0].isalnum()))
         if not words or most < COVERED * words:
             return 0.0
         hit = 0
-        for (block, whole), c in zip(spelled, counted, strict=True):
+        for sentences, whole, c in zip(spelled, wholes, counted, strict=True):
             # A passage may run over the ends of sentences: the block's windows count as well as the sentences'.
-            marked = set(self.covered(tuple(whole)))
+            marked = set(self.covered(whole))
             at = 0
-            for s in [tokens(x) for x in _SENTENCE.split(block)]:
-                if whole[at : at + len(s)] == s:
-                    marked.update(at + k for k in self.covered(tuple(s)))
+            for s in sentences:
+                if len(s) < len(whole):
+                    marked.update(at + k for k in self.covered(s))
                 at += len(s)
             hit += sum(1 for k, t in enumerate(whole) if c[k] and (k in marked or not t[0].isalnum()))
         return hit / words
@@ -332,7 +334,7 @@ def document_frequencies(rows: DataFrame, table: list[tuple[str, str]]) -> tuple
     """In how many bodies each word of the exemplars occurs, and the number of bodies that are not blank; built-in expressions only."""
     known = sorted({t for kind, x in table if kind != "mark" for t in tokens(x)})
     plain = F.translate(F.lower("body"), "àâáäçéèêëíìîïñóòôöúùûüÿæœ'’", "aaaaceeeeiiiinoooouuuuyao")
-    words = F.array_intersect(F.split(plain, r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, known)))
+    words = F.array_intersect(F.split(plain, "[^a-z0-9]+"), F.array(*map(F.lit, known)))  # the exemplars' words without accents
     bodies = rows.where(F.col("body").rlike(r"\S"))
     got = {r["t"]: r["n"] for r in bodies.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the exemplars have words
     return got, got.pop("", 0)
