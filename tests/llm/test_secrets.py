@@ -3,7 +3,7 @@ import string
 
 import pytest
 
-from tracewell.llm.secrets import find_credentials, redact, residual, spans
+from tracewell.llm.secrets import find_credentials, redact, residual, spans, use_words
 
 R = random.Random(7)
 TOKEN = "".join(R.choices(string.ascii_letters + string.digits, k=36))
@@ -48,6 +48,7 @@ def test_bare_values_are_told_by_their_path():
 
 
 def test_residual_explains_words():
+    use_words({"harbor": 40, "meadow": 9, "the": 400})
     assert residual("harbor-meadow") == 0 and residual("Harbor") == 0 and residual("") == 0
     assert residual(TOKEN) > 15 and residual(TOKEN * 40) > 500
 

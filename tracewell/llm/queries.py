@@ -10,19 +10,25 @@ from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
 from tracewell.llm.linkage import clustered, repeats, scored_links
 from tracewell.llm.residue import find_residue
-from tracewell.llm.secrets import find_credentials
+from tracewell.llm.secrets import find_credentials, learn_words
 from tracewell.llm.setjoin import components, expand, similar_sets
 from tracewell.llm.tokens import encode_column, encode_corpus
 from tracewell.session import table
 
 
+def _credentials(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that show a credential, with the words of all documents and of all indexed files as the dictionary."""
+    corpus = table(spark, d, "documents").select("text").unionByName(table(spark, d, "files").select("text"))
+    return find_credentials(table(spark, d, "findings"), words=learn_words(corpus))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_credentials(table(spark, d, "findings")).select("finding_id")
+    return _credentials(spark, d).select("finding_id")
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The excerpts that show a credential, with nothing but its value replaced."""
-    return find_credentials(table(spark, d, "findings")).select("finding_id", "redacted", "n_values")
+    return _credentials(spark, d).select("finding_id", "redacted", "n_values")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,9 +7,10 @@ word explains is the residual; a literal with enough residual is a credential. M
 references to stores and variables, public keys, certificates, digests and ids are excluded by their form or by
 their context.
 
-The scan of a line is pure and reads the whole line; it costs one pass of a handful of expressions and one
-segmentation per candidate, whose length is bounded by windows: a literal longer than ``SEGMENT`` characters is
-segmented in parts and the residuals are added.
+The dictionary is learned: words of all texts and of identifiers in all code at hand, with the number of texts they stand in,
+of which the most frequent (a bounded number) are broadcast; a word costs by its frequency. The scan of a line is
+pure and reads the whole line; it costs one pass of a handful of expressions and one segmentation per candidate, linear in
+its length.
 
 Defined results: a null excerpt shows nothing, an empty one too; a null path tells nothing; rows delivered twice
 count once; redaction leaves every character outside the credential's value as it was.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import binascii
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "[REDACTED]"
-SEGMENT = 400
 
 # Words that name a credential, in several languages; as parts of an identifier.
 NAMES = (
@@ -42,7 +43,7 @@ ABOUT = (
     "type length len min max days count ttl rotation policy file path dir ref name id url uri host header field label "
     "hint version expiry expires expiration lifetime timeout algorithm format prefix regex pattern env var keyref provider scope scopes"
 ).split()
-# Words that literals in code and configuration are made of.
+# Words of code and configuration that are known without a corpus; the others are learned (``learn_words``).
 WORDS = (
     "a an and api app application arn auth authorization bar bearer basic begin bucket build cache certificate change changeme check "
     "client clone code command commit config connect const copy credential credentials cursor data database date db default demo digest "
@@ -54,11 +55,7 @@ WORDS = (
     "reset return root run sample secret secrets section select self send server service services session set shard shell should signing skip "
     "socket some start store string sudo sync system target temp template test text the this to todo token true type undefined unknown unset update "
     "url user username value values var vault verify version web webhook window with write yaml yes you your xxx "
-    "access account admin basalt copper harbor kestrel lumen meadow otter piston quartz raven saffron tundra walnut winter summer spring autumn "
-    "amber anchor apple autumn badger beacon birch blue bridge brown canyon cedar cloud coral crane desert dragon eagle ember falcon field forest "
-    "garden ginger gold granite green hazel heron hill iron island jade lake lemon lily lion maple marble mint moon mountain oak ocean olive orange "
-    "orchid panther pearl pepper pine planet purple rabbit rain red river robin rose ruby sand shadow silver sky snow star stone storm sun tiger "
-    "timber tulip valley velvet violet water whale willow wind wolf"
+    "access account admin"
 ).split()
 # Fillers that stand for a value.
 FILLERS = (
@@ -138,8 +135,9 @@ _PLAIN_WORD = re.compile(
     r"|(?i:sha\d*|md5|base\d+|utf\d*|oauth\d|ipv[46]|x509|v\d+|rfc\d*|iso\d*|aes\d*|rsa\d*|[hre]s\d{3}|pkcs\d*|p12|s3|ec2|k8s|http\d?|tls\d*|\d+(?:st|nd|rd|th|[hdms]|[km]b|bits?|chars?)))"
 )
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
-_DICT = {w: 1.0 + 0.12 * len(w) for w in {*WORDS, *NAMES} if w.isalpha() and len(w) >= 2}
-_LONGEST = max(map(len, _DICT))
+_SEED = {w: 1.0 + 0.12 * len(w) for w in {*WORDS, *NAMES} if w.isalpha() and len(w) >= 2}
+#: Bounds of the learned dictionary: words, texts that a word must stand in, letters; words of two or three letters must be among the first of all.
+MOST_WORDS, LEAST_TEXTS, LONGEST, SHORT_AMONG = 50_000, 3, 16, 400
 _SYLLABLES = re.compile(r"(?:[bcdfghjklmnpqrstvwz][aeiou]){2,}")
 _SEPARATORS = frozenset("-_./:@ ,")
 _CASED = re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)$")
@@ -147,20 +145,54 @@ _CASED = re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)$")
 
 #: What every line that can show a credential holds, by itself or by its path; a superset of all contexts above, for Spark.
 LINE_GATE = (
-    r"(?i)" + "|".join(re.escape(n).replace("\\-", "-") for n in NAMES) + r"|(?<![a-z0-9])pw(?![a-z0-9])|(?<![a-z])pass(?![a-z])|bearer|basic|x-(?:api|auth)|@|[?&;](?:sig|signature|x-amz-signature|x-goog-signature|sas|auth|key)="
+    r"(?iu)" + "|".join(re.escape(n).replace("\\-", "-") for n in NAMES) + r"|(?<![a-z0-9])pw(?![a-z0-9])|(?<![a-z])pass(?![a-z])|bearer|basic|x-(?:api|auth)|@|[?&;](?:sig|signature|x-amz-signature|x-goog-signature|sas|auth|key)="
     r"|://hooks?\.|key\s*=|sshpass|mysql|psql|mariadb|mongo|redis-cli|curl|(?:login|authenticate|sign_?in|auth)\w*\s*\(|machine|(?:login|credentials?)\s+for|otp"
     r"|private key|gh[oprsu]_|github_pat_|glpat-|npm_|xox[abprs]-|[sr]k_(?:live|test)_|akia|whsec_|aiza|eyj"
 )
 PATH_GATE = _SECRET_PATH.pattern
 
 
-@functools.lru_cache(50_000)
+class _Words:
+    """The dictionary of this process: cost of each word."""
+
+    costs: dict[str, float] = dict(_SEED)
+    longest = max(map(len, _SEED))
+
+
+def use_words(counts: dict[str, int] | None) -> None:
+    """Take a learned dictionary (word: number of texts) beside the known words: a word costs by how rare it is."""
+    total = sum((counts or {}).values()) or 1
+    costs = {**_SEED, **{w: 0.6 + 0.1 * -math.log2(n / total) for w, n in (counts or {}).items()}}
+    if costs != _Words.costs:
+        _Words.costs, _Words.longest = costs, max(map(len, costs))
+        _residual.cache_clear()
+        _spans.cache_clear()
+
+
+def learn_words(texts: DataFrame, column: str = "text") -> dict[str, int]:
+    """Words of texts and of identifiers in code (runs of letters, cut where the case changes) with the number of texts they stand in, over all rows.
+
+    At most ``MOST_WORDS`` of the most frequent leave the executors, a few hundred KB.
+    """
+    found = F.regexp_extract_all(F.col(column), F.lit(rf"[A-Z]?[a-z]{{1,{LONGEST - 1}}}|[A-Z]{{2,{LONGEST}}}(?![a-z])"), F.lit(0))
+    each = texts.where(F.col(column).isNotNull()).select(F.explode(F.array_distinct(F.transform(F.array_distinct(found), lambda w: F.lower(w)))).alias("w"))
+    counted = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    rows = counted.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
+    return {r["w"]: r["n"] for k, r in enumerate(rows) if len(r["w"]) >= 4 or (len(r["w"]) >= 2 and k < SHORT_AMONG)}
+
+
 def residual(literal: str) -> int:
-    """Characters of the literal that no word, pronounceable word or separator explains, in the cheapest segmentation."""
-    if len(literal) > SEGMENT:
-        return sum(residual(literal[i : i + SEGMENT]) for i in range(0, len(literal), SEGMENT))
+    """Characters of the literal that no word, pronounceable word or separator explains, in the cheapest segmentation (Viterbi, whole length)."""
+    return _residual(literal) if len(literal) <= 300 else _residual.__wrapped__(literal)
+
+
+@functools.lru_cache(50_000)
+def _residual(literal: str) -> int:
+    words, longest = _Words.costs, _Words.longest
     n = len(literal)
     low = literal.lower()
+    if len(low) != n:  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in literal)
     cost, back = [0.0] + [1e9] * n, [(0, 0)] * (n + 1)
     for i in range(n):
         here = cost[i]
@@ -168,8 +200,8 @@ def residual(literal: str) -> int:
         step = here + (0.6 if sep else 2.0)
         if step < cost[i + 1]:
             cost[i + 1], back[i + 1] = step, (i, 0 if sep else 1)
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            c = _DICT.get(low[i:j])
+        for j in range(i + 2, min(n, i + longest) + 1) if low[i].isalpha() else ():
+            c = words.get(low[i:j])
             if c is not None and _CASED.match(literal[i:j]) and here + c < cost[j]:
                 cost[j], back[j] = here + c, (i, 0)
         m = _SYLLABLES.match(low, i)
@@ -274,7 +306,8 @@ def _spans(text: str, path: str) -> tuple[tuple[int, int], ...]:
     for m in _PEM.finditer(text):
         body = m.group("v")
         stop = body.find("-----END")
-        if not filler(re.sub(r"\\[nr]|\s", "", body)[:200]) and residual(re.sub(r"\\[nr]|\s|-", "", body if stop < 0 else body[:stop])[:SEGMENT]) >= 12:
+        shown = re.sub(r"\\[nr]|\s|-", "", body if stop < 0 else body[:stop])
+        if not filler(shown) and residual(shown) >= 12:
             a = m.start("v")
             lead = len(body) - len(re.sub(r"^(?:\\[nr]|\s)+", "", body))
             add(a + lead, a + (len(body.rstrip(" \t\n\r-,;")) if stop < 0 else stop))
@@ -332,10 +365,12 @@ def redact(excerpt: str, path: str | None = None, mask: str = MASK) -> str:
     return "".join([*out, excerpt[at:]])
 
 
-def find_credentials(findings: DataFrame, mask: str = MASK) -> DataFrame:
-    """(finding_id, excerpt, redacted, values) of the findings whose excerpt shows a credential."""
+def find_credentials(findings: DataFrame, mask: str = MASK, words: dict[str, int] | None = None) -> DataFrame:
+    """(finding_id, excerpt, redacted, n_values) of the findings whose excerpt shows a credential; ``words`` is a dictionary from ``learn_words``."""
+    held = findings.sparkSession.sparkContext.broadcast(words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_words(held.value)
         for b in batches:
             rows = []
             for i, e, p in zip(b["finding_id"], b["excerpt"], b["path"], strict=True):
