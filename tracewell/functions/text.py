@@ -226,3 +226,10 @@ def html_text(s: Column) -> Column:
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def mask_entropy(s: Column, least: float = 3.4, min_len: int = 16) -> Column:
+    """Runs of token characters of enough entropy masked as ``mask`` does, longest first so that no run hides in another."""
+    runs = F.filter(F.array_distinct(F.regexp_extract_all(s, F.lit(rf"[A-Za-z0-9+/=_-]{{{min_len},}}"), F.lit(0))), lambda x: entropy(x) >= least)
+    ordered = F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(ordered, s, lambda acc, x: F.replace(acc, x, mask(x)))

@@ -83,9 +83,10 @@ def apply_vex(findings: DataFrame, statements: DataFrame) -> DataFrame:
     the ids that the message holds.
     """
     ids = F.array_distinct(F.concat(F.array("rule_id"), F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(r"[A-Za-z0-9][A-Za-z0-9._:-]*[A-Za-z0-9]"), F.lit(0)), F.filter(F.array("excerpt"), lambda x: x.isNotNull())))
-    keyed = findings.withColumn("_k", F.monotonically_increasing_id())
-    met = keyed.select("_k", F.explode(ids).alias("vuln")).join(statements, "vuln").groupBy("_k").agg(F.min_by("status", "idx").alias("vex_status"))
-    return keyed.join(met, "_k", "left").drop("_k")
+    # What decides are the ids a finding holds: findings of equal rule, message and excerpt have one status, so those are the key.
+    what = F.xxhash64("rule_id", "message", "excerpt")
+    met = findings.select(what.alias("_k"), F.explode(ids).alias("vuln")).distinct().join(statements, "vuln").groupBy("_k").agg(F.min_by("status", "idx").alias("vex_status"))
+    return findings.withColumn("_k", what).join(met, "_k", "left").drop("_k")
 
 
 def partition_by_baseline(findings: DataFrame, baseline: DataFrame, now: Column | None = None) -> DataFrame:

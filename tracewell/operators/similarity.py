@@ -133,3 +133,31 @@ def classify(pairs: DataFrame) -> DataFrame:
     kind = F.when((F.col("jaccard") >= JACCARD) & (F.least("s_a", "s_b") >= JACCARD_LEAST), "copy").when(
         (contained >= CONTAINED) & (F.least("s_a", "s_b") >= CONTAINED_LEAST), F.when(F.col("contain_a") >= F.col("contain_b"), "b embeds a").otherwise("a embeds b"))
     return pairs.withColumn("kind", kind).where("kind IS NOT NULL")
+
+
+def across(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Classified pairs of two collections' fingerprints (key, shingles, hashes): the scanned tree ``a`` against the reference ``b``, keys of ``b`` in b.
+
+    Both meet in one inverted index; pairs within a collection are left out. Keys need not differ between the collections.
+    """
+    both = a.select(F.concat(F.lit("a:"), F.col("key").cast("string")).alias("key"), "shingles", "hashes").unionByName(b.select(F.concat(F.lit("b:"), F.col("key").cast("string")).alias("key"), "shingles", "hashes"))
+    members, pairs = similar(both)
+    found = classify(pairs)
+    # Equal fingerprints are one class: its pairs are with itself.
+    same = members.groupBy("rep").agg(F.min(F.when(F.col("key").startswith("a:"), F.col("key"))).alias("x"), F.min(F.when(F.col("key").startswith("b:"), F.col("key"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    sides = members.select("rep", F.left("key", F.lit(1)).alias("side")).distinct()
+    has = lambda k, s: sides.where(F.col("side") == s).select(F.col("rep").alias(k))
+    flip = {"copy": "copy", "a embeds b": "b embeds a", "b embeds a": "a embeds b"}
+    other = F.create_map(*[F.lit(x) for kv in flip.items() for x in kv])
+    turned = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", other[F.col("kind")].alias("kind"))
+    crossed = found.select("a", "b", "jaccard", "kind").unionByName(turned).join(has("a", "a"), "a", "left_semi").join(has("b", "b"), "b", "left_semi")
+    equal = same.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind"))
+    return crossed.unionByName(equal)  # representatives; ``members`` tells whom they stand for
+
+
+def shape_tokens(text: Column) -> Column:
+    """Tokens by their class, so that renaming changes nothing: remarks vanish, literals are 'L', words 'W', signs stand for themselves."""
+    t = F.regexp_replace(text, r"(?s)/\*.*?\*/|(?m)(?:^|(?<=\s))(?://|#)[^\n]*", " ")
+    t = F.regexp_replace(t, r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`|\b[0-9][0-9A-Za-z_.]*\b", " \u0001 ")
+    t = F.regexp_replace(t, r"[\p{L}_$][\p{L}\p{N}_$]*", "W")
+    return F.regexp_extract_all(F.replace(t, F.lit("\u0001"), F.lit("L")), F.lit(r"\S"), F.lit(0))

@@ -40,7 +40,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def write_sarif(findings: DataFrame, folder: str, tool: str = "tracewell") -> None:
-    """A SARIF log as parts: rules and results, each line an object; ``join_sarif`` makes one file of a small log."""
+    """A SARIF log as parts: rules and results, each line an object; ``sarif_log`` makes one document of a small log."""
     sarif_rules(findings).write.mode("overwrite").text(f"{folder}/rules")
     sarif_results(findings).write.mode("overwrite").text(f"{folder}/results")
 
@@ -121,3 +121,63 @@ def search_records(records: DataFrame, query: str, most: int = 50) -> DataFrame:
     """Records that hold the text in key or body, in any case, newest first: a report of at most ``most``."""
     q = F.lit(query.lower())
     return records.where(F.contains(F.lower("key"), q) | F.contains(F.lower("body"), q)).orderBy(F.desc("ts"), "id").limit(most)
+
+
+def sarif_log(findings: DataFrame, most: int = 10_000, tool: str = "tracewell") -> str:
+    """One SARIF document of at most ``most`` findings in order of weight (the report's length; ``write_sarif`` has no bound)."""
+    import json
+
+    top = findings.orderBy(rank_of(F.col("severity")).desc(), "path", F.asc_nulls_first("line"), "rule_id").limit(most)
+    results = [json.loads(r[0]) for r in sarif_results(top).collect()]
+    rules = [json.loads(r[0]) for r in sarif_rules(top).orderBy("value").collect()]
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]})
+
+
+def html_report(findings: DataFrame, most: int = 1000, title: str = "Findings") -> str:
+    """A page of at most ``most`` findings in order of weight; the rest is counted."""
+    top = findings.orderBy(rank_of(F.col("severity")).desc(), "path", F.asc_nulls_first("line"), "rule_id").limit(most + 1)
+    rows = [r[0] for r in html_rows(top).collect()]
+    more = "<p>More findings are left out.</p>" if len(rows) > most else ""
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1><table>{''.join(rows[:most])}</table>{more}</body></html>"
+
+
+def baseline_signed(findings: DataFrame, key: bytes, form: str = "v2") -> DataFrame:
+    """Baseline rows in the old form (the fingerprint alone), the form 'v2' (all columns) or 'signed' (each row with its HMAC)."""
+    from tracewell.functions.codecs import hmac_sha256
+
+    rows = baseline(findings)
+    if form == "legacy":
+        return rows.select("fp")
+    return rows.withColumn("mac", hmac_sha256(key)(F.concat_ws("|", "fp", "fp_content"))) if form == "signed" else rows
+
+
+def attestation(findings: DataFrame, subject: str, digest: str, rules_fp: str) -> DataFrame:
+    """One row: an in-toto statement about a scan, with counts and the digest over the fingerprints."""
+    from tracewell.operators.report import digests, summary
+
+    told = summary(findings).crossJoin(digests(findings))  # two single rows
+    predicate = F.struct(F.lit(rules_fp).alias("ruleset"), "total", "worst", "digest", "fingerprints")
+    made = F.struct(
+        F.lit("https://in-toto.io/Statement/v1").alias("_type"), F.array(F.struct(F.lit(subject).alias("name"), F.struct(F.lit(digest).alias("sha256")).alias("digest"))).alias("subject"),
+        F.lit("https://in-toto.io/attestation/test-result/v0.1").alias("predicateType"), predicate.alias("predicate"),
+    )
+    return told.select(F.to_json(made).alias("value"))
+
+
+def hook_calls(findings: DataFrame, key: bytes, event: str = "finding") -> DataFrame:
+    """(body, signature): what a webhook is sent for each finding; a callback of ``foreachBatch`` delivers the rows."""
+    from tracewell.functions.codecs import hmac_sha256
+
+    body = findings.select(F.to_json(F.struct(F.lit(event).alias("event"), F.struct("*").alias("finding"))).alias("body"))
+    return body.withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(key)(F.col("body"))))
+
+
+def store_scans(scans: DataFrame, folder: str) -> None:
+    """Append scans (scan_id, root, ts, counts) to the store beside their findings."""
+    scans.write.mode("append").partitionBy("root").parquet(f"{folder}/scans")
+
+
+def write_cache(files: DataFrame, findings: DataFrame, rules_fp: str, folder: str) -> None:
+    """The scan cache as it is after a scan: (root, path, mtime, size, rules_fp) and the findings of those files, in a new version of the folder."""
+    files.select("root", "path", "mtime", "size", F.lit(rules_fp).alias("rules_fp")).write.mode("overwrite").parquet(f"{folder}/files")
+    findings.write.mode("overwrite").parquet(f"{folder}/findings")

@@ -139,3 +139,64 @@ def windowed_counts(stream: DataFrame, ts: str, kind: str, size: str, slide: str
     """Extension: counts in tumbling or sliding windows with a watermark."""
     window: Column = F.window(ts, size, slide) if slide else F.window(ts, size)
     return stream.withWatermark(ts, late).groupBy(window.alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def live_lookalikes(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Look-alike names (name, candidate, addrs ARRAY) that did not answer before and do now: DWATCH-010; the first look is silent."""
+    live = rows.where("size(addrs) > 0").select("name", "candidate").distinct()
+    looked = state.select("name").distinct()
+    events = live.join(state.where("candidate IS NOT NULL"), ["name", "candidate"], "left_anti").join(looked, "name", "left_semi").withColumn("id", F.lit("DWATCH-010"))
+    return events, state.unionByName(live).unionByName(rows.select("name", F.lit(None).cast("string").alias("candidate"))).distinct()
+
+
+# What a change of an agent's file is called by its path (id, severity, pattern).
+TRIPWIRES = [
+    ("AW-001", "high", r"(?i)(?:^|/)hooks?(?:\.json|/)|settings[^/]*\.json$"), ("AW-002", "high", r"(?i)(?:^|/)\.?mcp[^/]*\.json$"), ("AW-003", "medium", r"(?i)(?:^|/)(?:skills?|plugins?)/"), ("AW-004", "medium", r"(?i)(?:^|/)(?:AGENTS|CLAUDE|GEMINI|SKILL|RULES)\.md$|\.cursorrules$"),
+    ("AW-005", "medium", r"(?i)(?:^|/)commands?/"), ("AW-006", "medium", r"(?i)\.(?:sh|py|js|ts|ps1)$"), ("AW-008", "medium", r"(?i)(?:^|/)permissions?"),
+]
+
+
+def tripwire(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Agent files (root, path, sha256) added, removed or changed since the last look: (root, path, change, id, severity); a root's first look is silent.
+
+    A row without a digest could not be read: it is AW-011 and leaves the state as it was.
+    """
+    now = rows.groupBy("root", "path").agg(F.max("sha256").alias("sha256"))
+    known = state.select("root").distinct()
+    both = now.join(state.withColumnRenamed("sha256", "old"), ["root", "path"], "full_outer").join(rows.select("root").distinct(), "root", "left_semi").join(known, "root", "left_semi")
+    seen = both.join(now.select("root", "path", F.lit(True).alias("_here")), ["root", "path"], "left")
+    change = F.when(F.col("_here").isNull(), "removed").when(F.col("sha256").isNull(), "unreadable").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("sha256"), "changed")
+    id, severity = F.lit("AW-010"), F.lit("info")
+    for i, s, rx in reversed(TRIPWIRES):
+        id, severity = F.when(F.col("path").rlike(rx), i).otherwise(id), F.when(F.col("path").rlike(rx), s).otherwise(severity)
+    plain = F.when(F.col("change") == "unreadable", "AW-011").when(F.col("change") == "removed", "AW-009").otherwise(id)
+    events = seen.withColumn("change", change).where("change IS NOT NULL").select("root", "path", "change", plain.alias("id"), F.when(F.col("change").isin("removed", "unreadable"), "low").otherwise(severity).alias("severity"))
+    kept = now.join(state.withColumnRenamed("sha256", "old"), ["root", "path"], "left").select("root", "path", F.coalesce("sha256", "old").alias("sha256"))
+    return events, state.join(rows.select("root").distinct(), "root", "left_anti").unionByName(kept)
+
+
+def posture_once(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Warnings (domain, id, value) that were not given before with this value: an expiry is warned of once a date."""
+    now = rows.select("domain", "id", "value").distinct()
+    fresh = now.join(state, ["domain", "id", "value"], "left_anti")
+    return fresh, state.unionByName(fresh)
+
+
+def index_files(state: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(to fingerprint, kept, vanished): files (root, path, mtime, size) against a similarity index with the same columns and its fingerprints."""
+    key = ["root", "path", "mtime", "size"]
+    kept = state.join(files.select(*key).distinct(), key, "left_semi")
+    vanished = state.join(files.select("root").distinct(), "root", "left_semi").join(files.select("root", "path").distinct(), ["root", "path"], "left_anti")
+    return files.join(state.select(*key), key, "left_anti"), kept, vanished
+
+
+def hourly_events(spark: SparkSession, folder: str, needle: str, schema: str) -> DataFrame:
+    """A stream of the events in compressed hour files (JSON lines) whose line holds the needle in any case; lines are parsed behind that test."""
+    lines = spark.readStream.text(folder)
+    return lines.where(F.contains(F.lower("value"), F.lit(needle.lower()))).select(F.from_json("value", schema).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
+def union_of_scans(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of pushed repositories (repo, fp): all that were ever found are known; new ones come out, a first scan's as well."""
+    now = rows.select("repo", "fp").distinct()
+    return now.join(state, ["repo", "fp"], "left_anti"), state.unionByName(now).distinct()
