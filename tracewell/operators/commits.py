@@ -22,7 +22,7 @@ def commit_records(log: DataFrame) -> DataFrame:
     f = F.split("value", US)
     rows = log.where(F.size(f) >= 6).select("repo", f[0].alias("sha"), f[1].alias("name"), F.lower(f[2]).alias("email"), F.expr(f"try_cast(split(value, '{US}')[3] as bigint)").alias("ts"), f[4].alias("committer"), F.element_at(f, 6).alias("_m"))
     subject = F.trim(F.substring_index("_m", "\n", 1))
-    return rows.where("sha <> '' AND ts IS NOT NULL").select("repo", "sha", "name", "email", "ts", "committer", subject.alias("subject"), F.trim(F.expr("substring(_m, length(substring_index(_m, '\n', 1)) + 2)")).alias("body"))
+    return rows.where("sha <> '' AND ts IS NOT NULL").select("repo", "sha", "name", "email", "ts", "committer", subject.alias("subject"), F.regexp_replace(F.expr("substring(_m, length(substring_index(_m, '\n', 1)) + 2)"), r"^\s+|\s+$", "").alias("body"))
 
 
 def history_lines(patches: DataFrame) -> DataFrame:

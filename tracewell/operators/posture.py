@@ -93,7 +93,7 @@ def mta_sts(policies: DataFrame) -> DataFrame:
     field = lambda k: F.lower(F.regexp_extract("policy", rf"(?im)^{k}:\s*(\S+)\s*$", 1))
     pats = F.transform(F.regexp_extract_all("policy", F.lit(r"(?im)^mx:\s*(\S+)\s*$"), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"\.$", ""))
     host = lambda h: F.regexp_replace(F.lower(F.element_at(F.split(F.trim(h), r"\s+"), -1)), r"\.$", "")
-    fits = lambda h, p: F.when(p.startswith("*."), (h == F.expr("substring(p, 3)") if False else (F.concat(F.lit("."), h)).endswith(F.substring(p, 2, 255)))).otherwise(h == p)
+    fits = lambda h, p: F.when(p.startswith("*."), F.concat(F.lit("."), h).endswith(F.substring(p, 2, 255))).otherwise(h == p)
     covered = F.forall(F.coalesce("mx", F.array().cast("array<string>")), lambda h: F.exists(pats, lambda p: fits(host(h), p)))
     mode = F.when(F.col("policy").isNull(), "absent").when(field("mode").isin("enforce", "testing", "none"), field("mode")).otherwise("error")
     return policies.select("domain", mode.alias("mode"), F.when(F.col("policy").isNotNull(), covered).alias("covered"))
