@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.authored import find_not_authored, judged_files, judged_rows, shared_subtrees
+from tracewell.llm.authored import DIRS_RE, LOCK_RE, NAME_RE, PAIRS_RE, find_not_authored, judged_files, judged_rows, path_evidence, plain_path, shared_subtrees
 from tracewell.llm.chunking import split_documents
 from tracewell.llm.leakage import find_leaks
 from tracewell.llm.linkage import clustered, repeats, scored_links
@@ -97,6 +97,12 @@ def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
     return judged_files(table(spark, d, "files")).groupBy("evidence", "own").agg(F.count(F.lit(1)).alias("files"))
 
 
+def p6_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Findings' paths by what they tell."""
+    rows = table(spark, d, "findings").where("finding_id IS NOT NULL AND path IS NOT NULL").select("finding_id", plain_path(F.col("path")).alias("path")).distinct()
+    return rows.groupBy(path_evidence(F.col("path")).alias("evidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -124,7 +130,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_evidence": p3_evidence,
     "p4_found": p4_found, "p4_scans": p4_scans, "p4_links": p4_links, "p4_clusters": p4_clusters,
     "p5_found": p5_found, "p5_groups": p5_groups,
-    "p6_found": p6_found, "p6_authored": p6_authored, "p6_shared_subtrees": p6_shared_subtrees, "p6_evidence": p6_evidence,
+    "p6_found": p6_found, "p6_authored": p6_authored, "p6_shared_subtrees": p6_shared_subtrees, "p6_evidence": p6_evidence, "p6_paths": p6_paths,
     "p7_ids": p7_ids, "p7_counts": p7_counts,
     "p8_found": p8_found, "p8_items": p8_items, "p9_pieces": p9_pieces,
 }
@@ -163,4 +169,32 @@ _P4_SCANS = f"""
 SELECT s.scan_id, coalesce(r.repeats, 0) AS repeats, s.baselined FROM (SELECT scan_id, max(baselined) AS baselined FROM scans GROUP BY scan_id) s
 LEFT JOIN (SELECT scan_id, count(*) AS repeats FROM ({_P4}) JOIN (SELECT DISTINCT finding_id, scan_id FROM findings) USING (finding_id) GROUP BY scan_id) r USING (scan_id)
 """
-ORACLE: dict[str, str] = {"p4_found": _P4, "p4_scans": _P4_SCANS, "p5_found": _P5}
+# Groups are the least id that union by label spreading over the pairs reaches; classes and links follow from the sets.
+_P5_GROUPS = """
+WITH RECURSIVE f AS (SELECT file_id, any_value(hex(fp)) AS h FROM files WHERE fp IS NOT NULL AND octet_length(fp) >= 160 AND file_id IS NOT NULL GROUP BY file_id),
+s AS (SELECT DISTINCT file_id, substr(h, CAST(i * 16 + 1 AS BIGINT), 16) AS x FROM f, unnest(range(CAST(length(h) // 16 AS BIGINT))) t(i)),
+n AS (SELECT file_id, count(*) AS n, md5(string_agg(x, '' ORDER BY x)) AS p FROM s GROUP BY file_id HAVING count(*) >= 20),
+m AS (SELECT file_id, n, min(file_id) OVER (PARTITION BY p) AS class_id FROM n),
+c AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.file_id < b.file_id WHERE a.file_id IN (SELECT class_id FROM m) AND b.file_id IN (SELECT class_id FROM m) GROUP BY ALL),
+e AS (SELECT c.a, c.b FROM c JOIN n na ON na.file_id = c.a JOIN n nb ON nb.file_id = c.b WHERE 10 * i >= 7 * (na.n + nb.n - i)),
+y AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+g AS (SELECT class_id AS id, class_id AS l FROM m WHERE file_id = class_id UNION SELECT y.b, g.l FROM g JOIN y ON y.a = g.id),
+k AS (SELECT id, min(l) AS group_id FROM g GROUP BY id),
+d AS (SELECT a AS id, count(*) AS links FROM y GROUP BY a)
+SELECT m.file_id, m.class_id, k.group_id, coalesce(d.links, 0) AS links FROM m JOIN k ON k.id = m.class_id LEFT JOIN d ON d.id = m.class_id
+"""
+# Words without accents and invisible characters; each run of twelve (or the whole item) is joined by its hash.
+_PLAIN = "regexp_extract_all(strip_accents(lower(regexp_replace({}, '\\p{{Cf}}|\\p{{Mn}}', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
+_P8 = f"""
+WITH i AS (SELECT item_id, {_PLAIN.format('text')} AS w FROM (SELECT item_id, any_value(text) AS text FROM eval_items GROUP BY item_id)), i2 AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM (SELECT doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id)),
+ir AS (SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: md5(array_to_string(w[k:k + n - 1], ' ')))) AS h FROM i2),
+dr AS (SELECT doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 1, 0) + 1), lambda k: md5(array_to_string(w[k:k + n - 1], ' ')))) AS h FROM d, (SELECT DISTINCT n FROM i2))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (n, h)
+"""
+_P6_PATHS = """
+WITH f AS (SELECT DISTINCT finding_id, regexp_replace(replace(path, chr(92), '/'), '^(\\./+)+', '') AS p FROM findings WHERE finding_id IS NOT NULL AND path IS NOT NULL),
+e AS (SELECT CASE WHEN regexp_matches(p, '{lock}') THEN 'lock file' WHEN regexp_matches(p, '{dirs}') OR regexp_matches(p, '{pairs}') THEN 'directory' WHEN regexp_matches(p, '{name}') THEN 'name' END AS evidence FROM f)
+SELECT evidence, count(*) AS n FROM e GROUP BY 1
+""".format(lock=LOCK_RE, dirs=DIRS_RE, pairs=PAIRS_RE, name=NAME_RE)
+ORACLE: dict[str, str] = {"p5_groups": _P5_GROUPS, "p8_found": _P8, "p8_items": f"SELECT item_id, count(*) AS documents FROM ({_P8}) GROUP BY item_id", "p6_paths": _P6_PATHS, "p4_found": _P4, "p4_scans": _P4_SCANS, "p5_found": _P5}
