@@ -26,11 +26,27 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_all(values: list[bytes]) -> np.ndarray:
+    """FNV-1a of many values: position by position over all that are long enough."""
+    order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    sizes = np.array([len(values[i]) for i in order], dtype=np.int64)
+    flat = np.frombuffer(b"".join(values[i] for i in order), dtype=np.uint8).astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    h = np.full(len(order), FNV_BASIS, dtype=np.uint64)
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        k = int(np.searchsorted(-sizes, -at, side="left"))  # values longer than ``at``
+        h[:k] = (h[:k] ^ flat[first[:k] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(order), dtype=np.uint64)
+    out[order] = h
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def fnv1a_hex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit FNV-1a as 16 hexadecimal digits; null stays null."""
     for s in batches:
-        yield s.map(lambda x: None if x is None else f"{fnv1a(x.encode()):016x}")
+        made = fnv1a_all([b"" if x is None else x.encode() for x in s])
+        yield pd.Series([None if x is None else f"{h:016x}" for x, h in zip(s, made.tolist(), strict=True)], dtype=object)
 
 
 def osa(a: str, b: str, most: int) -> int:

@@ -6,7 +6,6 @@ headers count as none sent; null bodies have no body findings.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
+from tracewell.operators.snapshots import newest
 
 
 def explode_ids(rows: DataFrame, keep: list[str], checks: list[tuple[str, str, Column]]) -> DataFrame:
@@ -27,25 +27,31 @@ def lower_headers(headers: Column) -> Column:
     return F.coalesce(F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"]))), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
-def web_audit(responses: DataFrame) -> DataFrame:
-    """(resp_id, id, severity) of responses (resp_id, url, headers, body)."""
+def web_checks(responses: DataFrame) -> list[tuple[str, str, Column]]:
+    """The checks of a response (url, headers, body, final_url where it was followed): (id, severity, condition)."""
     h = lower_headers(F.col("headers"))
     get = lambda k: F.lower(F.try_element_at(h, F.lit(k)))
     https, body = F.lower("url").startswith("https:"), F.col("body")
-    csp, cookie = get("content-security-policy"), get("set-cookie")
-    checks = [
-        ("WEB-001", "medium", csp.isNull()), ("WEB-002", "low", get("x-content-type-options").isNull()), ("WEB-003", "low", get("x-frame-options").isNull() & ~F.coalesce(csp.contains("frame-ancestors"), F.lit(False))),
-        ("WEB-004", "low", get("referrer-policy").isNull()), ("WEB-005", "low", get("permissions-policy").isNull()),
-        ("WEB-006", "medium", csp.rlike("unsafe-(?:inline|eval)")), ("WEB-007", "medium", https & (get("strict-transport-security").isNull() | get("strict-transport-security").rlike(r"max-age=0\b"))),
-        ("WEB-010", "high", (get("access-control-allow-origin") == "*") & (get("access-control-allow-credentials") == "true")), ("WEB-011", "low", (get("access-control-allow-origin") == "*") & ~F.coalesce(get("access-control-allow-credentials") == "true", F.lit(False))),
-        ("WEB-012", "medium", get("access-control-allow-origin") == "null"), ("WEB-013", "low", cookie.isNotNull() & ~(cookie.contains("httponly") & cookie.contains("secure"))), ("WEB-014", "medium", cookie.rlike("samesite=none") & ~cookie.contains("secure")),
-        ("WEB-015", "low", cookie.isNotNull() & get("cache-control").rlike("public|max-age=[1-9]")),
-        ("WEB-020", "high", body.rlike(r"(?i)<form[^>]+action=[\"']?http://")), ("WEB-021", "medium", https & body.rlike(r"(?i)<(?:script|img|iframe|link)[^>]+(?:src|href)=[\"']?http://")),
-        ("WEB-022", "low", body.rlike(r"(?i)<title>\s*index of /")), ("WEB-023", "medium", body.rlike(r"Traceback \(most recent call last\)|java\.lang\.[A-Za-z]+Exception|panic: runtime error|</b> on line <b>")),
-        ("WEB-024", "info", body.rlike(r"(?i)<title>[^<]*(?:admin|debug|dashboard|phpinfo)")), ("WEB-025", "info", body.rlike(r"(?i)<meta[^>]+name=[\"']?generator")),
-        ("WEB-026", "low", body.rlike(r"(?i)<script[^>]+src=[\"'][^\"']+[\"'](?![^>]*integrity=)[^>]*>")),
+    csp, cookie, origin = get("content-security-policy"), get("set-cookie"), get("access-control-allow-origin")
+    final = F.lower("final_url") if "final_url" in responses.columns else F.lit(None).cast("string")
+    title = F.lower(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    with_credentials = F.coalesce(get("access-control-allow-credentials") == "true", F.lit(False))
+    return [
+        ("WEB-001", "high", https & final.startswith("http:")), ("WEB-010", "medium", csp.isNull()), ("WEB-011", "low", get("x-content-type-options").isNull()),
+        ("WEB-012", "low", get("x-frame-options").isNull() & ~F.coalesce(csp.contains("frame-ancestors"), F.lit(False))), ("WEB-013", "low", get("referrer-policy").isNull()), ("WEB-014", "low", get("permissions-policy").isNull()),
+        ("WEB-015", "medium", https & (get("strict-transport-security").isNull() | get("strict-transport-security").rlike(r"max-age=0\b"))), ("WEB-017", "high", (origin == "*") & with_credentials), ("WEB-019", "medium", csp.rlike("unsafe-(?:inline|eval)")),
+        ("WEB-020", "low", cookie.isNotNull() & ~(cookie.contains("httponly") & cookie.contains("secure"))), ("WEB-021", "info", get("cross-origin-opener-policy").isNull() & get("cross-origin-embedder-policy").isNull()), ("WEB-022", "low", (origin == "*") & ~with_credentials), ("WEB-023", "medium", origin == "null"),
+        ("WEB-025", "high", body.rlike(r"(?i)<form[^>]+action=[\"']?http://")), ("WEB-026", "low", title.rlike(r"^\s*index of /")), ("WEB-027", "medium", body.rlike(r"Traceback \(most recent call last\)|java\.lang\.[A-Za-z]+Exception|panic: runtime error|</b> on line <b>")),
+        ("WEB-028", "medium", https & body.rlike(r"(?i)<(?:script|img|iframe|link)[^>]+(?:src|href)=[\"']?http://")), ("WEB-029", "low", cookie.isNotNull() & get("cache-control").rlike("public|max-age=[1-9]")), ("WEB-044", "medium", cookie.rlike("samesite=none") & ~cookie.contains("secure")),
+        ("WEB-050", "high", body.rlike(r"(?i)(?:api_?key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"'][A-Za-z0-9+/_\-]{16,}[\"']")), ("WEB-060", "info", body.rlike(r"(?is)<meta\s+name=[\"']description[\"']\s+content=[\"']\s*[-–—]")), ("WEB-061", "info", body.rlike(r"(?i)<meta[^>]+name=[\"']?generator")), ("WEB-062", "info", title.rlike("admin|debug|dashboard|phpinfo")),
     ]
-    return explode_ids(responses.dropDuplicates(["resp_id"]), ["resp_id"], checks)
+
+
+def web_audit(responses: DataFrame) -> DataFrame:
+    """(resp_id, id, severity) of responses (resp_id, url, headers, body); of those delivered twice the one loaded last."""
+    order = [c for c in ("loaded_at", "fetched_at") if c in responses.columns]
+    once = newest(responses.select("resp_id", "url", "headers", "body", *[c for c in ("final_url", *order) if c in responses.columns]), "resp_id", *order) if order else responses.dropDuplicates(["resp_id"])
+    return explode_ids(once, ["resp_id"], web_checks(responses))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -86,7 +92,7 @@ def dockerfile_audit(files: DataFrame) -> DataFrame:
 
 
 def workflow_audit(files: DataFrame) -> DataFrame:
-    """(key, id, severity, detail) of CI workflows (key, path, text), read as YAML where a parser is at hand, by lines otherwise.
+    """(key, id, severity, detail) of CI workflows (key, path, text) by their lines; ``containers.audit`` reads the documents.
 
     Only texts that name jobs are looked at. The line form covers references, triggers, permissions and untrusted input in scripts.
     """
@@ -221,11 +227,3 @@ def expiring(rows: DataFrame, column: str, day: Column, within: int) -> DataFram
     """Rows whose date (head of a text) lies within so many days after ``day``, with the days left (negative: past)."""
     left = F.datediff(F.try_to_date(F.left(column, F.lit(10)), "yyyy-MM-dd"), day)
     return rows.withColumn("days_left", left).where(F.col("days_left") <= within)
-
-
-def as_json(findings: DataFrame) -> DataFrame:
-    return findings.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-
-
-def parse_evidence(text: str) -> dict:
-    return json.loads(text)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import text as X
+from tracewell.functions.codecs import fnv1a_hex
 from tracewell.rules.model import SEVERITIES
 
 
@@ -53,6 +54,16 @@ def content_fingerprint() -> Column:
     return F.left(F.sha2(F.concat_ws("|", "rule_id", F.coalesce("excerpt", F.lit(""))), 256), F.lit(16))
 
 
+def portable_fingerprint() -> Column:
+    """The identity that baselines of other tools hold: FNV-1a over rule, path and trimmed excerpt, 16 digits."""
+    return fnv1a_hex(F.concat_ws("|", "rule_id", F.coalesce("path", F.lit("")), F.regexp_replace(F.coalesce("excerpt", F.lit("")), r"^\s+|\s+$", "")))
+
+
+def portable_content_fingerprint() -> Column:
+    """The identity of those baselines that survives a move: SHA-256 over rule, trimmed excerpt and severity."""
+    return F.sha2(F.concat_ws("|", "rule_id", F.regexp_replace(F.coalesce("excerpt", F.lit("")), r"^\s+|\s+$", ""), F.lower("severity")), 256)
+
+
 def trend_fingerprint() -> Column:
     """Identity of a finding in a trend: rule, path, line, excerpt and severity."""
     parts = ["rule_id", X.plain_path(F.col("path")), F.coalesce(F.col("line").cast("string"), F.lit("")), F.coalesce("excerpt", F.lit("")), F.lower("severity")]
@@ -89,12 +100,15 @@ def apply_vex(findings: DataFrame, statements: DataFrame) -> DataFrame:
     return findings.withColumn("_k", what).join(met, "_k", "left").drop("_k")
 
 
-def partition_by_baseline(findings: DataFrame, baseline: DataFrame, now: Column | None = None) -> DataFrame:
-    """Findings with ``known``: accepted by fp, else by fp_content; never if critical or if the entry has expired."""
+def partition_by_baseline(findings: DataFrame, baseline: DataFrame, now: Column | None = None, portable: bool = False) -> DataFrame:
+    """Findings with ``known``: accepted by fp, else by fp_content; never if critical or if the entry has expired.
+
+    ``portable`` baselines are those of other tools, with their identities.
+    """
     live = baseline if now is None else baseline.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
     fp = live.select("fp").where("fp IS NOT NULL").distinct().withColumn("_a", F.lit(True))
     fc = live.select("fp_content").where("fp_content IS NOT NULL").distinct().withColumn("_b", F.lit(True))
-    joined = findings.withColumns({"fp": base_fingerprint(), "fp_content": content_fingerprint()}).join(fp, "fp", "left").join(fc, "fp_content", "left")
+    joined = findings.withColumns({"fp": portable_fingerprint() if portable else base_fingerprint(), "fp_content": portable_content_fingerprint() if portable else content_fingerprint()}).join(fp, "fp", "left").join(fc, "fp_content", "left")
     known = (F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False))) & (F.coalesce(rank_of(F.col("severity")), F.lit(0)) < 4)
     return joined.withColumn("known", known).drop("_a", "_b")
 

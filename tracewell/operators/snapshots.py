@@ -31,6 +31,12 @@ def latest_delivery(df: DataFrame, keys: Sequence[str], loaded: str, values: Seq
     return df.groupBy(*keys).agg(best.alias("_v")).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def newest(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of rows delivered twice the one that is last by ``order`` (nulls first)."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
 def ranged(rows: DataFrame, compared: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Rows (owner, rec, snap_no, loaded_at, *compared) in ranges of (owner, rec), each sorted, the last delivery of each key and snapshot."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -241,4 +241,28 @@ ORACLE = {
         SELECT key, product, version, 'A-1' AS advisory FROM v WHERE product = 'v' AND ((v >= [2, 0, 0] AND v < [5, 1, 3]) OR v = [7, 0, 0]) UNION ALL SELECT key, product, version, 'A-2' FROM v WHERE product = 'm' AND v < [3, 0, 0] UNION ALL SELECT key, product, version, 'A-3' FROM v WHERE product = 'n' AND v > [9, 20, 0]""",
     "q_expiring": f"SELECT DISTINCT {_DOM} AS domain, snap_no, CAST(date_diff('day', DATE '2025-06-01', TRY_CAST(left(cert_not_after, 10) AS DATE)) AS INTEGER) AS days_left FROM domain_snaps WHERE date_diff('day', DATE '2025-06-01', TRY_CAST(left(cert_not_after, 10) AS DATE)) <= 60",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
+_H = "map_from_entries(list_transform(map_entries(headers), lambda e: {'k': lower(e.key), 'v': lower(e.value)}))"
+_WEB = """WITH r AS (SELECT * FROM responses QUALIFY row_number() OVER (PARTITION BY resp_id ORDER BY loaded_at DESC NULLS LAST, fetched_at DESC NULLS LAST) = 1),
+  h AS (SELECT *, coalesce(""" + _H + """, MAP {}) AS h, lower(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, starts_with(lower(url), 'https:') AS https FROM r),
+  x AS (SELECT resp_id, unnest([
+    {'i': 'WEB-001', 's': 'high', 'c': https AND starts_with(lower(final_url), 'http:')}, {'i': 'WEB-010', 's': 'medium', 'c': h['content-security-policy'] IS NULL}, {'i': 'WEB-011', 's': 'low', 'c': h['x-content-type-options'] IS NULL},
+    {'i': 'WEB-012', 's': 'low', 'c': h['x-frame-options'] IS NULL AND NOT coalesce(contains(h['content-security-policy'], 'frame-ancestors'), false)}, {'i': 'WEB-013', 's': 'low', 'c': h['referrer-policy'] IS NULL}, {'i': 'WEB-014', 's': 'low', 'c': h['permissions-policy'] IS NULL},
+    {'i': 'WEB-015', 's': 'medium', 'c': https AND (h['strict-transport-security'] IS NULL OR regexp_matches(h['strict-transport-security'], 'max-age=0\\b'))}, {'i': 'WEB-017', 's': 'high', 'c': h['access-control-allow-origin'] = '*' AND coalesce(h['access-control-allow-credentials'] = 'true', false)},
+    {'i': 'WEB-019', 's': 'medium', 'c': regexp_matches(h['content-security-policy'], 'unsafe-(?:inline|eval)')}, {'i': 'WEB-020', 's': 'low', 'c': h['set-cookie'] IS NOT NULL AND NOT (contains(h['set-cookie'], 'httponly') AND contains(h['set-cookie'], 'secure'))},
+    {'i': 'WEB-021', 's': 'info', 'c': h['cross-origin-opener-policy'] IS NULL AND h['cross-origin-embedder-policy'] IS NULL}, {'i': 'WEB-022', 's': 'low', 'c': h['access-control-allow-origin'] = '*' AND NOT coalesce(h['access-control-allow-credentials'] = 'true', false)}, {'i': 'WEB-023', 's': 'medium', 'c': h['access-control-allow-origin'] = 'null'},
+    {'i': 'WEB-025', 's': 'high', 'c': regexp_matches(body, '(?i)<form[^>]+action=["'']?http://')}, {'i': 'WEB-026', 's': 'low', 'c': regexp_matches(title, '^\\s*index of /')}, {'i': 'WEB-027', 's': 'medium', 'c': regexp_matches(body, 'Traceback \\(most recent call last\\)|java\\.lang\\.[A-Za-z]+Exception|panic: runtime error|</b> on line <b>')},
+    {'i': 'WEB-028', 's': 'medium', 'c': https AND regexp_matches(body, '(?i)<(?:script|img|iframe|link)[^>]+(?:src|href)=["'']?http://')}, {'i': 'WEB-029', 's': 'low', 'c': h['set-cookie'] IS NOT NULL AND regexp_matches(h['cache-control'], 'public|max-age=[1-9]')}, {'i': 'WEB-044', 's': 'medium', 'c': regexp_matches(h['set-cookie'], 'samesite=none') AND NOT contains(h['set-cookie'], 'secure')},
+    {'i': 'WEB-050', 's': 'high', 'c': regexp_matches(body, '(?i)(?:api_?key|secret|token|passw(?:or)?d)["'']?\\s*[:=]\\s*["''][A-Za-z0-9+/_\\-]{16,}["'']')}, {'i': 'WEB-060', 's': 'info', 'c': regexp_matches(body, '(?is)<meta\\s+name=["'']description["'']\\s+content=["'']\\s*[-–—]')}, {'i': 'WEB-061', 's': 'info', 'c': regexp_matches(body, '(?i)<meta[^>]+name=["'']?generator')}, {'i': 'WEB-062', 's': 'info', 'c': regexp_matches(title, 'admin|debug|dashboard|phpinfo')}
+  ]) AS k FROM h)
+  SELECT k.i AS id, k.s AS severity, count(*) AS n FROM x WHERE k.c GROUP BY ALL"""
+_SPF = f"""WITH s AS (SELECT {_DOM} AS domain, snap_no, txt FROM domain_snaps QUALIFY row_number() OVER (PARTITION BY {_DOM}, snap_no ORDER BY loaded_at DESC NULLS LAST, CAST(txt AS VARCHAR) DESC) = 1),
+  r AS (SELECT txt, list_filter(txt, lambda x: regexp_matches(lower(trim(x)), '^v=spf1(?:\\s|$)')) AS recs FROM s), t AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(recs[1])), '\\s+'), lambda x: x <> 'v=spf1') AS terms FROM r),
+  u AS (SELECT *, len(list_filter(terms, lambda x: regexp_matches(x, '^[+?~-]?(?:a|mx|ptr|exists|include)(?:[:/]|$)|^redirect='))) AS lookups, list_filter(terms, lambda x: regexp_matches(x, '^[+?~-]?all$')) AS alls FROM t),
+  v AS (SELECT CASE WHEN txt IS NULL THEN 'inconclusive' WHEN len(recs) = 0 THEN 'absent' WHEN len(recs) > 1 OR lookups > 10 THEN 'error' ELSE 'confirmed' END AS status,
+    CASE WHEN len(recs) = 1 THEN CASE WHEN len(alls) > 0 THEN CASE WHEN alls[1] = 'all' THEN '+all' ELSE alls[1] END WHEN len(list_filter(terms, lambda x: starts_with(x, 'redirect='))) > 0 THEN 'redirect' ELSE 'neutral' END END AS policy, CAST(CASE WHEN len(recs) = 1 THEN lookups END AS INTEGER) AS lookups FROM u)
+  SELECT status, policy, lookups, count(*) AS n FROM v GROUP BY ALL"""
+_IMPORTS = """WITH f AS (SELECT file_id, any_value(path) AS path, any_value(text) AS text FROM files GROUP BY file_id), e AS (SELECT file_id, text, lower(regexp_extract(path, '\\.([A-Za-z]+)$', 1)) AS x FROM f),
+  m AS (SELECT file_id, unnest(CASE WHEN x IN ('js', 'ts', 'jsx', 'tsx', 'mjs', 'cjs') THEN regexp_extract_all(text, '(?:require\\(\\s*|from\\s+)["''](@?[A-Za-z0-9_][\\w./-]*)["'']', 1) WHEN x = 'py' THEN list_concat(regexp_extract_all(text, '(?m)^\\s*(?:from\\s+([A-Za-z_][\\w]*)|import\\s+([A-Za-z_][\\w]*))', 1), regexp_extract_all(text, '(?m)^\\s*(?:from\\s+([A-Za-z_][\\w]*)|import\\s+([A-Za-z_][\\w]*))', 2))
+    WHEN x = 'go' THEN regexp_extract_all(text, '(?m)^\\s*(?:import\\s+)?"([\\w.-]+\\.[\\w./-]+)"', 1) WHEN x = 'rb' THEN regexp_extract_all(text, '(?m)^\\s*require\\s+["'']([\\w/-]+)["'']', 1) WHEN x = 'rs' THEN regexp_extract_all(text, '(?m)^\\s*use\\s+([a-z_][\\w]*)::', 1) WHEN x = 'java' THEN regexp_extract_all(text, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.]+);', 1) END) AS module FROM e)
+  SELECT DISTINCT file_id, module FROM m WHERE module <> ''"""
+ORACLE |= {"q_web_audit": _WEB, "q_spf": _SPF, "q_imports": _IMPORTS}
