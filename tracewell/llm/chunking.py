@@ -8,7 +8,7 @@ earlier gap) while the joint size plus the overlap stays within the limit. What
 pieces; each after the first is led by up to ``overlap`` tokens of the end of the one before, begun
 at a gap as well.
 
-Sizes are exact: each finished piece is encoded again, loses overlap if it is too long, and is
+The text is encoded once, and segments are counted by where its tokens begin. The sizes of pieces are exact: each finished piece is encoded by itself, loses overlap if it is too long, and is
 halved at a gap in the rare case that its parts encode to fewer tokens than the whole. A pre-token
 longer than the room is cut by tokens at character boundaries.
 
@@ -23,6 +23,7 @@ import heapq
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -90,15 +91,40 @@ def fine_atoms(text: str, begin: int, end: int, strength: int, path: str, room:
             at, i = at + len(part), i + k
 
 
-def atoms(text: str, path: str, room: int, fine_above: int) -> list[tuple[int, int, int]]:
-    """(start, tokens, strength of the gap before) of each atomic segment."""
-    enc, out, begin, strength = encoding(path), [], 0, 6
+@functools.cache
+def id_sizes(path: str) -> np.ndarray:
+    """Bytes of each token."""
+    table = id_bytes(path)
+    return np.array([len(table.get(i, b"")) for i in range(max(table) + 1)], dtype=np.int64)
+
+
+class Places:
+    """Where the tokens of a whole text begin, to count those of any segment without encoding it again."""
+
+    def __init__(self, text: str, ids: list[int], path: str):
+        sizes = id_sizes(path)[np.asarray(ids, dtype=np.int64)]
+        self.starts = np.cumsum(sizes) - sizes
+        self.bytes = None
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+            self.bytes = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+
+    def count(self, begin: int, end: int) -> int:
+        if self.bytes is not None:
+            begin, end = self.bytes[begin], self.bytes[end]
+        a, b = np.searchsorted(self.starts, (begin, end))
+        return int(b - a)
+
+
+def atoms(text: str, path: str, room: int, fine_above: int, places: Places) -> list[tuple[int, int, int]]:
+    """(start, tokens, strength of the gap before) of each atomic segment; tokens as the whole text has them."""
+    out, begin, strength = [], 0, 6
     for m in itertools.chain(_GAP.finditer(text), (None,)):
         end = m.end() if m else len(text)
         if end > begin:
-            size = len(enc.encode_ordinary(text[begin:end])) if end - begin <= 8 * room else room + 1
+            size = places.count(begin, end)
             if size <= fine_above:
-                out.append((begin, size, strength))
+                out.append((begin, max(size, 1), strength))
             else:
                 out += fine_atoms(text, begin, end, strength, path, room)
             begin = end
@@ -137,9 +163,9 @@ def merge(sizes: list[int], strengths: list[int], most: int) -> list[int]:
 
 def split(text: str | None, path: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
     """(start, end, overlap tokens, tokens, piece) of each piece; empty for a text within the limit."""
-    if not text or len(text.encode()) <= limit or len(encode(text, path)) <= limit:
+    if not text or len(text.encode()) <= limit or len(ids := encode(text, path)) <= limit:
         return []
-    parts = atoms(text, path, limit - overlap, overlap)
+    parts = atoms(text, path, limit - overlap, overlap, Places(text, ids, path))
     starts, sizes, strengths = map(list, zip(*parts, strict=True))
     heads = merge(sizes, strengths, limit - overlap)
     out, k = [], 0
@@ -154,7 +180,8 @@ def split(text: str | None, path: str, limit: int = LIMIT, overlap: int = OVERLA
                 led += sizes[lead]
                 if best is None or strengths[lead] >= best[2]:
                     best = (lead, led, strengths[lead])
-            if best and best[2] >= 2 and best[1] >= overlap // 2:
+            # The overlap begins at the strongest gap within it, at the earliest of those.
+            if best and best[2] >= 2:
                 lead, led = best[:2]
         while True:
             # The overlap is counted as it is encoded by itself, at the end of the piece before.
