@@ -188,10 +188,13 @@ def registry_bodies(bodies: DataFrame) -> DataFrame:
 
 
 def feed_entries(bodies: DataFrame) -> DataFrame:
-    """(key, pos, id, title) of RSS and Atom feeds (key, text)."""
+    """(key, pos, id, title) of RSS, Atom and JSON feeds (key, text)."""
     entries = F.regexp_extract_all("text", F.lit(r"(?s)<(?:entry|item)\b[^>]*>(.*?)</(?:entry|item)>"), F.lit(1))
     rows = bodies.where(F.col("text").rlike(r"<(?:feed|rss)\b")).select("key", F.posexplode(entries).alias("pos", "e"))
-    return rows.select("key", "pos", F.regexp_extract("e", r"(?s)<(?:id|guid)[^>]*>(.*?)</(?:id|guid)>", 1).alias("id"), F.regexp_extract("e", r"(?s)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    xml = rows.select("key", "pos", F.regexp_extract("e", r"(?s)<(?:id|guid)[^>]*>(.*?)</(?:id|guid)>", 1).alias("id"), F.regexp_extract("e", r"(?s)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    js = bodies.where(F.col("text").rlike(r"^\s*\{") & F.get_json_object("text", "$.version").contains("jsonfeed.org"))
+    items = F.from_json(F.get_json_object("text", "$.items"), "array<struct<id:string,title:string>>")
+    return xml.unionByName(js.select("key", F.posexplode(items).alias("pos", "e")).select("key", "pos", "e.id", "e.title"))
 
 
 def binary_findings(files: DataFrame) -> DataFrame:

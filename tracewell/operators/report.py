@@ -16,6 +16,10 @@ from tracewell.functions.codecs import fnv1a_hex
 from tracewell.rules.model import SEVERITIES
 
 
+#: Patterns of an ignore file that hold for every rule, at most.
+MOST_PATTERNS = 10_000
+
+
 def rank_of(severity: Column) -> Column:
     """0 (info) to 4 (critical) in any case; null for other words."""
     return F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.lower(F.trim(severity))).cast("int"), F.lit(0)) - 1
@@ -71,9 +75,22 @@ def trend_fingerprint() -> Column:
 
 
 def apply_ignore(findings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Findings without those a pattern (rule_id or '*', path_re or null) takes out; rule ids in any case."""
-    hit = ((F.col("p.rule") == "*") | (F.upper("f.rule_id") == F.col("p.rule"))) & (F.col("p.path_re").isNull() | F.expr("rlike(f.path, p.path_re)"))
-    return findings.alias("f").join(patterns.select(F.upper("rule_id").alias("rule"), "path_re").alias("p"), hit, "left_anti")
+    """Findings without those a pattern (rule_id or '*', path_re or null) takes out; rule ids in any case.
+
+    Patterns of a rule meet its findings in an equi-join; those of every rule are one expression, as an ignore file is written by hand:
+    more than ``MOST_PATTERNS`` of them are refused.
+    """
+    named = patterns.select(F.upper("rule_id").alias("rule"), "path_re").distinct()
+    every = [r[0] for r in named.where("rule = '*'").select("path_re").limit(MOST_PATTERNS + 1).collect()]
+    if len(every) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns for every rule")
+    kept = findings
+    if None in every:
+        kept = kept.where("false")
+    elif every:
+        kept = kept.where(~F.coalesce(F.col("path").rlike("|".join(f"(?:{x})" for x in sorted(every))), F.lit(False)))
+    hit = (F.upper("f.rule_id") == F.col("p.rule")) & (F.col("p.path_re").isNull() | F.expr("rlike(f.path, p.path_re)"))
+    return kept.alias("f").join(named.where("rule <> '*'").alias("p"), hit, "left_anti")
 
 
 def ignore_patterns(spark, lines: list[str]) -> DataFrame:

@@ -52,22 +52,26 @@ def dep_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("change", change).where("change IS NOT NULL")
 
 
-def deletion_keys(name: Column) -> Column:
-    """The name and the name less one character: names within one edit or one swap share a key."""
-    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))).otherwise(F.array().cast("array<string>"))))
+def deletion_keys(name: Column, most: int = 1) -> Column:
+    """The name and the name less up to ``most`` characters: names within so many edits or swaps share a key."""
+    less = lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    keys = F.array(name)
+    for _ in range(most):
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, less))))
+    return keys
 
 
 def typosquats(names: DataFrame, popular: DataFrame, most: int = 1) -> DataFrame:
-    """(name, nearest, distance): names within ``most`` (1) edits or swaps of a popular one that are not popular themselves.
+    """(name, nearest, distance): names within ``most`` edits or swaps of a popular one that are not popular themselves.
 
     ``popular`` (name, pos): the nearest wins, ties by position. Candidates share a deletion key, so no name meets all.
     """
     own = names.select(F.lower("name").alias("name")).where("name IS NOT NULL").distinct().join(popular.select(F.lower("name").alias("name")), "name", "left_anti")
-    a = own.select("name", F.explode(deletion_keys(F.col("name"))).alias("k"))
-    b = popular.select(F.lower("name").alias("nearest"), "pos").select("nearest", "pos", F.explode(deletion_keys(F.col("nearest"))).alias("k"))
+    a = own.select("name", F.explode(deletion_keys(F.col("name"), most)).alias("k"))
+    b = popular.select(F.lower("name").alias("nearest"), "pos").select("nearest", "pos", F.explode(deletion_keys(F.col("nearest"), most)).alias("k"))
     pairs = a.join(b, "k").select("name", "nearest", "pos").distinct().withColumn("distance", osa_distance(F.col("name"), F.col("nearest"), most)).where(F.col("distance").between(1, most))
-    w = Window.partitionBy("name").orderBy("distance", "pos")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("name", "nearest", "distance")
+    best = pairs.groupBy("name").agg(F.min_by(F.struct("nearest", "distance"), F.struct("distance", "pos")).alias("v"))
+    return best.select("name", "v.nearest", "v.distance")
 
 
 # Characters that look alike, for the generator of look-alike names.

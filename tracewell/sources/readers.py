@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 
 # Directories that a walk leaves out; names that are read although ignore rules leave them out.
-PRUNED = "node_modules target dist build vendor .venv venv __pycache__ .tox .mypy_cache .pytest_cache .next .cache bower_components".split()
-SECRETISH = r"(?i)^(?:\.env(?:\..*)?|.*\.pem|.*\.key|id_(?:rsa|dsa|ecdsa|ed25519)|\.npmrc|\.pypirc|\.netrc|credentials|.*\.p12|.*\.pfx|.*\.keystore)$"
+PRUNED = "node_modules target dist vendor .venv venv __pycache__ .next .nuxt .turbo .cache .gradle .idea .vscode".split()
+SECRETISH = r"(?i)^(?:\.env(?:\..*)?|\.netrc|\.npmrc|\.pypirc|\.htpasswd|\.pgpass|id_(?:rsa|dsa|ecdsa|ed25519)|.*\.(?:pem|key|p12|pfx|keystore|jks)|.*(?:credential|secret).*)$"
 LINE_CAP = 1 << 20
 SIZE_CAP = 8 << 20
 
@@ -27,7 +27,7 @@ def tree(spark: SparkSession, root: str, git: bool = False, size_cap: int = SIZE
     """(key, target, path, size, mtime, content, text, is_binary) of all files under a root; contents only up to the cap.
 
     Pruned directories are left out, except for files whose names look like secrets. Spark's own listing leaves out
-    names that begin with '.' or '_'; deliver such files under another name or as rows.
+    names that begin with '.' or '_': ``walk.scan_tree`` sees them, and reads ignore files.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     # A walk gives absolute addresses; what follows the root is the path.
@@ -117,15 +117,48 @@ def match_signatures(files: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def sockets(text: DataFrame) -> DataFrame:
-    """(key, local_ip, local_port, remote_ip, remote_port, state, inode) of /proc/net/tcp tables (key, text)."""
+    """(key, local_ip, local_port, remote_ip, remote_port, state, inode) of /proc/net tables of TCP and UDP, IPv4 and IPv6 (key, text).
+
+    IPv6 addresses come in eight groups of four digits; those that hold an IPv4 address are given as that.
+    """
     f = F.split(F.trim("l"), r"\s+")
-    rows = text.select("key", F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l").rlike(r"^\d+:\s+[0-9A-F]{8}:[0-9A-F]{4}\s"))
-    octet = lambda a, i: F.conv(F.substring(a, i, 2), 16, 10)
-    ip = lambda c: F.concat_ws(".", *[octet(F.split(c, ":")[0], i) for i in (7, 5, 3, 1)])
+    rows = text.select("key", F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l").rlike(r"^\d+:\s+(?:[0-9A-F]{8}|[0-9A-F]{32}):[0-9A-F]{4}\s"))
+    octets = lambda a, at: F.concat_ws(".", *[F.conv(F.substring(a, at + i, 2), 16, 10) for i in (6, 4, 2, 0)])  # noqa: E731  a word has its lowest byte first
+    group = lambda a, w, half: F.lower(F.concat(F.substring(a, 8 * w + (7 if half == 0 else 3), 2), F.substring(a, 8 * w + (5 if half == 0 else 1), 2)))
+    six = lambda a: F.concat_ws(":", *[group(a, w, half) for w in range(4) for half in (0, 1)])
+    ip = lambda c: F.when(F.length(F.split(c, ":")[0]) == 8, octets(F.split(c, ":")[0], 1)).when(F.substring(c, 1, 24) == "0000000000000000FFFF0000", octets(c, 25)).otherwise(six(F.split(c, ":")[0]))
     port = lambda c: F.conv(F.split(c, ":")[1], 16, 10).cast("int")
     return rows.select("key", ip(f[1]).alias("local_ip"), port(f[1]).alias("local_port"), ip(f[2]).alias("remote_ip"), port(f[2]).alias("remote_port"), F.conv(f[3], 16, 10).cast("int").alias("state"), f[9].cast("bigint").alias("inode"))
 
 
+def signature_archives(files: DataFrame) -> DataFrame:
+    """(key, hash, size, name) of signature archives (key, content): a header of 512 bytes, then a compressed archive of lists hash:size:name."""
+    import gzip
+    import io
+    import tarfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, content in zip(b["key"], b["content"], strict=True):
+                rows = []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(gzip.decompress(bytes(content)[512:]))) as t:
+                        for m in t:
+                            if m.isfile() and m.name.rsplit(".", 1)[-1] in ("hdb", "hsb", "hdu", "hsu"):
+                                for line in t.extractfile(m).read().decode("latin-1").splitlines():
+                                    p = line.split(":")
+                                    if len(p) >= 3:
+                                        rows.append((key, p[0].lower(), int(p[1]) if p[1].isdigit() else None, p[2]))
+                except (OSError, EOFError, tarfile.TarError, TypeError, ValueError):
+                    pass
+                yield pd.DataFrame(rows, columns=["key", "hash", "size", "name"]).astype({"size": "Int64"})
+
+    return files.select("key", "content").mapInPandas(each, f"key {dict(files.dtypes)['key']}, hash string, size long, name string")
+
+
 def with_processes(socks: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Sockets with the process (pid, comm) that holds their inode, if one does."""
     return socks.join(descriptors.groupBy("inode").agg(F.min(F.struct("pid", "comm")).alias("p")), "inode", "left").select(*socks.columns, "p.pid", "p.comm")
