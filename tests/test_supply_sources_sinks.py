@@ -75,7 +75,8 @@ def test_license_ladder(spark):
 def test_audits(spark):
     web = spark.createDataFrame([(1, "https://x.test", {"Access-Control-Allow-Origin": "*", "access-control-allow-credentials": "true", "Content-Security-Policy": "default-src 'self'"}, "<form action='http://x'>"), (2, "http://x.test", None, None)], "resp_id int, url string, headers map<string,string>, body string")
     got = rows(A.web_audit(web), "resp_id", "id")
-    assert (1, "WEB-010") in got and (1, "WEB-020") in got and (1, "WEB-001") not in got and (2, "WEB-001") in got and (2, "WEB-007") not in got
+    # credentials to any origin, a plain form, a policy that is there and one that is not, transport security of a plain address
+    assert (1, "WEB-017") in got and (1, "WEB-025") in got and (1, "WEB-010") not in got and (2, "WEB-010") in got and (2, "WEB-015") not in got
     docker = spark.createDataFrame([(1, "Dockerfile", "FROM a\nADD https://x.test/y /y\nENV API_KEY=abc\nRUN curl x | sh\nEXPOSE 2222"), (2, "b/Dockerfile", "FROM reg.test:5000/a:1.2\nUSER app\nENV TOKEN=$T")], "key int, path string, text string")
     assert rows(A.dockerfile_audit(docker), "key", "id") == [(1, "CNT-001"), (1, "CNT-002"), (1, "CNT-003"), (1, "CNT-004"), (1, "CNT-005"), (1, "CNT-010")]
     mail = spark.createDataFrame([("a", ["v=spf1 include:x -all"]), ("b", ["v=spf1", "v=spf1 all"]), ("c", None), ("d", []), ("e", ["v=spf1 " + "a:x " * 11 + "all"])], "domain string, txt array<string>")
