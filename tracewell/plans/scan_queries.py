@@ -31,6 +31,12 @@ def q_scan_documents(spark, d):
     return scan(documents_as_files(spark, d), load()).select(F.col("key").alias("doc_id"), "ruleset", "rule_id", "severity", "severity_rank", "path", "line", "excerpt")
 
 
+def q_scan_core(spark, d):
+    """The whole scan (capped, deduplicated) with those of its rules that SQL can say."""
+    rules = _rules("TW-DOC-001", "TW-DOC-002", "TW-DOC-003", "TW-DOC-004", "TW-DOC-005", "TW-DOC-006", "TW-DOC-008", "TW-PATH-001", "TW-PATH-002")
+    return scan(documents_as_files(spark, d), rules).select(F.col("key").alias("doc_id"), "rule_id", "severity", "line", "excerpt")
+
+
 def q_content_rule_hits(spark, d):
     """Hits per content rule, uncapped."""
     rules = _rules("TW-DOC-001", "TW-DOC-002", "TW-DOC-003", "TW-DOC-004", "TW-DOC-005", "TW-DOC-006")
@@ -211,6 +217,13 @@ _ENT = "round(list_sum(list_transform(list_distinct(string_split({t}, '')), lamb
 
 ORACLE = {
     "q_content_rule_hits": f"WITH {_LINES} SELECT rule_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_ALL_HITS}) GROUP BY rule_id",
+    "q_scan_core": f"""WITH {_LINES}, h AS (SELECT * FROM ({_ALL_HITS}) QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY line, k) <= 3)
+        SELECT DISTINCT doc_id, rule_id, severity, line, {_EXC.format('txt')} AS excerpt FROM h
+        UNION ALL SELECT doc_id, 'TW-DOC-008', 'info', line, {_EXC.format('txt')} FROM (SELECT doc_id, line, txt FROM l WHERE contains(txt, 'Upgrade ') AND doc_id IN (SELECT doc_id FROM documents WHERE contains(text, 'Upgrade ') AND contains(text, 'or later')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) = 1)
+        UNION ALL SELECT doc_id, rule_id, severity, NULL, NULL FROM (SELECT DISTINCT doc_id, {_FP.format('path')} AS path FROM documents) CROSS JOIN (VALUES ('TW-PATH-001', '^commit/', 'info'), ('TW-PATH-002', '(?:^|/)log/|\\.log$', 'low')) r(rule_id, rx, severity) WHERE regexp_matches(path, rx)""",
+    "q_secret_candidates": f"""WITH {_ONCE}, t AS (SELECT finding_id, left(trim(excerpt), 200) AS e, unnest(regexp_extract_all(excerpt, '(?i)(?:secret|token|api[_-]?key|passw(?:or)?d|kennwort|clave)[A-Za-z0-9_.-]{{0,20}}["'']? *[:=]+ *["''`]?([A-Za-z0-9+/_-]{{20,}})', 1)) AS x FROM f WHERE NOT contains(excerpt, chr(10)))
+        SELECT DISTINCT finding_id, CAST(1 AS INTEGER) AS line, replace(e, x, left(x, 4) || '...' || right(x, 3)) AS excerpt FROM t
+        WHERE length(x) >= 20 AND len(list_distinct(string_split(x, ''))) > 4 AND NOT regexp_matches(x, '(?i)(?:example|dummy|changeme|placeholder|your[_-]|xxxx|todo|redacted|sample|fixme|insert[_-])') AND {_ENT.format(t='x')} >= 3.8""",
     "q_line_numbers": f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS INTEGER) AS hit_idx, line, {_EXC.format('txt')} AS excerpt, token FROM ({_hits_sql('TW-DOC-005')})",
     "q_contains_all": f"WITH {_LINES} SELECT doc_id, min(line) AS line, 'Upgrade ' AS token FROM l WHERE contains(txt, 'Upgrade ') AND doc_id IN (SELECT doc_id FROM documents WHERE contains(text, 'Upgrade ') AND contains(text, 'or later')) GROUP BY doc_id",
     "q_keyword_gate": f"""WITH {_ONCE}, h AS (SELECT finding_id, excerpt, unnest(regexp_extract_all(excerpt, 'verify *= *False')) AS token FROM f WHERE NOT contains(excerpt, chr(10)))

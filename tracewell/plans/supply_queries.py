@@ -266,3 +266,18 @@ _IMPORTS = """WITH f AS (SELECT file_id, any_value(path) AS path, any_value(text
     WHEN x = 'go' THEN regexp_extract_all(text, '(?m)^\\s*(?:import\\s+)?"([\\w.-]+\\.[\\w./-]+)"', 1) WHEN x = 'rb' THEN regexp_extract_all(text, '(?m)^\\s*require\\s+["'']([\\w/-]+)["'']', 1) WHEN x = 'rs' THEN regexp_extract_all(text, '(?m)^\\s*use\\s+([a-z_][\\w]*)::', 1) WHEN x = 'java' THEN regexp_extract_all(text, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.]+);', 1) END) AS module FROM e)
   SELECT DISTINCT file_id, module FROM m WHERE module <> ''"""
 ORACLE |= {"q_web_audit": _WEB, "q_spf": _SPF, "q_imports": _IMPORTS}
+_CONFUSED = ", ".join(f"('{c}', '{r}')" for c, rs in P.CONFUSABLE.items() for r in ([rs] if c in "mw" else rs))
+_LOOK = f"""WITH n AS (SELECT DISTINCT regexp_replace(lower(trim(domain_name)), '\\.$', '') AS name FROM domain_snaps), p AS (SELECT name, split_part(name, '.', 1) AS s, substr(name, length(split_part(name, '.', 1)) + 1) AS rest FROM n),
+  i AS (SELECT *, CAST(unnest(range(1, length(s) + 1)) AS INTEGER) AS i FROM p),
+  x AS (SELECT name, s, left(s, i - 1) || substr(s, i + 1) AS x, rest, 'omission' AS how FROM i UNION ALL SELECT name, s, left(s, i) || substr(s, i), rest, 'repetition' FROM i
+    UNION ALL SELECT name, s, left(s, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2), rest, 'transposition' FROM i WHERE i < length(s) UNION ALL SELECT name, s, left(s, i) || '-' || substr(s, i + 1), rest, 'hyphen' FROM i WHERE i < length(s)
+    UNION ALL SELECT name, s, left(s, i - 1) || r || substr(s, i + 1), rest, 'confusable' FROM i JOIN (VALUES {_CONFUSED}) c(c, r) ON substr(s, i, 1) = c),
+  y AS (SELECT name, x || rest AS candidate, how FROM x WHERE x <> s AND x <> '' UNION ALL SELECT name, s || '.' || t, 'suffix' FROM p, (VALUES {", ".join(f"('{t}')" for t in P.SUFFIXES)}) u(t) WHERE s || '.' || t <> name),
+  z AS (SELECT name, candidate, min(how) AS how FROM y GROUP BY name, candidate QUALIFY row_number() OVER (PARTITION BY name ORDER BY min(how), candidate) <= 400)
+  SELECT name, how, count(*) AS n FROM z GROUP BY ALL"""
+_DELTA = """WITH f AS (SELECT coalesce(root, '') AS root, regexp_replace(replace(path, chr(92), '/'), '^(\\./+)+', '') AS path, coalesce(indexed_at, TIMESTAMP '0001-01-01') AS ts, file_id, text, max(coalesce(indexed_at, TIMESTAMP '0001-01-01')) OVER (PARTITION BY coalesce(root, '')) AS newest FROM files WHERE path IS NOT NULL),
+  a AS (SELECT root, path, arg_max(text, (ts, file_id)) AS text FROM f GROUP BY ALL), b AS (SELECT root, path, arg_max(text, (ts, file_id)) AS text FROM f WHERE ts < newest GROUP BY ALL),
+  x AS (SELECT 'new' AS side, * FROM a UNION ALL SELECT 'old', * FROM b), d AS (SELECT side, root, unnest(regexp_extract_all(text, '"([a-z]+)": \\{"version": "[^"]+"', 1)) AS name, unnest(regexp_extract_all(text, '"[a-z]+": \\{"version": "([^"]+)"', 1)) AS version FROM x WHERE regexp_matches(path, '(?:package-lock\\.json|go\\.sum|uv\\.lock|Cargo\\.lock)$')),
+  g AS (SELECT root, name, array_to_string(list_sort(list_distinct(list(version) FILTER (side = 'old'))), ',') AS o, array_to_string(list_sort(list_distinct(list(version) FILTER (side = 'new'))), ',') AS n FROM d GROUP BY ALL), h AS (SELECT root, 'generic' AS ecosystem, name, nullif(o, '') AS old, nullif(n, '') AS new FROM g)
+  SELECT root, ecosystem, name, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change FROM h WHERE old IS DISTINCT FROM new"""
+ORACLE |= {"q_lookalikes": _LOOK, "q_dep_delta_roots": _DELTA}
