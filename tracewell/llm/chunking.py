@@ -13,7 +13,7 @@ halved at a gap in the rare case that its parts encode to fewer tokens than the
 longer than the room is cut by tokens at character boundaries.
 
 Defined results: null and empty texts and texts within the limit give no pieces; the pieces
-without their overlaps are the text; repeated rows count once per key.
+without their overlaps are the text; rows are split one by one, so keys should be unique, as those of documents are.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Records that hold template residue, filler, error pages or notices instead of content.
 
 Labelled residue exemplars are a table (kind, text) that the operator reads and puts into an inverted index. Every passage of a
-record's visible text (windows of its blocks and of their sentences; scripts, styles, code and comments left out) retrieves the
+record's visible text (windows of its sentences, and of its blocks for exemplars of several sentences; scripts, styles, code and comments left out) retrieves the
 exemplars it shares words with and is compared by TF-IDF containment, both of the exemplar in the window and of the window in the
 exemplar; the document frequencies of the exemplars' words are counted over all bodies of both tables. A record whose
 visible words are mostly covered by such passages is residue. A notice inside a no-script element counts only if nothing else
@@ -81,7 +81,9 @@ def shapes(text: str) -> Iterator[str]:
             yield from re.findall(r"[^\W_]+", m.group())
 
 
-_TOKEN = re.compile(r"[^\W_]+|\.{4,}|…+")
+_TOKEN = re.compile(r"[^\W_]+|\.{4,}|…+|\x00")
+#: The end of a sentence among tokens.
+END = "\0"
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+|(?<=[.!?])(?=[A-ZÀ-Ý])|[\n\r]+|[\"“”«»()]")
 _DROP = re.compile(r"(?is)<(script|style|template|svg|textarea)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
 _CODE = re.compile(r"(?is)<(pre|code|samp|kbd|xmp)\b[^>]*>.*?</\1\s*>|```.*?```|~~~.*?~~~|`[^`\n]*`")
@@ -122,6 +124,17 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(low.replace("’", "").replace("'", ""))
 
 
+def sentences(block: str) -> list[list[str]]:
+    """The tokens of a block by sentences; the block is spelled once."""
+    out: list[list[str]] = [[]]
+    for t in tokens(_SENTENCE.sub(END, block.replace(END, " "))):
+        if t == END:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [x for x in out if x]
+
+
 def json_strings(value) -> Iterator[str]:
     """The strings of a parsed value in their order, however deep."""
     stack = [value]
@@ -182,6 +195,8 @@ class Index:
         self.unseen = math.log(n + 2) + 0.3
         self.postings: dict[str, set[int]] = defaultdict(set)
         self.sets = [set(ts) for _, ts in self.texts]
+        # Exemplars of several sentences are sought over the ends of sentences as well.
+        self.several = frozenset(i for i, x in enumerate(x for kind, x in rows if kind != "mark") if len(sentences(x)) > 1)
         self.mass = [sum(self.idf[t] for t in s) for s in self.sets]
         # How many words of an exemplar it takes at least to contain it.
         self.least = []
@@ -239,11 +254,15 @@ class Index:
             at += 1
         return True
 
-    def covered(self, sentence: list[str]) -> frozenset[int]:
-        """Positions of the sentence's words that lie in a window contained in, or containing, an exemplar."""
+    def covered(self, sentence: list[str], only: frozenset[int] | None = None) -> frozenset[int]:
+        """Positions of the sentence's words that lie in a window contained in, or containing, an exemplar (of ``only`` these)."""
         best: set[int] = set()
         n = len(sentence)
-        for i in {i for t in set(sentence) if t in self.postings for i in self.postings[t]}:
+        met = self.postings.keys() & sentence if len(sentence) < 40 else self.postings.keys() & set(sentence)
+        if not met:
+            return frozenset()
+        near = set().union(*(self.postings[t] for t in met))
+        for i in near if only is None else near & only:
             own = self.sets[i]
             hits = [k for k, t in enumerate(sentence) if t in own]
             need = min(2, len(own))
@@ -281,8 +300,8 @@ class Index:
 
     def share(self, blocks: list[str]) -> float:
         """Share of the words of the blocks that residue passages cover; 0 if it cannot reach ``COVERED``."""
-        spelled = [[tokens(x) for x in _SENTENCE.split(block)] for block in blocks]
-        wholes = [[t for s in sentences for t in s] for sentences in spelled]
+        spelled = [sentences(block) for block in blocks]
+        wholes = [[t for s in ss for t in s] for ss in spelled]
         counted = [[t not in CHROME and (t.isalpha() or not _ID.match(t)) for t in whole] for whole in wholes]
         words = sum(map(sum, counted))
         # Covered are words of exemplars only: where too few of them stand, no window need be looked at.
@@ -290,13 +309,11 @@ class Index:
         if not words or most < COVERED * words:
             return 0.0
         hit = 0
-        for sentences, whole, c in zip(spelled, wholes, counted, strict=True):
-            # A passage may run over the ends of sentences: the block's windows count as well as the sentences'.
-            marked = set(self.covered(whole))
+        for ss, whole, c in zip(spelled, wholes, counted, strict=True):
+            marked = set(self.covered(whole, self.several)) if len(ss) > 1 else set()
             at = 0
-            for s in sentences:
-                if len(s) < len(whole):
-                    marked.update(at + k for k in self.covered(s))
+            for s in ss:
+                marked.update(at + k for k in self.covered(s))
                 at += len(s)
             hit += sum(1 for k, t in enumerate(whole) if c[k] and (k in marked or not t[0].isalnum()))
         return hit / words

@@ -105,5 +105,5 @@ def decode_column(ids: Column, directory: str | None = None) -> Column:
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", directory: str | None = None) -> DataFrame:
-    """(key, ids) of every document, one row for each key; of rows delivered twice one counts."""
+    """(key, ids) of every row of documents, whose keys are unique; rows are encoded one by one and not shuffled."""
     return documents.select(F.col(key), encode_column(F.col(text), directory).alias("ids"))
