@@ -220,3 +220,75 @@ def test_renamed_copies_and_two_collections(spark):
     _, pairs = S.similar(S.fingerprints(df, S.code_tokens(F.col("text"))))
     assert S.classify(pairs).count() == 0  # by names they differ
     assert S.across(fps.limit(0), fps).count() == 0
+
+
+def test_attestations(spark):
+    import base64
+    import hashlib
+    import json
+
+    from tracewell.operators.attestation import leaf_hash, root_of, verify
+
+    node = lambda a, b: hashlib.sha256(b"\x01" + a + b).digest()
+
+    def tree(leaves):
+        if len(leaves) == 1:
+            return leaves[0]
+        k = 1
+        while k * 2 < len(leaves):
+            k *= 2
+        return node(tree(leaves[:k]), tree(leaves[k:]))
+
+    def path(i, leaves):
+        if len(leaves) == 1:
+            return []
+        k = 1
+        while k * 2 < len(leaves):
+            k *= 2
+        return path(i, leaves[:k]) + [tree(leaves[k:])] if i < k else path(i - k, leaves[k:]) + [tree(leaves[:k])]
+
+    for n in range(1, 12):
+        leaves = [leaf_hash(bytes([i])) for i in range(n)]
+        for i in range(n):
+            assert root_of(i, n, leaves[i], path(i, leaves)) == tree(leaves)
+            assert n == 1 or root_of(i, n, leaves[i], path(i, leaves)[:-1]) != tree(leaves)
+    leaves = [leaf_hash(bytes([i])) for i in range(5)]
+    made = {"payload": base64.b64encode(json.dumps({"subject": [{"digest": {"sha256": "AB"}}]}).encode()).decode(), "identity": "me"}
+    proof = {"logIndex": 3, "treeSize": 5, "rootHash": tree(leaves).hex(), "entry": base64.b64encode(b"\x03").decode(), "hashes": [x.hex() for x in path(3, leaves)]}
+    good, bad = json.dumps({**made, "inclusionProof": proof}), json.dumps({**made, "inclusionProof": {**proof, "logIndex": 2}})
+    df = spark.createDataFrame([(1, good, "ab", "me"), (2, bad, "ab", None), (3, good, "cd", "you"), (4, "x", None, None), (5, None, None, None), (6, '{"payload": "!!"}', None, None)], "key int, bundle string, digest string, identity string")
+    assert [(r.key, r.verdict, r.ids) for r in verify(df).orderBy("key").collect()] == [(1, "partial", []), (2, "fail", ["AT-004"]), (3, "fail", ["AT-002", "AT-003"]), (4, "fail", ["AT-001"]), (5, "fail", ["AT-001"]), (6, "fail", ["AT-001"])]
+
+
+def test_names_places_first_seen_and_caps(spark):
+    from tracewell.functions.deps import inventory, name_candidates
+    from tracewell.operators.events import after_cursor, capped, first_seen
+
+    f = spark.createDataFrame([(1, "package.json", '{"dependencies": {"left-pad": "1.0.0", "pad": "2.0.0"}}'), (2, "a/b/requirements.txt", "x==1\n"), (3, "a.py", "x==1"), (4, "go.sum", None)], "key int, path string, text string")
+    assert rows(name_candidates(f)) == [(1, "npm", "left-pad", 19), (1, "npm", "pad", 40), (2, "PyPI", "x", 0)]
+    assert rows(inventory(f)) == [("*", 3, 3, 2), ("PyPI", 1, 1, 1), ("npm", 2, 2, 1)] and rows(inventory(f, 1), "ecosystem") == [("*",), ("npm",)]
+    e = spark.createDataFrame([("r", "b", 2, 5), ("r", "a", 2, 6), ("r", "a", 9, 7), ("r", None, 1, 8), ("q", "z", 1, 9)], "repo string, v string, ts int, id int")
+    assert rows(first_seen(e, "repo", "v", "ts"), "repo", "v", "place") == [("q", "z", 1), ("r", "a", 1), ("r", "b", 2)]
+    assert rows(after_cursor(e, spark.createDataFrame([("r", 6)], "repo string, cursor int"), "repo", "id"), "id") == [(7,), (8,)]
+    assert rows(capped(e, "repo", ["id"], 2), "id", "truncated") == [(5, True), (6, True), (9, False)]
+    s = spark.range(1).select(X.redact_config(F.lit("url = https://u:p@h/x\ndb_password = hunter2\nname = x\nAuthorization: Bearer abc"))).first()[0]
+    assert s == "url = https://***@h/x\ndb_password = ***\nname = x\nAuthorization: Bearer ***"
+
+
+def test_more_lock_files_images_and_packed_programs(spark):
+    import os
+
+    from tracewell.functions.deps import parse
+    from tracewell.operators.audits import binary_findings, image_findings
+
+    assert parse("Pipfile.lock", '{"default": {"a": {"version": "==1.0"}}, "develop": {"b": {}}}') == [("PyPI", "a", "1.0")]
+    assert parse("packages.lock.json", '{"dependencies": {"net8": {"A.B": {"resolved": "1.2.3"}}}}') == [("NuGet", "A.B", "1.2.3")]
+    assert parse("Package.resolved", '{"pins": [{"identity": "x", "location": "https://h/x", "state": {"version": "1.0.0"}}]}') == [("SwiftURL", "https://h/x", "1.0.0")]
+    assert parse("pubspec.lock", 'packages:\n  http:\n    dependency: direct\n    source: hosted\n    version: "1.1.0"\n') == [("Pub", "http", "1.1.0")]
+    assert parse("mix.lock", '%{\n  "jason": {:hex, :jason, "1.4.0", "x"},\n}') == [("Hex", "jason", "1.4.0")]
+    assert parse("gradle.lockfile", "# c\na.b:c:1.0=runtimeClasspath\nempty=\n") == [("Maven", "a.b:c", "1.0")]
+    assert parse("Podfile.lock", "PODS:\n  - Alamo (5.4.0)\n  - B/C (1.0):\n    - D (~> 2)\n") == [("CocoaPods", "Alamo", "5.4.0"), ("CocoaPods", "B/C", "1.0")]
+    df = spark.createDataFrame([(1, '{"config": {"Env": ["DB_PASSWORD=x"], "User": ""}, "history": [{"created_by": "RUN curl https://x | sh"}]}'), (2, '{"config": {"User": "app", "Healthcheck": {}}}'), (3, "x"), (4, None)], "key int, config string")
+    assert rows(image_findings(df), "key", "id") == [(1, "IMG-001"), (1, "IMG-002"), (1, "IMG-003"), (1, "IMG-004")]
+    packed = spark.createDataFrame([(1, "a", b"\x7fELF" + os.urandom(8192)), (2, "b", b"\x7fELF" + b"a" * 8192), (3, None, None)], "key int, path string, content binary")
+    assert rows(binary_findings(packed)) == [(1, "BIN-005")]

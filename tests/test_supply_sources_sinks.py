@@ -246,3 +246,10 @@ def test_the_core_does_not_import_the_text_package():
 
     root = Path(tracewell.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "tracewell.llm" in p.read_text()]
+
+
+def test_minima_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, [5, 7, (1 << 60) - 1]), (2, []), (3, None), (4, [0])], "key int, hashes array<bigint>")
+    got = {r.key: r.m for r in df.select("key", S.minima(F.col("hashes"), 3).alias("m")).collect()}
+    assert got[2] is None and got[3] is None
+    assert got[1] == [min((a * h + b) % S.PRIME for h in (5, 7, (1 << 60) - 1)) for a, b in S.coefficients(3)] and got[4] == [b % S.PRIME for _, b in S.coefficients(3)]

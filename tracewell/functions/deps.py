@@ -105,6 +105,29 @@ def pom(text: str) -> Iterator[Dep]:
             yield "Maven", f"{g.group(1)}:{a.group(1)}", v.group(1)
 
 
+def pipfile_lock(text: str) -> Iterator[Dep]:
+    d = json.loads(text)
+    for k in ("default", "develop"):
+        for name, x in (d.get(k) or {}).items():
+            if isinstance(x, dict) and isinstance(x.get("version"), str):
+                yield "PyPI", name, x["version"].lstrip("=")
+
+
+def nuget_lock(text: str) -> Iterator[Dep]:
+    for group in (json.loads(text).get("dependencies") or {}).values():
+        for name, x in group.items():
+            if isinstance(x, dict) and isinstance(x.get("resolved"), str):
+                yield "NuGet", name, x["resolved"]
+
+
+def swift_resolved(text: str) -> Iterator[Dep]:
+    d = json.loads(text)
+    for x in d.get("pins") or (d.get("object") or {}).get("pins") or []:
+        version = (x.get("state") or {}).get("version")
+        if isinstance(version, str):
+            yield "SwiftURL", x.get("location") or x.get("repositoryURL") or x["identity"], version
+
+
 PARSERS: list[tuple[str, Callable[[str], Iterator[Dep]]]] = [
     (r"(?:^|/)(?:package-lock|npm-shrinkwrap)\.json$", npm_lock), (r"(?:^|/)package\.json$", package_json),
     (r"(?:^|/)yarn\.lock$", lines("npm", r'^"?(@?[^@\s"]+)@[^\n]*:\n\s+version:? "?([^"\s]+)"?')),
@@ -114,6 +137,9 @@ PARSERS: list[tuple[str, Callable[[str], Iterator[Dep]]]] = [
     (r"(?:^|/)Cargo\.lock$", toml_packages("crates.io")), (r"(?:^|/)Cargo\.toml$", cargo_toml),
     (r"(?:^|/)go\.sum$", lines("Go", r"^(\S+) v?([^\s/]+)(?:/go\.mod)? h1:")), (r"(?:^|/)go\.mod$", lines("Go", r"^(?:require\s+|\t)([^\s]+/[^\s]+) v?([0-9][^\s]*)")),
     (r"(?:^|/)Gemfile\.lock$", lines("RubyGems", r"^    ([A-Za-z0-9._-]+) \(([0-9][^)]*)\)$")), (r"(?:^|/)composer\.lock$", composer_lock),
+    (r"(?:^|/)Pipfile\.lock$", pipfile_lock), (r"(?:^|/)packages\.lock\.json$", nuget_lock), (r"(?:^|/)Package\.resolved$", swift_resolved),
+    (r"(?:^|/)pubspec\.lock$", lines("Pub", r'^  (\w+):\n(?:    .*\n)*?    version: "([^"]+)"')), (r"(?:^|/)mix\.lock$", lines("Hex", r'^\s*"(\w+)": \{:hex, :\w+, "([^"]+)"')),
+    (r"(?:^|/)gradle\.lockfile$", lines("Maven", r"^([\w.-]+:[\w.-]+):([^=\s]+)=")), (r"(?:^|/)Podfile\.lock$", lines("CocoaPods", r"^  - \"?([\w./+-]+) \(([0-9][^)]*)\)")),
     (r"(?:^|/)pom\.xml$", pom), (r"(?:^|/)build\.gradle(?:\.kts)?$", lines("Maven", r"""["']([\w.-]+:[\w.-]+):([0-9][\w.-]*)["']""")),
 ]
 
@@ -145,3 +171,26 @@ def extract(files: DataFrame) -> DataFrame:
 
     kept = files.select("key", plain_path(F.col("path")).alias("path"), "text").where(F.col("path").rlike("|".join(rx for rx, _ in PARSERS)) & F.col("text").isNotNull())
     return kept.dropDuplicates(["key"]).mapInPandas(each, f"key {dict(files.dtypes)['key']}, path string, ecosystem string, name string, version string")
+
+
+def name_candidates(files: DataFrame) -> DataFrame:
+    """(key, ecosystem, name, start): names of dependencies in manifests with their first place in the text (0-based), as rules on names need it."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, p, t in zip(b["key"], b["path"], b["text"], strict=True):
+                for eco, name in dict.fromkeys((e, n) for e, n, _ in parse(p, t)):
+                    m = re.search(rf"(?<![\w@/.-]){re.escape(name)}(?![\w-])", t)
+                    rows.append((k, eco, name, m.start() if m else max(t.find(name), 0)))
+            yield pd.DataFrame(rows, columns=["key", "ecosystem", "name", "start"])
+
+    kept = files.select("key", plain_path(F.col("path")).alias("path"), "text").where(F.col("path").rlike("|".join(rx for rx, _ in PARSERS)) & F.col("text").isNotNull())
+    return kept.mapInPandas(each, f"key {dict(files.dtypes)['key']}, ecosystem string, name string, start int").distinct()
+
+
+def inventory(files: DataFrame, deepest: int = 12) -> DataFrame:
+    """(ecosystem, packages, names, files) of the lock files and manifests at most ``deepest`` directories down, and of all ecosystems ('*')."""
+    near = files.where(F.size(F.split(plain_path(F.col("path")), "/")) <= deepest + 1)
+    d = extract(near).select("key", F.explode(F.array("ecosystem", F.lit("*"))).alias("ecosystem"), "name", "version")
+    return d.groupBy("ecosystem").agg(F.countDistinct("name", "version").alias("packages"), F.countDistinct("name").alias("names"), F.countDistinct("key").alias("files"))

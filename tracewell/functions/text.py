@@ -233,3 +233,10 @@ def mask_entropy(s: Column, least: float = 3.4, min_len: int = 16) -> Column:
     runs = F.filter(F.array_distinct(F.regexp_extract_all(s, F.lit(rf"[A-Za-z0-9+/=_-]{{{min_len},}}"), F.lit(0))), lambda x: entropy(x) >= least)
     ordered = F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))
     return F.aggregate(ordered, s, lambda acc, x: F.replace(acc, x, mask(x)))
+
+
+def redact_config(s: Column) -> Column:
+    """A configuration's text with the credentials of addresses hidden and the values of secret-named keys and of authorization headers masked."""
+    t = redact_url(s)
+    t = F.regexp_replace(t, r"(?im)^(\s*[\w.\-]*(?:password|passwd|secret|token|api_?key|_auth(?:token)?)[\w.\-]*\s*[=:]\s*)\S.*$", "$1***")
+    return F.regexp_replace(t, r"(?i)(authorization:\s*\w+\s+)\S+", "$1***")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def web_audit(responses: DataFrame) -> DataFrame:
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """(key, title, description, generator, scripts, links, forms) of HTML bodies (key, body)."""
-    b = F.left("body", F.lit(512 * 1024))
+    b = F.col("body")
     first = lambda rx: F.nullif(X.collapse(F.regexp_extract(b, rx, 1)), F.lit(""))
     count = lambda rx: F.size(F.regexp_extract_all(b, F.lit(rx), F.lit(0)))
     return pages.where(F.col("body").rlike("(?i)<html|<!doctype html")).select(
@@ -197,8 +198,28 @@ def feed_entries(bodies: DataFrame) -> DataFrame:
     return xml.unionByName(js.select("key", F.posexplode(items).alias("pos", "e")).select("key", "pos", "e.id", "e.title"))
 
 
+def byte_entropy(c: bytes) -> float:
+    n = np.bincount(np.frombuffer(c, dtype=np.uint8), minlength=256)
+    p = n[n > 0] / len(c)
+    return float(-(p * np.log2(p)).sum())
+
+
+def image_findings(images: DataFrame) -> DataFrame:
+    """(key, id, severity) of container image configurations (key, config: JSON): credentials in the environment, no user, no health check, fetched scripts in the history."""
+    pick = lambda p: F.get_json_object("config", p)
+    env = F.coalesce(F.from_json(pick("$.config.Env"), "array<string>"), F.array().cast("array<string>"))
+    steps = F.coalesce(F.transform(F.from_json(pick("$.history"), "array<struct<created_by:string>>"), lambda x: F.coalesce(x["created_by"], F.lit(""))), F.array().cast("array<string>"))
+    user = F.coalesce(pick("$.config.User"), F.lit(""))
+    secret = F.exists(env, lambda x: x.rlike(r"(?i)^[^=]*(?:password|passwd|secret|token|api_?key|access_?key|private_?key)[^=]*=[^$\s]"))
+    checks = [
+        ("IMG-001", "critical", secret), ("IMG-002", "high", user.rlike(r"^(?:|0|root)(?::.*)?$")), ("IMG-003", "low", pick("$.config.Healthcheck").isNull()),
+        ("IMG-004", "critical", F.exists(steps, lambda x: x.rlike(r"(?:curl|wget)[^|]*\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b"))), ("IMG-010", "medium", F.exists(steps, lambda x: x.rlike(r"(?i)\bADD\s+(?:--\S+\s+)*https?://"))),
+    ]
+    return explode_ids(images.where(pick("$.config").isNotNull() | pick("$.history").isNotNull()), ["key"], checks)
+
+
 def binary_findings(files: DataFrame) -> DataFrame:
-    """(key, id) of files (key, path, content): double extension, packed executable, script behind an image, bytes behind the end of a PNG or ZIP."""
+    """(key, id) of files (key, path, content): double extension, packed executable, script behind an image, bytes behind the end of a PNG, an executable of high entropy."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -209,6 +230,8 @@ def binary_findings(files: DataFrame) -> DataFrame:
                     rows.append((key, "BIN-001"))
                 if c[:4] in (b"\x7fELF",) or c[:2] == b"MZ":
                     rows += [(key, "BIN-002")] * (b"UPX!" in c[:4096] or b"UPX!" in c[-8192:])
+                    if len(c) >= 4096 and byte_entropy(c) > 7.5:
+                        rows.append((key, "BIN-005"))
                 image = c[:8] == b"\x89PNG\r\n\x1a\n" or c[:3] == b"\xff\xd8\xff" or c[:4] == b"GIF8"
                 if image and any(m in c[-8192:] for m in (b"<?php", b"<script", b"#!/bin/")):
                     rows.append((key, "BIN-003"))

@@ -109,3 +109,21 @@ def in_windows(rows: DataFrame, ts: str, windows: DataFrame) -> DataFrame:
     """Rows within a compromise window (id, start, end; both ends included), keyed by day so that the join is an equi-join."""
     days = windows.select("id", "start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
     return rows.withColumn("_day", F.to_date(ts)).join(days, "_day").where(F.col(ts).between(F.col("start"), F.col("end"))).drop("_day")
+
+
+def first_seen(rows: DataFrame, key: str, value: str, ts: str, most: int | None = None) -> DataFrame:
+    """(key, value, first, place): distinct values of each key in the order they were first seen; of a report at most ``most`` a key."""
+    w = Window.partitionBy(key).orderBy("first", value)
+    out = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(ts).alias("first")).withColumn("place", F.row_number().over(w))
+    return out if most is None else out.where(F.col("place") <= most)
+
+
+def after_cursor(events: DataFrame, cursors: DataFrame, key: str, id: str) -> DataFrame:
+    """Events newer than the cursor (key, cursor) of their key; a key without one is looked at for the first time and gives none."""
+    return events.join(cursors.select(key, F.col("cursor").alias("_c")), key).where(F.col(id) > F.col("_c")).drop("_c")
+
+
+def capped(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """A report's rows, at most ``most`` a key in an order, with whether more were left out of it."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumns({"_r": F.row_number().over(w), "truncated": F.count(F.lit(1)).over(Window.partitionBy(key)) > most}).where(F.col("_r") <= most).drop("_r")

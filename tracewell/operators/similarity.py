@@ -10,6 +10,8 @@ count once.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,35 @@ def coefficients(perms: int = PERMS) -> list[tuple[int, int]]:
     return list(zip(out[::2], out[1::2], strict=True))
 
 
+def mulmod(a: int, h: np.ndarray, b: int) -> np.ndarray:
+    """(a*h + b) mod 2**61-1 of 64-bit words, exact: by halves, as 2**61 is 1."""
+    u, p = np.uint64, np.uint64(PRIME)
+    a0, a1, h0, h1 = u(a & 0xFFFFFFFF), u(a >> 32), h & u(0xFFFFFFFF), h >> u(32)
+    low, mid, high = a0 * h0, a1 * h0 + a0 * h1, a1 * h1
+    x = (low & p) + (low >> u(61)) + (mid >> u(29)) + ((mid & u((1 << 29) - 1)) << u(32))
+    x = (x & p) + (x >> u(61)) + high * u(8) % p + u(b)
+    x = (x & p) + (x >> u(61))
+    return np.where(x >= p, x - p, x)
+
+
 def minima(hashes: Column, perms: int = PERMS) -> Column:
-    """Per permutation the least of (a*h + b) mod 2**61-1, exact in decimals."""
-    one = lambda a, b: F.array_min(F.transform(hashes, lambda h: ((h.cast("decimal(20,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b).cast("decimal(19,0)")) % F.lit(PRIME).cast("decimal(19,0)")).cast("bigint")))
-    return F.array(*[one(a, b) for a, b in coefficients(perms)])  # hashes is a stored column
+    """Per permutation the least of (a*h + b) mod 2**61-1 over hashes below 2**61, exact; in Arrow batches, over all lists of a batch at once. Null for an empty list."""
+    pairs = coefficients(perms)
+
+    @F.pandas_udf("array<bigint>")
+    def each(lists: pd.Series) -> pd.Series:
+        sizes = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        out = [None] * len(lists)
+        if len(full):
+            flat = np.concatenate([np.asarray(lists.iloc[i], dtype=np.int64) for i in full]).astype(np.uint64)
+            starts = np.cumsum(sizes[full]) - sizes[full]
+            least = np.stack([np.minimum.reduceat(mulmod(a, flat, b), starts) for a, b in pairs], axis=1).astype(np.int64)
+            for k, i in enumerate(full):
+                out[i] = least[k]
+        return pd.Series(out)
+
+    return each(hashes)
 
 
 def fast_minima(hashes: Column, perms: int = PERMS) -> Column:

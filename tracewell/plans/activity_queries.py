@@ -49,12 +49,6 @@ def q_file_classes(spark, d):
     return members.select(F.col("key").alias("file_id"), F.col("rep").alias("class_id"))
 
 
-def q_minhash(spark, d):
-    """The first four exact minima of the files' fingerprints, as its SQL has them; ``q_minhash_64`` gives all."""
-    fp = S.fingerprints(_files(spark, d), S.word_tokens(F.col("text")))
-    return fp.select(F.col("key").alias("file_id"), S.minima(F.col("hashes"), 4).alias("minima"))
-
-
 def q_minhash_64(spark, d):
     """Sixty-four exact minima of the files' fingerprints."""
     fp = S.fingerprints(_files(spark, d), S.word_tokens(F.col("text")))
@@ -146,10 +140,17 @@ def q_event_cursor(spark, d):
 def q_rotation(spark, d):
     """Live, removed and reappeared issue texts: findings of a target's scans as added and removed lines."""
     f = table(spark, d, "findings").where("excerpt IS NOT NULL").select("target", "scan_id", F.sha2("excerpt", 256).alias("h")).distinct()
-    scans = f.select("target", "scan_id").distinct()
-    spans = f.groupBy("target", "h").agg(F.min("scan_id").alias("lo"))
-    grid = spans.join(scans, "target").where("scan_id >= lo").join(f.withColumn("here", F.lit(True)), ["target", "scan_id", "h"], "left")
-    lines = grid.select(F.concat_ws("|", "target", "h").alias("fp"), F.col("scan_id").alias("ts"), F.col("scan_id").cast("string").alias("sha"), F.when(F.col("here"), "+").otherwise("-").alias("sign"))
+    order = Window.partitionBy("target").orderBy("scan_id")
+    scans = f.select("target", "scan_id").distinct().withColumns({"o": F.row_number().over(order), "after": F.lead("scan_id").over(order)})
+    last = scans.groupBy("target").agg(F.max(F.struct("o", "scan_id")).alias("end"))
+    seen = f.join(scans, ["target", "scan_id"]).join(last, "target")
+    # A text stands in some scans: a line is added at each, and removed at the first without it and, if it is gone, at the last.
+    w = Window.partitionBy("target", "h").orderBy("o")
+    steps = seen.withColumn("next", F.lead("o").over(w))
+    gone = F.coalesce(F.col("next") > F.col("o") + 1, F.col("o") < F.col("end.o"))
+    line = lambda scan, sign: F.struct(scan.alias("ts"), F.lit(sign).alias("sign"))
+    made = F.filter(F.array(line(F.col("scan_id"), "+"), F.when(gone, line(F.col("after"), "-")), F.when(gone & F.col("next").isNull(), line(F.col("end.scan_id"), "-"))), lambda x: x.isNotNull())
+    lines = steps.select(F.concat_ws("|", "target", "h").alias("fp"), F.explode(made).alias("l")).select("fp", "l.ts", F.col("l.ts").cast("string").alias("sha"), "l.sign")
     return E.rotation(lines).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_scan"))
 
 
@@ -174,13 +175,11 @@ _WIN = f"""WITH k AS (SELECT {{id}} AS id, any_value(regexp_extract_all(lower(te
   h AS (SELECT id, {_SH} AS h FROM k WHERE len(t) >= 5),
   m AS (SELECT id, len(h) AS n, list_transform(range(1, greatest(len(h) - 14, 1) + 1), lambda i: list_min(h[i:i+14])) AS m FROM h),
   fp AS (SELECT id, CAST(n AS INTEGER) AS shingles, list_filter(m, lambda x, i: i = 1 OR x <> m[i-1]) AS hashes FROM m)"""
-_C = S.coefficients(4)
 
 ORACLE = {
     "q_winnow": _WIN.format(id="doc_id", tab="documents") + " SELECT id AS doc_id, shingles, hashes FROM fp",
     "q_exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL QUALIFY copies > 1",
     "q_repeated_lines": "SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) > 3",
-    "q_minhash": _WIN.format(id="file_id", tab="files") + " SELECT id AS file_id, [" + ", ".join(f"CAST(list_min(list_transform(hashes, lambda x: (CAST(x AS HUGEINT) * {a}::HUGEINT + {b}::HUGEINT) % {S.PRIME}::HUGEINT)) AS BIGINT)" for a, b in _C) + "] AS minima FROM fp",
     "q_minhash_64": _WIN.format(id="file_id", tab="files") + " SELECT id AS file_id, [" + ", ".join(f"CAST(list_min(list_transform(hashes, lambda x: (CAST(x AS HUGEINT) * {a}::HUGEINT + {b}::HUGEINT) % {S.PRIME}::HUGEINT)) AS BIGINT)" for a, b in S.coefficients()) + "] AS minima FROM fp",
     "q_function_words": f"""WITH w AS (SELECT doc_id, any_value(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents GROUP BY doc_id)
         SELECT doc_id, word, round(count(*) / CAST(n AS DOUBLE), 6) AS rate FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w) WHERE word IN ({_FW}) GROUP BY doc_id, word, n""",

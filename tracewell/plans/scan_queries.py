@@ -106,13 +106,6 @@ def q_files_python_ast(spark, d):
     return raw_hits(files_as_files(spark, d), [rule]).select(F.col("key").alias("file_id"), "line", F.col("excerpt").alias("call"))
 
 
-def q_hash_ioc(spark, d):
-    """Agent files of the second snapshot whose digest stands in the first: a slice, as its SQL has it; ``q_hash_ioc_all`` is the whole."""
-    sigs = table(spark, d, "file_sigs").where("sha256 IS NOT NULL").select("root", X.plain_path(F.col("path")).alias("path"), F.lower("sha256").alias("sha256"), "snap_no")
-    wanted = sigs.where("snap_no = 1").groupBy("sha256").agg(F.countDistinct("root").alias("roots"))
-    return sigs.where("snap_no = 2").select("root", "path", "sha256").distinct().join(wanted, "sha256").select("root", "path", "sha256", "roots")
-
-
 def q_hash_ioc_all(spark, d):
     """Agent files of any snapshot whose digest stands in the latest snapshot of another root, with how many such roots: an equi-join on hashes."""
     named = table(spark, d, "file_sigs").where("root IS NOT NULL AND path IS NOT NULL AND snap_no IS NOT NULL").select("root", X.plain_path(F.col("path")).alias("path"), "snap_no", "loaded_at", hex_number(F.col("sha256")).alias("sha256"))
@@ -235,8 +228,6 @@ ORACLE = {
           WHERE length(txt) >= 24 AND NOT regexp_matches(lower(txt), 'sha256|sha512|integrity|https?:|data:') AND NOT coalesce(regexp_matches(path, '(?i)(?:\\.lock|-lock\\.json|\\.sum|\\.min\\.js)$'), false)),
         e AS (SELECT *, {_ENT.format(t='token')} AS entropy FROM t WHERE NOT regexp_matches(token, '^[0-9a-fA-F]+$') AND NOT regexp_matches(token, '^[A-Z0-9]+$'))
         SELECT doc_id, line, CAST(i AS INTEGER) AS i, token, entropy FROM e WHERE entropy >= 4.5 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) <= 8""",
-    "q_hash_ioc": f"""WITH s AS (SELECT root, {_FP.format('path')} AS path, lower(sha256) AS sha256, snap_no FROM file_sigs WHERE sha256 IS NOT NULL)
-        SELECT DISTINCT s.root, s.path, s.sha256, w.roots FROM s JOIN (SELECT sha256, count(DISTINCT root) AS roots FROM s WHERE snap_no = 1 GROUP BY sha256) w USING (sha256) WHERE snap_no = 2""",
     "q_hash_ioc_all": f"""WITH n AS (SELECT root, {_FP.format('path')} AS path, snap_no, loaded_at, regexp_replace(regexp_replace(lower(trim(sha256)), '^0x', ''), '^0+(.)', '\\1') AS sha256
           FROM file_sigs WHERE root IS NOT NULL AND path IS NOT NULL AND snap_no IS NOT NULL),
         s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY root, path, snap_no ORDER BY loaded_at DESC NULLS LAST, sha256 DESC) = 1),

@@ -137,6 +137,40 @@ def q_known_union(spark, d):
     return after.groupBy("repo").agg(F.count(F.lit(1)).alias("known")).join(events.groupBy("repo").agg(F.count(F.lit(1)).alias("new")), "repo", "left")
 
 
+def q_report_top(spark, d):
+    """The first two hundred findings in report order: a report of that length."""
+    from tracewell.operators.report import in_report_order
+
+    return in_report_order(_findings(spark, d).withColumn("message", F.concat_ws(" ", "message", F.lpad(F.col("finding_id").cast("string"), 12, "0")))).limit(200).select("finding_id")
+
+
+def q_digests(spark, d):
+    """The digest over all fingerprints of the findings, and their number."""
+    from tracewell.operators.report import digests
+
+    return digests(_findings(spark, d))
+
+
+def q_first_seen(spark, d):
+    """The kinds of events of each user in the order they were first seen."""
+    from tracewell.operators.events import first_seen
+
+    return first_seen(table(spark, d, "events"), "user_id", "event_type", "ts").select("user_id", "event_type", "place")
+
+
+def q_inventory(spark, d):
+    """Packages, names and files of each ecosystem in the indexed files."""
+    from tracewell.functions.deps import inventory
+
+    return inventory(table(spark, d, "files").dropDuplicates(["file_id"]).select(F.col("file_id").alias("key"), "path", "text"))
+
+
+def q_redacted_config(spark, d):
+    """Findings whose excerpt changes when it is redacted as a configuration."""
+    f = _findings(spark, d).where("excerpt IS NOT NULL").select("finding_id", "excerpt", X.redact_config(F.col("excerpt")).alias("redacted"))
+    return f.where("excerpt <> redacted").select("finding_id", "redacted")
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _ONCE = "f AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY recorded_at DESC NULLS LAST) = 1)"
@@ -178,6 +212,13 @@ ORACLE = {
     "q_new_findings": f"""WITH {_ONCE}, s AS (SELECT root, scan_id, row_number() OVER (PARTITION BY root ORDER BY ts DESC, scan_id DESC) AS age FROM (SELECT DISTINCT root, scan_id, ts FROM scans)),
         g AS (SELECT DISTINCT root, age, fp FROM f JOIN s USING (scan_id) WHERE fp IS NOT NULL AND age <= 2)
         SELECT root AS repo, count(*) AS n FROM g WHERE age = 1 AND root IN (SELECT root FROM g WHERE age = 2) AND (root, fp) NOT IN (SELECT (root, fp) FROM g WHERE age = 2) GROUP BY root""",
+    "q_report_top": f"WITH {_ONCE}, g AS (SELECT *, concat_ws(' ', message, lpad(CAST(finding_id AS VARCHAR), 12, '0')) AS m FROM f WHERE {_RANK} IS NOT NULL) SELECT finding_id FROM g ORDER BY {_RANK} DESC, path NULLS FIRST, line NULLS FIRST, target NULLS FIRST, rule_id NULLS FIRST, excerpt NULLS FIRST, m LIMIT 200",
+    "q_digests": f"""WITH {_ONCE}, g AS (SELECT DISTINCT left(sha256(rule_id || '|' || {_PATH} || '|' || coalesce(excerpt, '')), 16) AS fp FROM f), p AS (SELECT left(fp, 2) AS r, sha256(string_agg(fp, chr(10) ORDER BY fp)) AS d, count(*) AS n FROM g GROUP BY 1)
+        SELECT sha256(string_agg(d, chr(10) ORDER BY r)) AS digest, CAST(sum(n) AS BIGINT) AS fingerprints FROM p""",
+    "q_first_seen": "SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min(ts), event_type) AS INTEGER) AS place FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type",
+    "q_inventory": _DEPS.replace("SELECT unnest(", "SELECT file_id, unnest(", 1) + " SELECT e.ecosystem, count(DISTINCT (name, version)) AS packages, count(DISTINCT name) AS names, count(DISTINCT file_id) AS files FROM x CROSS JOIN (VALUES ('generic'), ('*')) e(ecosystem) GROUP BY e.ecosystem",
+    "q_redacted_config": f"""WITH {_ONCE}, r AS (SELECT finding_id, excerpt, regexp_replace(regexp_replace(regexp_replace(excerpt, '([a-zA-Z][a-zA-Z0-9+.-]*://)[^/@\\s:]+(?::[^/@\\s]*)?@', '\\1***@', 'g'), '(?im)^(\\s*[\\w.\\-]*(?:password|passwd|secret|token|api_?key|_auth(?:token)?)[\\w.\\-]*\\s*[=:]\\s*)\\S.*$', '\\1***', 'g'), '(?i)(authorization:\\s*\\w+\\s+)\\S+', '\\1***', 'g') AS redacted FROM f WHERE excerpt IS NOT NULL)
+        SELECT finding_id, redacted FROM r WHERE redacted <> excerpt""",
     "q_known_union": f"""WITH {_ONCE}, g AS (SELECT target, fp, min(scan_id) AS s, max(scan_id) AS m FROM f WHERE fp IS NOT NULL AND target IS NOT NULL GROUP BY ALL), lo AS (SELECT target, min(s) AS first FROM g GROUP BY target)
         SELECT target AS repo, count(*) AS known, nullif(count(*) FILTER (s > first), 0) AS new FROM g JOIN lo USING (target) GROUP BY target""",
 }

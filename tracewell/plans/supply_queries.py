@@ -69,13 +69,6 @@ def q_version_ranges(spark, d):
     return P.affected(inst, adv)
 
 
-def q_dep_delta(spark, d):
-    """Dependencies of the files with even ids against those with odd ones, by name, as its SQL has it; ``q_dep_delta_roots`` tells what changed."""
-    deps = extract(table(spark, d, "files").select(F.col("file_id").alias("key"), "path", "text"))
-    even = F.col("key") % 2 == 0
-    return P.dep_delta(deps.where(even).select("name", "version"), deps.where(~even).select("name", "version"), ["name"])
-
-
 def q_dep_delta_roots(spark, d):
     """Dependencies of each root's index after its newest delivery against the index before, by root, ecosystem and name.
 
@@ -209,9 +202,6 @@ ORACLE = {
     "q_extract_wallets": _ex(X.WALLET),
     "q_public_addresses": f"SELECT ip, CASE WHEN {_IPOK.format('ip')} THEN {_IPN.format('ip')} END AS n, coalesce({_IPOK.format('ip')} AND NOT ({' OR '.join(f'{_IPN.format(chr(105) + chr(112))} BETWEEN {lo} AND {lo + (1 << (32 - b)) - 1}' for lo, b in _BLOCKS)}), false) AS public FROM (SELECT DISTINCT trim(unnest(addrs)) AS ip FROM domain_snaps)",
     "q_zero_width": "SELECT doc_id, length(text) - length(translate(text, '" + X.ZERO_WIDTH + "', '')) AS n FROM documents WHERE length(text) <> length(translate(text, '" + X.ZERO_WIDTH + "', ''))",
-    "q_dep_delta": """WITH f AS (SELECT file_id, any_value(replace(path, chr(92), '/')) AS path, any_value(text) AS text FROM files GROUP BY file_id), x AS (SELECT file_id, unnest(regexp_extract_all(text, '"([a-z]+)": \\{"version": "[^"]+"', 1)) AS name, unnest(regexp_extract_all(text, '"[a-z]+": \\{"version": "([^"]+)"', 1)) AS version FROM f WHERE regexp_matches(path, '(?:package-lock\\.json|go\\.sum|uv\\.lock|Cargo\\.lock)$')),
-        e AS (SELECT name, array_to_string(list_sort(list_distinct(list(version) FILTER (file_id % 2 = 0))), ',') AS old, array_to_string(list_sort(list_distinct(list(version) FILTER (file_id % 2 <> 0))), ',') AS new FROM x GROUP BY name),
-        g AS (SELECT name, nullif(old, '') AS old, nullif(new, '') AS new FROM e) SELECT name, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change FROM g WHERE old IS DISTINCT FROM new""",
     "q_licenses": """WITH f AS (SELECT file_id, lower(left(any_value(text), 8192)) AS h FROM files GROUP BY file_id), l AS (SELECT CASE """ + " ".join(f"WHEN contains(h, '{w}') THEN '{n}'" for n, w in P.LICENSES) + """ END AS license FROM f)
         SELECT license, count(*) AS files, bool_or(regexp_matches(license, '(?i)agpl|lgpl|gpl|mpl|epl|eupl|cddl|osl|cc-by-sa')) AS copyleft FROM l GROUP BY license""",
     "q_typosquats": """WITH n AS (SELECT DISTINCT lower(regexp_replace(p_name, '^(.)(.)(.*)$', '\\2\\1\\3')) AS name FROM part), p AS (SELECT * FROM (VALUES ('red widget', 0), ('small ring', 1), ('blue bolt', 2), ('steel ring', 3)) t(nearest, pos))
