@@ -25,7 +25,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -84,7 +84,9 @@ def shapes(text: str) -> Iterator[str]:
 _TOKEN = re.compile(r"[^\W_]+|\.{4,}|…+|\x00")
 #: The end of a sentence among tokens.
 END = "\0"
-_SENTENCE = re.compile(r"(?<=[.!?:;])\s+|(?<=[.!?])(?=[A-ZÀ-Ý])|[\n\r]+|[\"“”«»()]")
+#: Ends of sentences: white space behind a sign, line ends, quotes and brackets; and a capital right behind a sign.
+_SENTENCE = re.compile(r"[\n\r\"“”«»()]|\s(?<=[.!?:;]\s)")
+_RUN_ON = re.compile(r"([.!?])(?=[A-ZÀ-Ý])")
 _DROP = re.compile(r"(?is)<(script|style|template|svg|textarea)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
 _CODE = re.compile(r"(?is)<(pre|code|samp|kbd|xmp)\b[^>]*>.*?</\1\s*>|```.*?```|~~~.*?~~~|`[^`\n]*`")
 _NOSCRIPT = re.compile(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>")
@@ -92,6 +94,8 @@ _TITLE = re.compile(r"(?is)<(title|h[1-6])\b[^>]*>(.*?)</\1\s*>")
 _NAV = re.compile(r"(?is)<(nav|footer)\b[^>]*>.*?</\1\s*>|<a\b[^>]*>.*?</a\s*>")
 _BLOCK = re.compile(r"(?is)</?(?:p|div|li|td|th|tr|br|h\d|title|body|html|head|section|article|header|main|ul|ol|table|dt|dd|dl|option|label|button|form|nav|footer|entry|item|feed|error|code|message|requestid)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[A-Za-z/!?](?:[^<>]|\"[^\"]*\"|'[^']*')*>")
+_HELD = re.compile(r"""(?i)\b(?:content|alt|title)=(?:"([^"]*)"|'([^']*)')""")
+_HTML = re.compile(r"(?i)<(?:!doctype|html|head|body|p|div|h\d|b|\?xml|feed|error|form|span|table|ul)\b")
 _ID = re.compile(r"^(?=.*\d)[0-9a-f]{6,}$|^\d+$")
 _SOURCE_PATH = re.compile(r"(?i)(?:^|/)\.github/|\.(?:ya?ml|js|jsx|ts|tsx|mjs|cjs|py|rb|go|rs|java|kt|c|cc|cpp|h|hpp|cs|php|sh|bash|ps1|pl|lua|scala|sql|toml|ini|cfg|conf|tmpl|tpl|j2|jinja2?|erb|ejs|hbs|mustache|vue|tf|gradle|css|scss|less)(?:$|[?#])|(?:^|/)(?:Dockerfile|Makefile|Jenkinsfile)(?:$|[?#])")
 _SOURCE_TYPE = re.compile(r"(?i)yaml|javascript|ecmascript|x-(?:python|sh|ruby|c|java|php)|css")
@@ -127,7 +131,7 @@ def tokens(text: str) -> list[str]:
 def sentences(block: str) -> list[list[str]]:
     """The tokens of a block by sentences; the block is spelled once."""
     out: list[list[str]] = [[]]
-    for t in tokens(_SENTENCE.sub(END, block.replace(END, " "))):
+    for t in tokens(_RUN_ON.sub(r"\1" + END, _SENTENCE.sub(END, block.replace(END, " ")))):
         if t == END:
             out.append([])
         else:
@@ -148,8 +152,8 @@ def json_strings(value) -> Iterator[str]:
             stack += reversed(v)
 
 
-def parts(body: str, url: str | None = None, content_type: str | None = None) -> tuple[list[str], list[str], str, bool]:
-    """(blocks, no-script blocks, running text for marks, is a source file) of a body."""
+def parts(body: str, url: str | None = None, content_type: str | None = None, leads: Sequence[str] = ("",)) -> tuple[list[str], list[str], str, bool]:
+    """(blocks, no-script blocks, running text for marks, is a source file) of a body; running text without any of ``leads`` is left out."""
     text = mend(body)
     bare = text.strip()
     if bare[:1] in "{[":
@@ -160,7 +164,7 @@ def parts(body: str, url: str | None = None, content_type: str | None = None) ->
         if strings is not None:
             running = [_CODE.sub(" ", s) for s in strings]
             return running, [], "\n".join(running), False
-    markup = bool(re.search(r"(?i)<(?:!doctype|html|head|body|p|div|h\d|b|\?xml|feed|error|form|span|table|ul)\b", text))
+    markup = bool(_HTML.search(text))
     path = (url or "").split("?", 1)[0]
     source = not markup and bool(_SOURCE_PATH.search(path) or _SOURCE_TYPE.search(content_type or "") and not re.search(r"(?i)\.(?:html?|json|xml|txt|md)$", path) or len(_WORKFLOW.findall(text)) >= 3 or len(_CODELIKE.findall(text)) >= 3)
     text = _DROP.sub(" ", text)
@@ -171,9 +175,11 @@ def parts(body: str, url: str | None = None, content_type: str | None = None) ->
     hidden = [html.unescape(_TAG.sub(" ", x)) for x in _NOSCRIPT.findall(text)]
     text = _NOSCRIPT.sub(" ", text)
     shown = [x for x in html.unescape("\n".join(_TAG.sub(" ", t) for t in _BLOCK.split(_NAV.sub(" ", text)))).split("\n") if x.strip()]
+    plain = html.unescape(text)
+    wanted = any(x in plain for x in leads)
     # Attribute values are data fields as well (meta descriptions); so are titles, which are in the text.
-    held = " ".join(a or b for a, b in re.findall(r"""(?i)\b(?:content|alt|title)=(?:"([^"]*)"|'([^']*)')""", text))
-    running = html.unescape(re.sub(r"(?s)<(?=[A-Za-z/!?])(?![^<>]{0,40} goes here)(?:[^<>]|\"[^\"]*\"|'[^']*')*>", "\n", text)) + "\n" + html.unescape(held)
+    held = " ".join(a or b for a, b in _HELD.findall(text)) if wanted else ""
+    running = "" if not wanted else html.unescape(re.sub(r"(?s)<(?=[A-Za-z/!?])(?![^<>]{0,40} goes here)(?:[^<>]|\"[^\"]*\"|'[^']*')*>", "\n", text)) + "\n" + html.unescape(held)
     heads = {" ".join(tokens(html.unescape(_TAG.sub(" ", x)))) for _, x in _TITLE.findall(text)}
     longest = 4 * max(map(len, heads), default=0) + 20
     body_blocks = [x for x in shown if len(x) > longest or " ".join(tokens(x)) not in heads]
@@ -322,7 +328,7 @@ class Index:
         """(kind of evidence, share) if the record is residue."""
         if not body or not body.strip():
             return None
-        blocks, hidden, running, source = parts(body, url, content_type)
+        blocks, hidden, running, source = parts(body, url, content_type, self.leads)
         if self.marked(running):
             return "mark", 1.0
         if source:
