@@ -44,6 +44,14 @@ def test_marks_are_wholes_of_any_length_and_depth():
         assert IX.marked(text), text
 
 
+def test_sentences_spell_what_the_block_spells():
+    from tracewell.llm.residue import sentences, tokens
+
+    for block in ("One. Two! Three?Four: five; six\n\n\"seven\" (eight) .... nine", "", "...", "a\0b. c", "Été.Là 3.5 x.Y\tz", "x" * 5000, "é. " * 300):
+        assert [t for s in sentences(block) for t in s] == tokens(block.replace("\0", " "))
+    assert IX.residue("Zugriff\0verweigert")
+
+
 def test_another_table_of_exemplars(spark):
     b = spark.createDataFrame([(1, "u", None, None, "alpha beta gamma"), (2, "u", None, None, TEXT)], "body_id bigint, url string, content_type string, challenge string, text string")
     r = spark.createDataFrame([], "resp_id bigint, url string, headers map<string,string>, body string")

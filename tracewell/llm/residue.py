@@ -306,22 +306,27 @@ class Index:
 
     def share(self, blocks: list[str]) -> float:
         """Share of the words of the blocks that residue passages cover; 0 if it cannot reach ``COVERED``."""
-        spelled = [sentences(block) for block in blocks]
-        wholes = [[t for s in ss for t in s] for ss in spelled]
-        counted = [[t not in CHROME and (t.isalpha() or not _ID.match(t)) for t in whole] for whole in wholes]
-        words = sum(map(sum, counted))
-        # Covered are words of exemplars only: where too few of them stand, no window need be looked at.
-        most = sum(1 for whole, c in zip(wholes, counted, strict=True) for t, k in zip(whole, c, strict=True) if k and (t in self.words or not t[0].isalnum()))
-        if not words or most < COVERED * words:
+        counts = lambda ts: [t not in CHROME and (t.isalpha() or not _ID.match(t)) for t in ts]
+        # Covered are words of exemplars only: where too few of those that are left may be, the rest need not be looked at.
+        may = lambda ts, c: sum(1 for t, k in zip(ts, c, strict=True) if k and (t in self.words or not t[0].isalnum()))
+        spelled = [(block, ts := tokens(block.replace(END, " ")), counts(ts)) for block in blocks]
+        words = sum(sum(c) for _, _, c in spelled)
+        left = sum(may(ts, c) for _, ts, c in spelled)
+        enough, hit = COVERED * words, 0
+        if not words or left < enough:
             return 0.0
-        hit = 0
-        for ss, whole, c in zip(spelled, wholes, counted, strict=True):
-            marked = set(self.covered(whole, self.several)) if len(ss) > 1 else set()
+        for block, whole, c in spelled:
+            ss = sentences(block)
+            over = self.covered(whole, self.several) if len(ss) > 1 else frozenset()
             at = 0
             for s in ss:
-                marked.update(at + k for k in self.covered(s))
-                at += len(s)
-            hit += sum(1 for k, t in enumerate(whole) if c[k] and (k in marked or not t[0].isalnum()))
+                end = at + len(s)
+                marked, own = self.covered(s), c[at:end]
+                hit += sum(1 for k, t in enumerate(s) if own[k] and (k in marked or at + k in over or not t[0].isalnum()))
+                left -= may(s, own)
+                at = end
+                if hit + left < enough:
+                    return 0.0
         return hit / words
 
     def residue(self, body: str | None, url: str | None = None, content_type: str | None = None) -> tuple[str, float] | None:
