@@ -361,7 +361,8 @@ def at_of(df: DataFrame, column: str) -> list:
 def document_frequencies(rows: DataFrame, table: list[tuple[str, str]]) -> tuple[dict[str, int], int]:
     """In how many bodies each word of the exemplars occurs, and the number of bodies that are not blank; built-in expressions only."""
     known = sorted({t for kind, x in table if kind != "mark" for t in tokens(x)})
-    plain = F.translate(F.lower("body"), "àâáäçéèêëíìîïñóòôöúùûüÿæœ'’", "aaaaceeeeiiiinoooouuuuyao")
+    low = F.lower("body")
+    plain = F.when(F.octet_length("body") == F.length("body"), F.replace(low, F.lit("'"), F.lit(""))).otherwise(F.translate(low, "àâáäçéèêëíìîïñóòôöúùûüÿæœ'’", "aaaaceeeeiiiinoooouuuuyao"))
     words = F.array_intersect(F.split(plain, "[^a-z0-9]+"), F.array(*map(F.lit, known)))  # the exemplars' words without accents
     bodies = rows.where(F.col("body").rlike(r"\S"))
     got = {r["t"]: r["n"] for r in bodies.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the exemplars have words
